@@ -86,11 +86,11 @@ def pack_items(items: DataFrame, specs: DataFrame, id_col: str = "doc_id", size_
     base = base.checkpoint()
     kinds = specs.select("spec_id", F.col("capacity_tokens").cast("long")).filter("capacity_tokens > 0").collect()  # a handful of rows by definition
     each = base.withColumn("spec", F.explode(F.lit([]).cast("array<struct<spec_id:bigint,capacity_tokens:bigint>>") if not kinds else F.array(
-        *[F.struct(F.lit(k.spec_id).cast("long").alias("spec_id"), F.lit(k.capacity_tokens).alias("capacity_tokens")) for k in kinds]
+        *[F.struct(F.lit(k.spec_id).cast("long").alias("spec_id"), F.lit(k.capacity_tokens).cast("long").alias("capacity_tokens")) for k in kinds]
     )))
     open_items = each.select(
         "spec.spec_id", "spec.capacity_tokens", "item_id",
-        F.explode(F.expr("transform(sequence(0, cast((size - 1) div spec.capacity_tokens as int)), i -> struct(cast(i as int) as part, least(spec.capacity_tokens, size - i * spec.capacity_tokens) as size))")).alias("p"),
+        F.explode(F.expr("transform(sequence(0, cast((size - 1) div spec.capacity_tokens as int)), i -> struct(cast(i as int) as part, cast(least(spec.capacity_tokens, size - i * spec.capacity_tokens) as bigint) as size))")).alias("p"),
     ).select("spec_id", "capacity_tokens", "item_id", "p.part", "p.size")
     full = open_items.filter("size = capacity_tokens")
     open_items = open_items.filter("size < capacity_tokens")
