@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import packing, tokens
+from docspark.llm import lines, packing, tokens
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -31,3 +31,49 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every piece of every document, for each spec."""
     sizes = tokens.encode_corpus(table(spark, sf_dir, "documents")).select("doc_id", F.size("ids").alias("size"))
     return packing.pack_items(sizes, table(spark, sf_dir, "container_spec")).withColumnRenamed("item_id", "doc_id")
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines to remove: repeated excessively within their site."""
+    return lines.repeated_lines(table(spark, sf_dir, "source_document"))
+
+
+@query
+def p3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated blocks of several lines, per site."""
+    return lines.repeated(table(spark, sf_dir, "source_document")).filter("lines > 1")
+
+
+@query
+def p3_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record without its repeated lines."""
+    docs = table(spark, sf_dir, "source_document")
+    return lines.without_lines(docs, lines.repeated_lines(docs)).select("seq", "clean_text")
+
+
+_P3_LINES = r"""
+WITH d AS (
+  SELECT seq, raw_text, regexp_replace(lower(regexp_extract(source_url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '^www\.', '') AS site
+  FROM source_document
+  WHERE raw_text <> '' AND source_url IS NOT NULL AND NOT contains(lower(coalesce(media_type, '')), 'html')
+), r AS (SELECT * FROM d WHERE site <> ''),
+n AS (SELECT site, count(*) AS n FROM r GROUP BY site),
+l AS (
+  SELECT seq, site, unnest(string_split(raw_text, chr(10))) AS line, generate_subscripts(string_split(raw_text, chr(10)), 1) AS line_no FROM r
+), k AS (SELECT seq, site, CAST(line_no AS BIGINT) AS line_no, regexp_replace(lower(line), '[^\p{L}]+', '', 'g') AS key FROM l),
+f AS (
+  SELECT k.site, key FROM k JOIN n ON k.site = n.site WHERE key <> '' GROUP BY k.site, key, n.n
+  HAVING count(DISTINCT seq) >= 5 AND count(DISTINCT seq) * 10 >= n.n
+), found AS (SELECT seq, line_no FROM k JOIN f ON k.site = f.site AND k.key = f.key)
+"""
+SQL["p3_found"] = _P3_LINES + "SELECT seq, line_no FROM found"
+SQL["p3_cleaned"] = _P3_LINES + """
+, al AS (
+  SELECT seq, unnest(string_split(raw_text, chr(10))) AS line, CAST(generate_subscripts(string_split(raw_text, chr(10)), 1) AS BIGINT) AS line_no
+  FROM source_document WHERE raw_text IS NOT NULL
+), kept AS (
+  SELECT al.seq, string_agg(line, chr(10) ORDER BY al.line_no) AS t FROM al ANTI JOIN found ON al.seq = found.seq AND al.line_no = found.line_no GROUP BY al.seq
+)
+SELECT s.seq, CASE WHEN s.raw_text IS NULL THEN NULL ELSE coalesce(kept.t, '') END AS clean_text FROM source_document s LEFT JOIN kept ON s.seq = kept.seq
+"""
