@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import lines, packing, tokens
+from docspark.llm import lines, mainbody, packing, tokens
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -77,3 +77,15 @@ SQL["p3_cleaned"] = _P3_LINES + """
 )
 SELECT s.seq, CASE WHEN s.raw_text IS NULL THEN NULL ELSE coalesce(kept.t, '') END AS clean_text FROM source_document s LEFT JOIN kept ON s.seq = kept.seq
 """
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of HTML records that are not main body."""
+    return mainbody.boilerplate_lines(table(spark, sf_dir, "source_document"), table(spark, sf_dir, "project_config"))
+
+
+@query
+def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main body of every HTML record."""
+    return mainbody.main_bodies(table(spark, sf_dir, "source_document"), table(spark, sf_dir, "project_config")).select("seq", "body")
