@@ -186,6 +186,13 @@ def decide(page: Page, recurs: set[int], content: str | None = None, remove: lis
         return []
     weights = [_weight(t) for t in page.texts]
     points, total, linked, count = {}, {}, {}, {}
+    lists: dict[int, list[int]] = {}
+    for i in range(n):
+        if page.article_part(i):
+            lists.setdefault(page.parents[page.leaf_node[i]], []).append(i)
+    for items in lists.values():  # a list is a menu only if most of it recurs
+        if sum(i in recurs for i in items) < 0.6 * len(items):
+            recurs = recurs.difference(items)
     clear = [i not in recurs and not _PATH.match(page.texts[i]) for i in range(n)]
     for i in range(n):
         text, node = page.texts[i], page.leaf_node[i]
@@ -258,11 +265,11 @@ def decide(page: Page, recurs: set[int], content: str | None = None, remove: lis
                 dropped = True
         inside = inside or best == 0
         keep[i] = inside and not dropped and (clear[i] or (page.article_part(i) and page.tags[page.leaf_node[i]] in HEADINGS | {"pre", "code"}))
-    if not any(keep[i] and page.tags[page.leaf_node[i]] not in HEADINGS for i in range(n)):
-        # nothing but a message stands where the content should
-        for i in range(n):
-            if any(node == best for node in page.chain(page.leaf_node[i])):
-                keep[i] = True
+    if sum(weights[i] for i in range(n) if keep[i] and page.tags[page.leaf_node[i]] not in HEADINGS) < 200:
+        # no more than a message stands where the content should: all of it is the body
+        direct = [i for i in range(n) if page.parents[page.leaf_node[i]] == best and page.tags[page.leaf_node[i]] not in HEADINGS]
+        for i in direct or [i for i in range(n) if not any(keep) and best in page.chain(page.leaf_node[i])]:
+            keep[i] = True
     return keep
 
 
@@ -270,17 +277,18 @@ def _leaf_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import xxhash
 
     for frame in frames:
-        out: dict[str, list] = {"id": [], "site": [], "title": [], "leaf": [], "key": []}
+        out: dict[str, list] = {"id": [], "site": [], "title": [], "leaf": [], "key": [], "listed": []}
         for key, host, raw in zip(frame["seq"], frame["site"], frame["raw_text"]):
             page = Page(raw)
             name = site_name(host, page.title)
             title = xxhash.xxh64_intdigest(page.title) >> 1
             for i, text in enumerate(page.texts):
-                if 0 < len(text) <= SHORT and not page.article_part(i):
+                if 0 < len(text) <= SHORT and page.tags[page.leaf_node[i]] not in HEADINGS | KEPT:
                     out["id"].append(key)
                     out["site"].append(host or name or "")
                     out["title"].append(title)
                     out["leaf"].append(i)
+                    out["listed"].append(page.article_part(i))
                     out["key"].append(xxhash.xxh64_intdigest(masked(text, name)) - 2**63)
         yield pd.DataFrame(out)
 
@@ -318,17 +326,17 @@ def main_bodies(df: DataFrame, config: DataFrame) -> DataFrame:
     """
     pages = spread(pages_of(df))
     kind = df.schema["seq"].dataType.simpleString()
-    leaves = pages.select("seq", "site", "raw_text").mapInPandas(_leaf_rows, f"id {kind}, site string, title long, leaf int, key long")
+    leaves = pages.select("seq", "site", "raw_text").mapInPandas(_leaf_rows, f"id {kind}, site string, title long, leaf int, key long, listed boolean")
     leaves = leaves.checkpoint()
-    seen = leaves.groupBy("site", "key").agg(F.countDistinct("title").alias("titles"))
+    seen = leaves.groupBy("site", "key").agg(F.countDistinct("title").alias("titles"), F.bool_or(~F.col("listed")).alias("loose"))
     sizes = leaves.groupBy("site").agg(F.countDistinct("title").alias("of"))
     local = seen.join(sizes, "site").filter(
         (F.col("titles") >= SITE_PAGES) & (F.col("titles") >= SITE_SHARE * F.col("of"))
         | (F.col("titles") >= 2) & (F.col("titles") >= FEW_SHARE * F.col("of"))
     ).select("site", "key")
-    wide = seen.groupBy("key").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= SITES).select("key")
+    wide = seen.filter("loose").groupBy("key").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= SITES).select("key")
     here = leaves.join(local, ["site", "key"], "left_semi").select("id", "leaf")
-    there = leaves.join(wide, "key", "left_semi").select("id", "leaf")
+    there = leaves.filter("not listed").join(wide, "key", "left_semi").select("id", "leaf")
     flags = here.unionByName(there).groupBy(F.col("id").alias("seq")).agg(F.collect_set("leaf").alias("recurs"))
     hints = config.filter(F.col("project_id").isNotNull()).groupBy("project_id").agg(
         F.first("content_selector").alias("content_selector"), F.first("remove_selectors").alias("remove_selectors"))
