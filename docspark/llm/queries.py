@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import lines, mainbody, packing, tokens
+from docspark.llm import lines, mainbody, neardup, packing, tokens
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -89,3 +89,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main body of every HTML record."""
     return mainbody.main_bodies(table(spark, sf_dir, "source_document"), table(spark, sf_dir, "project_config")).select("seq", "body")
+
+
+def _p1(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    bodies = neardup.record_bodies(table(spark, sf_dir, "source_document"), table(spark, sf_dir, "project_config"))
+    return neardup.similar(bodies, size=3, threshold=0.5, least=60)  # the words and the share that the problem states
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of near-duplicate records, copies included."""
+    return neardup.all_pairs(*_p1(spark, sf_dir))
+
+
+@query
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every record with a body of some length."""
+    return neardup.classes(*_p1(spark, sf_dir)).withColumnRenamed("id", "seq")
