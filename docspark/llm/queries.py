@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import lines, mainbody, neardup, packing, tokens
+from docspark.llm import lines, mainbody, neardup, packing, splitting, tokens
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -106,3 +106,31 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every record with a body of some length."""
     return neardup.classes(*_p1(spark, sf_dir)).withColumnRenamed("id", "seq")
+
+
+def _p2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda name: table(spark, sf_dir, name)
+    return splitting.split_items(splitting.items(read("clean_document"), read("segment"), read("project_config")))
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that had to be cut."""
+    return _p2(spark, sf_dir).filter("piece_count > 1 and piece_no = 1").select("item_kind", "item_id")
+
+
+@query
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all items, in order."""
+    return _p2(spark, sf_dir)
+
+
+SQL["p2_found"] = """
+WITH p AS (
+  SELECT project_id, greatest(CASE WHEN chunk_chars > 0 THEN chunk_chars ELSE 2800 END, 800) AS c, CASE WHEN max_chars > 0 THEN max_chars ELSE 120 END AS m
+  FROM project_config WHERE project_id IS NOT NULL
+)
+SELECT 'chunk' AS item_kind, clean_id AS item_id FROM clean_document d LEFT JOIN p ON d.project_id = p.project_id WHERE length(clean_text) > coalesce(c, 2800)
+UNION ALL
+SELECT 'segment', segment_id FROM segment s LEFT JOIN p ON s.project_id = p.project_id WHERE length(text) > coalesce(m, 120)
+"""
