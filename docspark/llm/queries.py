@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import lines, mainbody, neardup, packing, splitting, tokens
+from docspark.llm import encoding, lines, mainbody, neardup, packing, splitting, tokens
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -134,3 +134,15 @@ SELECT 'chunk' AS item_kind, clean_id AS item_id FROM clean_document d LEFT JOIN
 UNION ALL
 SELECT 'segment', segment_id FROM segment s LEFT JOIN p ON s.project_id = p.project_id WHERE length(text) > coalesce(m, 120)
 """
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that hold text decoded with a wrong encoding."""
+    return encoding.garbled(table(spark, sf_dir, "source_document")).select("seq", "field")
+
+
+@query
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain and the repaired text of every garbled field."""
+    return encoding.repaired(table(spark, sf_dir, "source_document"))
