@@ -24,7 +24,7 @@ ROUNDS = 5
 LEAST_GAIN = 4.5
 #: A token whose code is at most this much longer than ordinary text of its kind is sound, and no chain is tried on it.
 SOUND = 2.0
-#: Evidence of one field for one chain is cut here before EM: beyond it is certain anyway.
+#: The best chain of a field has at most this evidence in EM (the others are moved down with it): beyond it is certain anyway.
 MOST_EVIDENCE = 60.0
 #: Pseudo-counts that draw a source's mixture to that of all sources.
 PULL = 5.0
@@ -295,7 +295,9 @@ def _weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
         for seq, source, field, text in zip(frame["seq"], frame["source"], frame["field"], frame["text"]):
-            rows += [(seq, source, field, chain, min(MOST_EVIDENCE, x)) for chain, x in evidence(text).items()]
+            found = evidence(text)
+            over = max(0.0, max(found.values(), default=0.0) - MOST_EVIDENCE)
+            rows += [(seq, source, field, chain, x - over) for chain, x in found.items()]
         yield pd.DataFrame(rows, columns=["seq", "source", "field", "chain", "evidence"])
 
 
