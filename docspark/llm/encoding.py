@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import site_of
+from docspark.llm.stage import written
 
 ROUNDS = 5
 #: A token's gain that counts, in nats.
@@ -317,8 +318,10 @@ def posteriors(df: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     kind = df.schema["seq"].dataType.simpleString()
     fields = fields_of(df)
     odd = fields.filter(F.col("text").rlike(r"[^\x00-\x7f]")).repartition("seq", "field")
-    weights = odd.mapInPandas(_weigh, f"seq {kind}, source string, field string, chain string, evidence double").checkpoint()
-    sizes = fields.groupBy("source", "field").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    weights = odd.mapInPandas(_weigh, f"seq {kind}, source string, field string, chain string, evidence double")
+    weights = written(weights)
+    sizes = fields.groupBy("source", "field").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(sizes)
     n_all = sizes.agg(F.sum("n")).first()[0] or 1
     mixture = weights.select("source", "field", "chain").distinct().withColumn("share", F.lit(0.002))
     for i in range(rounds):
@@ -332,7 +335,8 @@ def posteriors(df: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             break
         overall = shares.groupBy("chain").agg((F.sum("p") / F.lit(float(n_all))).alias("all"))
         own = shares.groupBy("source", "field", "chain").agg(F.sum("p").alias("mass")).join(sizes, ["source", "field"]).join(F.broadcast(overall), "chain")  # one row per chain
-        mixture = own.select("source", "field", "chain", ((F.col("mass") + PULL * F.col("all") + 1e-4) / (F.col("n") + PULL)).alias("share")).checkpoint()
+        mixture = own.select("source", "field", "chain", ((F.col("mass") + PULL * F.col("all") + 1e-4) / (F.col("n") + PULL)).alias("share"))
+        mixture = written(mixture)
     return shares.groupBy("seq", "field").agg(F.max_by("chain", "p").alias("chain"), F.sum("p").alias("p"))
 
 

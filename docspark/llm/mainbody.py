@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import is_html, site_of
+from docspark.llm.stage import written
 
 # HTML elements by their part in the tree.
 INLINE = frozenset("a abbr b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small strike strong sub sup time tt u var wbr".split())
@@ -313,8 +314,9 @@ def pages_of(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out by id before Python work, so that one row group of the table is not one task."""
-    return df.repartition("seq")
+    """Rows dealt out by id before Python work where the table has fewer splits than there are cores (one row group is one task)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, "seq") if df.rdd.getNumPartitions() < cores else df
 
 
 def main_bodies(df: DataFrame, config: DataFrame) -> DataFrame:
@@ -327,7 +329,7 @@ def main_bodies(df: DataFrame, config: DataFrame) -> DataFrame:
     pages = spread(pages_of(df))
     kind = df.schema["seq"].dataType.simpleString()
     leaves = pages.select("seq", "site", "raw_text").mapInPandas(_leaf_rows, f"id {kind}, site string, title long, leaf int, key long, listed boolean")
-    leaves = leaves.checkpoint()
+    leaves = written(leaves)
     seen = leaves.groupBy("site", "key").agg(F.countDistinct("title").alias("titles"), F.bool_or(~F.col("listed")).alias("loose"))
     sizes = leaves.groupBy("site").agg(F.countDistinct("title").alias("of"))
     local = seen.join(sizes, "site").filter(

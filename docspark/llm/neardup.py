@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm import lines, mainbody
 from docspark.llm.common import is_html
+from docspark.llm.stage import written
 
 SLOTS, ROWS = 512, 4
 BANDS_AGREE = 2
@@ -105,33 +106,92 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _shingled(id_type: pa.DataType, size: int, least: int):
+def _hashed(id_type: pa.DataType, size: int, least: int):
+    """Ids with two hashes of the set of shingles and the body, of the records that are long enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            keys, low, high, sets = [], [], [], []
+            keys, low, high, kept = [], [], [], []
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 count, found = shingles(body or "", size)
                 if count >= least and len(found):
-                    raw = found.tobytes()
-                    whole = xxhash.xxh3_128_intdigest(raw)
+                    whole = xxhash.xxh3_128_intdigest(found.tobytes())
                     keys.append(key)
                     high.append((whole >> 64) - 2**63)
                     low.append((whole & (2**64 - 1)) - 2**63)
-                    sets.append(found.view(np.int64))
+                    kept.append(body)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, id_type), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-                names=["id", "h1", "h2", "grams"])
+                [pa.array(keys, id_type), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(kept, pa.string())],
+                names=["id", "h1", "h2", "body"])
 
     return run
 
 
-def _banded(id_type: pa.DataType):
+def _grams(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [band_keys(signature(np.array(x, dtype=np.int64).view(np.uint64))) for x in batch.column(1).to_numpy(zero_copy_only=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "keys"])
+            sets = [shingles(x, size)[1].view(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "grams"])
+
+    return run
+
+
+def _banded(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                keys = [band_keys(signature(shingles(x, size)[1])) for x in part.column(1).to_pylist()]
+                each = len(keys[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys)), part.column(0).take(pa.array(np.repeat(np.arange(len(keys)), each)))], names=["key", "rep"])
+
+    return run
+
+
+def _runs(id_type: pa.DataType):
+    """From rows sorted by key: the pairs of each bucket, or its members with a null partner where it is large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held, large = None, [], False
+
+        def close(out: list) -> None:
+            if not large and len(held) > 1:
+                reps = sorted(held)
+                out += [(held_key, a, b) for i, a in enumerate(reps) for b in reps[i + 1 :]]
+
+        def batch_of(out: list) -> pa.RecordBatch:
+            cols = list(zip(*out)) if out else [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], id_type), pa.array(cols[2], id_type)], names=["key", "a", "b"])
+
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            if not len(keys):
+                continue
+            reps, out = batch.column(1), []
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
+            # runs of one row inside the batch have no partner; only the others, and the first and last run, are looked at
+            wanted = np.flatnonzero(np.diff(cuts) > 1)
+            wanted = np.unique(np.concatenate((wanted, [0, len(cuts) - 2])))
+            for w in wanted.tolist():
+                key, members = int(keys[cuts[w]]), reps.slice(cuts[w], cuts[w + 1] - cuts[w]).to_pylist()
+                if key != held_key:
+                    close(out)
+                    held_key, held, large = key, [], False
+                if not large and len(held) + len(members) > BUCKET:
+                    large = True
+                    out += [(key, x, None) for x in held]
+                    held = []
+                if large:
+                    out += [(key, x, None) for x in members]
+                else:
+                    held += members
+            yield batch_of(out)
+        out = []
+        close(out)
+        yield batch_of(out)
 
     return run
 
@@ -177,29 +237,30 @@ def similar(bodies: DataFrame, id_col: str = "seq", body_col: str = "body", size
 
     kind = bodies.schema[id_col].dataType
     name, arrow = kind.simpleString(), to_arrow_type(kind)
-    sets = bodies.select(F.col(id_col), F.col(body_col)).mapInArrow(
-        _shingled(arrow, size, least), f"id {name}, h1 long, h2 long, grams array<long>").checkpoint()
+    sets = written(bodies.select(F.col(id_col), F.col(body_col)).mapInArrow(
+        _hashed(arrow, size, least), f"id {name}, h1 long, h2 long, body string"))
     reps = sets.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    members = sets.select("id", "h1", "h2").join(reps, ["h1", "h2"]).select("id", "rep").checkpoint()
-    grams = sets.select(F.col("id").alias("rep"), "grams").join(members.filter("id = rep").select("rep").distinct(), "rep", "left_semi")
-    banded = grams.mapInArrow(_banded(arrow), f"rep {name}, keys array<long>").select("rep", F.explode("keys").alias("key"))
-    keyed = banded.checkpoint()
-    counts = keyed.groupBy("key").count().filter("count > 1")
-    shared = keyed.join(counts, "key").checkpoint()  # only buckets of two and more are left: a small part of the rows
-    light = shared.filter(F.col("count") <= BUCKET).select("key", "rep")
-    near = light.alias("x").join(light.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")))
-    near = near.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).count().filter(F.col("count") >= BANDS_AGREE).select("a", "b")
-    left = near.join(grams.withColumnsRenamed({"rep": "a", "grams": "ga"}), "a")
-    both = left.join(grams.withColumnsRenamed({"rep": "b", "grams": "gb"}), "b")
+    members = written(sets.select("id", "h1", "h2").join(reps, ["h1", "h2"]).select("id", "rep"))
+    firsts = members.filter("id = rep").select("rep").distinct()
+    texts = sets.select(F.col("id").alias("rep"), "body").join(firsts, "rep", "left_semi")
+    banded = texts.mapInArrow(_banded(size), f"key long, rep {name}")
+    # one shuffle of 16 bytes a band; the rows of a large bucket stream through their task and are not held
+    found = written(banded.repartition("key").sortWithinPartitions("key").mapInArrow(_runs(arrow), f"key long, a {name}, b {name}"))
+    near = found.filter("b is not null").groupBy("a", "b").count().filter(F.col("count") >= BANDS_AGREE).select("a", "b")
+    heavy = found.filter("b is null").select("key", F.col("a").alias("rep"))
+    near, heavy = written(near), written(heavy)
+    wanted = near.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(heavy.select("rep")).distinct()
+    grams = written(texts.join(wanted, "rep", "left_semi").mapInArrow(_grams(size), f"rep {name}, grams array<long>"))
+    both = near.join(grams.withColumnsRenamed({"rep": "a", "grams": "ga"}), "a").join(grams.withColumnsRenamed({"rep": "b", "grams": "gb"}), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     exact = both.select("a", "b", common.alias("c"), (F.size("ga") + F.size("gb")).alias("s")).filter(
         F.col("c") >= threshold * (F.col("s") - F.col("c"))).select("a", "b")
-    heavy = shared.filter(F.col("count") > BUCKET).withColumn("of", F.ceil(F.col("count") / BLOCK))
-    heavy = heavy.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("of")))
-    spread = heavy.select("key", "rep", "block", F.explode(F.expr("sequence(0, of - 1)")).alias("o")).select(
+    sizes = heavy.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("of"))
+    dealt = heavy.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("of")))
+    pairs = dealt.select("key", "rep", "block", F.explode(F.expr("sequence(0, of - 1)")).alias("o")).select(
         "key", "rep", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    inside = spread.join(grams, "rep").groupBy("key", "i", "j").applyInArrow(_block_pairs(arrow, threshold), f"a {name}, b {name}")
-    return members, exact.unionByName(inside).distinct()
+    inside = pairs.join(grams, "rep").groupBy("key", "i", "j").applyInArrow(_block_pairs(arrow, threshold), f"a {name}, b {name}")
+    return members, written(exact.unionByName(inside).distinct())
 
 
 def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -214,15 +275,15 @@ def classes(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row per record: ``id, class_id`` (least id that is reached by links) and ``links`` (records it is linked to).
 
     Labels pass along the links, and in each round every label is also replaced by its own label, so the rounds grow with the
-    logarithm of the longest chain. Each round is a checkpoint in the shared folder.
+    logarithm of the longest chain. Each round is a table written to the shared folder.
     """
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    label = members.select(F.col("rep").alias("node")).distinct().withColumn("label", F.col("node")).checkpoint()
+    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = members.select(F.col("rep").alias("node")).distinct().withColumn("label", F.col("node"))
     while True:
         heard = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = label.join(heard, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = step.alias("s").join(step.select(F.col("node").alias("n2"), F.col("label").alias("l2")), F.col("s.label") == F.col("n2"))
-        fresh = jump.select("node", "old", F.least("label", "l2").alias("label")).checkpoint()
+        fresh = written(jump.select("node", "old", F.least("label", "l2").alias("label")))
         moved = fresh.filter("label <> old").limit(1).count()
         label = fresh.select("node", "label")
         if not moved:

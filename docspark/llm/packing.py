@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark.llm.stage import written
+
 #: Items a shard holds at most, about; the shards follow from the number of items.
 SHARD_ITEMS = 40_000
 #: A container filled to this share counts as closed at the end of a round that is not the last.
@@ -83,7 +85,7 @@ def pack_items(items: DataFrame, specs: DataFrame, id_col: str = "doc_id", size_
     capacity. Empty tables give an empty result. The number of rounds follows the number of items and is logarithmic.
     """
     base = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(size_col).cast("long").alias("size")).filter("size > 0")
-    base = base.checkpoint()
+    base = written(base)
     kinds = specs.select("spec_id", F.col("capacity_tokens").cast("long")).filter("capacity_tokens > 0").collect()  # a handful of rows by definition
     each = base.withColumn("spec", F.explode(F.lit([]).cast("array<struct<spec_id:bigint,capacity_tokens:bigint>>") if not kinds else F.array(
         *[F.struct(F.lit(k.spec_id).cast("long").alias("spec_id"), F.lit(k.capacity_tokens).cast("long").alias("capacity_tokens")) for k in kinds]
@@ -100,7 +102,8 @@ def pack_items(items: DataFrame, specs: DataFrame, id_col: str = "doc_id", size_
         shards = max(1, -(-left // SHARD_ITEMS))
         last = shards == 1 or round_no > 12
         dealt = open_items.withColumn("shard", F.pmod(F.xxhash64("item_id", "part", "size", F.lit(round_no)), F.lit(shards)).cast("int"))
-        placed = dealt.groupBy("spec_id", "shard").applyInArrow(_pack(round_no, last), PLACED).checkpoint()
+        placed = dealt.groupBy("spec_id", "shard").applyInArrow(_pack(round_no, last), PLACED)
+        placed = written(placed)
         out.append(placed.filter("done").select(
             "spec_id", F.concat_ws("-", "round", "shard", "box").alias("container"), "item_id", "part", "size", "capacity_tokens"))
         if last:
