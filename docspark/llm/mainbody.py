@@ -225,7 +225,7 @@ def decide(page: Page, recurs: set[int], content: str | None = None, remove: lis
             continue
         got *= 1 - 0.8 * linked.get(node, 0) / max(1.0, total.get(node, 1.0))
         leaves = count.get(node, [])
-        if node and leaves and leaves[0] in recurs and all(weights[i] <= 2 * SHORT and page.tags[page.leaf_node[i]] not in HEADINGS for i in leaves):
+        if node and leaves and leaves[0] in recurs and page.parents[page.leaf_node[leaves[0]]] == node and all(weights[i] <= 2 * SHORT and page.tags[page.leaf_node[i]] not in HEADINGS for i in leaves):
             got *= 0.3  # a box with a recurring head
         if node and content and matches(page, node, content):
             got *= 1.5
@@ -239,7 +239,7 @@ def decide(page: Page, recurs: set[int], content: str | None = None, remove: lis
             return False
         if any(weights[i] > 2.2 * SHORT or page.tags[page.leaf_node[i]] in HEADINGS or page.tags[page.leaf_node[i]] in KEPT for i in leaves):
             return False
-        if leaves[0] in recurs:
+        if leaves[0] in recurs and page.parents[page.leaf_node[leaves[0]]] == node:
             return True
         return len(leaves) > 1 and linked[node] > 0.7 * total[node]
 
@@ -296,15 +296,22 @@ def _leaf_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _decided(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        out: dict[str, list] = {"seq": [], "lines": [], "body": []}
-        for key, raw, recurs, content, remove in zip(*(frame[c] for c in ("seq", "raw_text", "recurs", "content_selector", "remove_selectors"))):
+        out: dict[str, list] = {"seq": [], "lines": [], "body": [], "heads": [], "prose": []}
+        for key, host, raw, recurs, content, remove in zip(*(frame[c] for c in ("seq", "site", "raw_text", "recurs", "content_selector", "remove_selectors"))):
             page = Page(raw)
-            keep = decide(page, set() if recurs is None else set(recurs), content, list(remove) if remove is not None else [])
+            name = site_name(host, page.title)
+            known = set() if recurs is None else set(recurs)
+            if len(name) > 3:  # a short block that names its own site is a prompt, a credit or an author's box
+                known |= {i for i, t in enumerate(page.texts) if len(t) <= SHORT and name in t.lower() and page.tags[page.leaf_node[i]] not in HEADINGS}
+            keep = decide(page, known, content, list(remove) if remove is not None else [])
             good = {x for i, k in enumerate(keep) if k for x in page.lines[i]}
             bad = {x for i, k in enumerate(keep) if not k for x in page.lines[i]} - good
             out["seq"].append(key)
             out["lines"].append(sorted(x for x in bad if x > page.body_line))
+            tags = [page.tags[x] for x in page.leaf_node]
             out["body"].append("\n".join(page.texts[i] for i, k in enumerate(keep) if k))
+            out["heads"].append("\n".join(page.texts[i] for i, k in enumerate(keep) if k and tags[i] in HEADINGS))
+            out["prose"].append("\n".join(page.texts[i] for i, k in enumerate(keep) if k and tags[i] not in HEADINGS and tags[i] not in ("pre", "code")))
         yield pd.DataFrame(out)
 
 
@@ -320,7 +327,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def main_bodies(df: DataFrame, config: DataFrame) -> DataFrame:
-    """``seq, lines array<int>, body``: per HTML record the numbers of the lines that are not main body, and the main body.
+    """``seq, lines array<int>, body, heads, prose``: per HTML record the numbers of the lines that are not main body, the main
+    body, its headings, and the rest of it without code.
 
     ``df`` has ``seq`` (unique), ``raw_text, source_url, media_type, project_id``; ``config`` has ``project_id,
     content_selector, remove_selectors``. Other columns are not read. Null and empty texts and records that are not HTML give
@@ -343,8 +351,8 @@ def main_bodies(df: DataFrame, config: DataFrame) -> DataFrame:
     hints = config.filter(F.col("project_id").isNotNull()).groupBy("project_id").agg(
         F.first("content_selector").alias("content_selector"), F.first("remove_selectors").alias("remove_selectors"))
     full = pages.join(flags, "seq", "left").join(hints, "project_id", "left").select(
-        "seq", "raw_text", "recurs", "content_selector", "remove_selectors")
-    return full.mapInPandas(_decided, f"seq {kind}, lines array<int>, body string")
+        "seq", "site", "raw_text", "recurs", "content_selector", "remove_selectors")
+    return full.mapInPandas(_decided, f"seq {kind}, lines array<int>, body string, heads string, prose string")
 
 
 def boilerplate_lines(df: DataFrame, config: DataFrame) -> DataFrame:

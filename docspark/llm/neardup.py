@@ -296,8 +296,15 @@ def classes(members: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def record_bodies(df: DataFrame, config: DataFrame) -> DataFrame:
-    """``seq, body`` of source records: without markup and without the lines of problems 3 and 4."""
-    pages = mainbody.main_bodies(df, config).select("seq", "body")
+    """``seq, body, heads, prose`` of source records: without markup and without the lines of problems 3 and 4.
+
+    ``heads`` are the headings, ``prose`` is the body without headings and code.
+    """
+    pages = mainbody.main_bodies(df, config).select("seq", "body", "heads", "prose")
     plain = df.filter((F.col("raw_text") != "") & ~is_html(F.col("media_type"))).select("seq", "raw_text", "source_url", "media_type")
-    kept = lines.without_lines(plain, lines.repeated_lines(plain)).select("seq", F.regexp_replace("clean_text", r"!?\[([^\]\n]*)\]\([^)\n]*\)", "$1").alias("body"))
-    return pages.unionByName(kept)
+    body = F.regexp_replace("clean_text", r"!?\[([^\]\n]*)\]\([^)\n]*\)", "$1")
+    prose = F.regexp_replace("body", r"(?s)```.*?(?:```|\z)", "")
+    prose = F.regexp_replace(prose, r"(?m)^(?: {4}|\t| {0,3}#{1,6}\s).*$", "")
+    heads = F.array_join(F.regexp_extract_all("body", F.lit(r"(?m)^ {0,3}#{1,6}\s+(.*)$"), F.lit(1)), "\n")
+    kept = lines.without_lines(plain, lines.repeated_lines(plain)).select("seq", body.alias("body"))
+    return pages.unionByName(kept.select("seq", "body", heads.alias("heads"), prose.alias("prose")))

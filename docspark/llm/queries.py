@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import encoding, lines, mainbody, neardup, packing, splitting, tokens
+from docspark.llm import encoding, lines, mainbody, neardup, packing, residue, splitting, tokens
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -146,3 +146,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain and the repaired text of every garbled field."""
     return encoding.repaired(table(spark, sf_dir, "source_document"))
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with template residue, filler or a message where content should be."""
+    return residue.residue(table(spark, sf_dir, "source_document"), table(spark, sf_dir, "project_config")).select("seq")
+
+
+@query
+def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was found in each of these records."""
+    return residue.residue(table(spark, sf_dir, "source_document"), table(spark, sf_dir, "project_config"))
