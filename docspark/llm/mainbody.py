@@ -266,7 +266,7 @@ def decide(page: Page, recurs: set[int], content: str | None = None, remove: lis
                 dropped = True
         inside = inside or best == 0
         keep[i] = inside and not dropped and (clear[i] or (page.article_part(i) and page.tags[page.leaf_node[i]] in HEADINGS | {"pre", "code"}))
-    if sum(weights[i] for i in range(n) if keep[i] and page.tags[page.leaf_node[i]] not in HEADINGS) < 200:
+    if best and sum(weights[i] for i in range(n) if keep[i] and page.tags[page.leaf_node[i]] not in HEADINGS) < 200:
         # no more than a message stands where the content should: all of it is the body
         direct = [i for i in range(n) if page.parents[page.leaf_node[i]] == best and page.tags[page.leaf_node[i]] not in HEADINGS]
         for i in direct or [i for i in range(n) if not any(keep) and best in page.chain(page.leaf_node[i])]:
