@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import encoding, lines, mainbody, neardup, packing, residue, splitting, tokens
+from docspark.llm import encoding, lines, mainbody, neardup, packing, residue, splitting, tokens, toxicity
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -158,3 +158,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was found in each of these records."""
     return residue.residue(table(spark, sf_dir, "source_document"), table(spark, sf_dir, "project_config"))
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual content."""
+    scored = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_label"))
+    return scored.filter(F.col("score") > toxicity.THRESHOLD).select("doc_id")
+
+
+@query
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its scores."""
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_label"))
+
+
+@query
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of every source."""
+    return toxicity.rates(toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_label")))
