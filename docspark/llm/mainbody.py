@@ -10,6 +10,7 @@ taken as hints only, since they match nothing on some pages and the wrong thing
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -48,7 +49,7 @@ class Page:
     """The tree of a page: nodes, and leaf blocks with their text and lines."""
 
     def __init__(self, raw: str) -> None:
-        self.tags, self.parents, self.attrs = ["#root"], [-1], [{}]
+        self.tags, self.parents, self.attrs = ["#root"], [-1], [""]
         self.leaf_of: dict[int, int] = {}
         self.leaf_node: list[int] = []
         self.parts: list[list[str]] = []
@@ -76,7 +77,7 @@ class Page:
                         self.parts.append([])
                         self.linked.append(0)
                         self.lines.append([])
-                    shown = html.unescape(row)
+                    shown = html.unescape(row) if "&" in row else row
                     if shown.strip():
                         has_text.add(node)
                         self.parts[leaf].append(shown if self.parts[leaf] and self.lines[leaf][-1] == line else " " + shown)
@@ -127,7 +128,7 @@ class Page:
                     links += 1
                 self.tags.append(name)
                 self.parents.append(stack[-1])
-                self.attrs.append({a.lower(): html.unescape(x or y or z) for a, x, y, z in _ATTR.findall(m.group(3))} if m.group(3) else {})
+                self.attrs.append(m.group(3))
                 if not m.group(3).rstrip().endswith("/"):
                     stack.append(len(self.tags) - 1)
             line += whole.count("\n")
@@ -162,16 +163,22 @@ def masked(text: str, name: str) -> str:
     return re.sub(r"\d+", "0", low)
 
 
-def matches(page: Page, node: int, selector: str | None) -> bool:
-    """Whether a simple selector (``tag``, ``.class``, ``#id``, ``tag.class``, ``tag[attr=value]``, last step of a path) fits."""
+@functools.lru_cache(10_000)
+def _step(selector: str | None) -> tuple | None:
     step = re.split(r"[\s>+~]+", (selector or "").strip())[-1]
     m = re.fullmatch(r"([a-zA-Z][\w-]*)?(?:\.([\w-]+))?(?:#([\w-]+))?(?:\[([\w-]+)=[\"']?([^\]\"']*)[\"']?\])?", step)
-    if not step or not m:
+    return m.groups() if step and m else None
+
+
+def matches(page: Page, node: int, selector: str | None) -> bool:
+    """Whether a simple selector (``tag``, ``.class``, ``#id``, ``tag.class``, ``tag[attr=value]``, last step of a path) fits."""
+    step = _step(selector)
+    if step is None or (step[0] and page.tags[node] != step[0].lower()):
         return False
-    tag, cls, ident, attr, value = m.groups()
-    have = page.attrs[node]
+    tag, cls, ident, attr, value = step
+    have = {a.lower(): html.unescape(x or y or z) for a, x, y, z in _ATTR.findall(page.attrs[node])}
     return (
-        (not tag or page.tags[node] == tag.lower()) and (not cls or cls in have.get("class", "").split())
+        (not cls or cls in have.get("class", "").split())
         and (not ident or have.get("id") == ident) and (not attr or have.get(attr) == value)
     )
 
