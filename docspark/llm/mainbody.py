@@ -90,7 +90,8 @@ class Page:
             between = raw[at : m.start()]
             if between:
                 if hidden is None:
-                    text(between, line)
+                    if not between.isspace():
+                        text(between, line)
                 elif hidden == "title":
                     self.title += between
                 line += between.count("\n")
@@ -175,6 +176,8 @@ def matches(page: Page, node: int, selector: str | None) -> bool:
     step = _step(selector)
     if step is None or (step[0] and page.tags[node] != step[0].lower()):
         return False
+    if not page.attrs[node]:
+        return bool(step[0]) and not any(step[1:])
     tag, cls, ident, attr, value = step
     have = {a.lower(): html.unescape(x or y or z) for a, x, y, z in _ATTR.findall(page.attrs[node])}
     return (
@@ -184,7 +187,7 @@ def matches(page: Page, node: int, selector: str | None) -> bool:
 
 
 def _weight(text: str) -> float:
-    return len(text) + 2.0 * len(_CJK.findall(text))
+    return len(text) + (0.0 if text.isascii() else 2.0 * len(_CJK.findall(text)))
 
 
 def decide(page: Page, recurs: set[int], content: str | None = None, remove: list[str] | None = None) -> list[bool]:
@@ -193,6 +196,7 @@ def decide(page: Page, recurs: set[int], content: str | None = None, remove: lis
     if not n:
         return []
     weights = [_weight(t) for t in page.texts]
+    removed = {x for x in range(1, len(page.tags)) for s in remove or [] if matches(page, x, s)}
     points, total, linked, count = {}, {}, {}, {}
     lists: dict[int, list[int]] = {}
     for i in range(n):
@@ -214,7 +218,7 @@ def decide(page: Page, recurs: set[int], content: str | None = None, remove: lis
             own = 0.3 * (1 - share)
         if page.tags[node] == "h1":
             own = 6.0
-        if own and any(matches(page, x, s) for s in (remove or []) for x in page.chain(node)):
+        if own and removed and not removed.isdisjoint(page.chain(node)):
             own *= 0.5
         step = 1.0
         up = node if page.tags[node] not in LEAVES and page.tags[node] not in ("pre", "blockquote", "span", "code") and len(page.lines[i]) > 1 else page.parents[node]

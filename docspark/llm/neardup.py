@@ -50,11 +50,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _hashes: dict[str, int] = {}
 
 
-def shingles(body: str, size: int) -> tuple[int, np.ndarray]:
-    """Number of words, and the sorted distinct 64-bit hashes of the runs of ``size`` words."""
-    words = _WORD.findall(body.lower())
-    if len(words) < size:
-        return len(words), np.zeros(0, np.uint64)
+def words_of(body: str) -> list[str]:
+    """Words in lower case: runs of letters and digits, a Chinese character being one."""
+    return _WORD.findall(body.lower())
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
     if len(_hashes) > 1_000_000:
         _hashes.clear()
     fresh = set(words).difference(_hashes)
@@ -62,35 +63,51 @@ def shingles(body: str, size: int) -> tuple[int, np.ndarray]:
         import xxhash
 
         _hashes.update((w, xxhash.xxh64_intdigest(w)) for w in fresh)
-    each = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def shingle_runs(lists: list[list[str]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the runs of ``size`` words of several texts, one after the other, and the number of runs of each."""
+    each = word_hashes([w for words in lists for w in words])
+    counts = np.array([len(x) for x in lists])
+    runs = np.maximum(counts - size + 1, 0)
+    if not runs.sum():
+        return np.zeros(0, np.uint64), runs
+    n = len(each) - size + 1
     with np.errstate(over="ignore"):
-        run = each[: len(each) - size + 1].copy()
+        run = each[:n].copy()
         for i in range(1, size):
-            run = _mix(run * np.uint64(0x9E3779B97F4A7C15) + each[i : len(each) - size + 1 + i])
-    return len(words), np.unique(run)
+            run = _mix(run * np.uint64(0x9E3779B97F4A7C15) + each[i : n + i])
+    starts = np.cumsum(counts) - counts
+    at = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(starts, runs)
+    return run[at], runs
+
+
+def shingles(words: list[str], size: int) -> np.ndarray:
+    """The sorted distinct hashes of the runs of ``size`` words of one text."""
+    return np.unique(shingle_runs([words], size)[0])
 
 
-def signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None = None, slots: int = SLOTS) -> np.ndarray:
-    """DartMinHash of several (weighted) sets: for each coordinate the earliest dart that falls into the set's region.
+def signatures(cells: np.ndarray, sizes: np.ndarray, weights: np.ndarray | None = None, slots: int = SLOTS) -> np.ndarray:
+    """DartMinHash of several (weighted) sets, given one after the other with their sizes: for each coordinate the earliest
+    dart that falls into the set's region. An element that is given twice throws the same darts twice.
 
     ``DARTS`` darts are thrown for each coordinate on average, and a set's depth in ranks follows from its weight. A coordinate
     that no dart hits (about 2 %) gets a value of its own, so it agrees with no other set.
     """
-    sizes = np.array([len(x) for x in sets])
-    cells = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    owner, given = np.repeat(np.arange(len(sizes)), sizes), cells
     share = None
     area = sizes.astype(float)
     if weights is not None:
-        each = np.concatenate(weights)
+        each = weights
         times = np.ceil(each).astype(np.int64)
         which = np.repeat(np.arange(len(cells)), times)
         column = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
         with np.errstate(over="ignore"):
             cells = cells[which] + column.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         owner, share = owner[which], np.minimum(each[which] - column, 1.0)
-        area = np.bincount(owner, weights=share, minlength=len(sets))
-    out = np.full(len(sets) * slots, np.iinfo(np.uint64).max, np.uint64)
+        area = np.bincount(owner, weights=share, minlength=len(sizes))
+    out = np.full(len(sizes) * slots, np.iinfo(np.uint64).max, np.uint64)
     depth = np.ceil(slots * DARTS / np.maximum(area, 1e-9)).astype(np.int64)[owner] if len(cells) else np.zeros(0, np.int64)
     at = np.repeat(np.arange(len(cells)), depth)
     level = (np.arange(len(at)) - np.repeat(np.cumsum(depth) - depth, depth)).astype(np.uint64)
@@ -109,9 +126,10 @@ def signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None = None,
             np.minimum.at(out, where, rank)
         empty = np.flatnonzero(out == np.iinfo(np.uint64).max)
         if len(empty):
-            own = np.array([int(np.bitwise_xor.reduce(x)) if len(x) else i for i, x in enumerate(sets)], dtype=np.uint64)
+            ends = np.cumsum(sizes)
+            own = np.array([int(given[e - n : e].sum()) if n else i for i, (e, n) in enumerate(zip(ends, sizes))], dtype=np.uint64)
             out[empty] = _mix(own[empty // slots] + empty.astype(np.uint64)) | np.uint64(1 << 63)
-    return out.reshape(len(sets), slots)
+    return out.reshape(len(sizes), slots)
 
 
 def band_keys(sigs: np.ndarray, rows: int = ROWS) -> np.ndarray:
@@ -124,7 +142,7 @@ def band_keys(sigs: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def _hashed(id_type: pa.DataType, size: int, least: int):
-    """Ids with two hashes of the set of shingles and the body, of the records that are long enough."""
+    """Ids, two hashes of the words, and the words parted by spaces, of the records that are long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -132,13 +150,13 @@ def _hashed(id_type: pa.DataType, size: int, least: int):
         for batch in batches:
             keys, low, high, kept = [], [], [], []
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                count, found = shingles(body or "", size)
-                if count >= least and len(found):
-                    whole = xxhash.xxh3_128_intdigest(found.tobytes())
+                words = words_of(body) if body else []
+                if len(words) >= max(least, size):
+                    kept.append(" ".join(words))
+                    whole = xxhash.xxh3_128_intdigest(kept[-1])
                     keys.append(key)
                     high.append((whole >> 64) - 2**63)
                     low.append((whole & (2**64 - 1)) - 2**63)
-                    kept.append(body)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, id_type), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(kept, pa.string())],
                 names=["id", "h1", "h2", "body"])
@@ -149,7 +167,7 @@ def _hashed(id_type: pa.DataType, size: int, least: int):
 def _grams(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x, size)[1].view(np.int64) for x in batch.column(1).to_pylist()]
+            sets = [shingles(x.split(" "), size).view(np.int64) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "grams"])
 
     return run
@@ -160,7 +178,7 @@ def _banded(size: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                keys = band_keys(signatures([shingles(x, size)[1] for x in part.column(1).to_pylist()]))
+                keys = band_keys(signatures(*shingle_runs([x.split(" ") for x in part.column(1).to_pylist()], size)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.reshape(-1)), part.column(0).take(pa.array(np.repeat(np.arange(len(keys)), keys.shape[1])))], names=["key", "rep"])
 
@@ -244,7 +262,7 @@ def _block_pairs(id_type: pa.DataType, threshold: float):
 def similar(bodies: DataFrame, id_col: str = "seq", body_col: str = "body", size: int = 5, threshold: float = 0.8, least: int = 5) -> tuple[DataFrame, DataFrame]:
     """``(members, pairs)`` of the records with at least ``least`` words.
 
-    ``members``: ``id, rep``; records with the same set of shingles have the same ``rep``, the least id of them. ``pairs``:
+    ``members``: ``id, rep``; records with the same words have the same ``rep``, the least id of them. ``pairs``:
     ``a < b`` representatives whose sets have a Jaccard similarity of at least ``threshold``. Null and empty bodies and bodies
     under ``least`` words give no row; ids should be unique (a repeated row repeats its member); an empty table gives empty
     results; other columns are not read.
