@@ -9,21 +9,22 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspark.functions.pytext import WS, collapse_text, strip, text_or_empty
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(x: pd.Series) -> pd.Series:
     return x.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_unescape(x: pd.Series) -> pd.Series:
     return x.map(lambda s: html.unescape(unicodedata.normalize("NFKC", s)), na_action="ignore")
 
@@ -81,7 +82,7 @@ def script_audit(source: Column, script: Column, language: str = "zh") -> Column
     return F.struct(F.lit(language).alias("language"), (script != source).alias("changed"), F.length(source).alias("source_chars"), F.length(script).alias("script_chars"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _slug(value: pd.Series, fallback: pd.Series) -> pd.Series:
     def one(v: str | None, other: str | None) -> str:
         v = unicodedata.normalize("NFKC", v or "").strip().lower()

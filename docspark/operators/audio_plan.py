@@ -15,7 +15,8 @@ def pause_plan(segments: DataFrame, key: str = "doc_id") -> DataFrame:
     No silence follows the last segment, a missing pause is that of a sentence, and a pause of 0 or less gives no row.
     """
     order = Window.partitionBy(key).orderBy("segment_index")
-    last = F.lead("segment_index").over(order).isNull()
+    segments = segments.withColumn("__last", F.lead("segment_index").over(order).isNull())
+    last = F.col("__last")
     pause = F.coalesce("pause_after_ms", F.lit(PAUSES["sentence"]))
     audio = F.struct(F.lit("audio").alias("type"), F.lit(None).cast("int").alias("duration_ms"), F.lit(None).cast("string").alias("reason"), F.col("audio_path").alias("path"))
     silence = F.when(~last & (pause > 0), F.struct(
