@@ -214,14 +214,15 @@ r AS (
   UNION ALL
   SELECT doc_id, segment_index, 'silence', p, coalesce(pause_reason, 'sentence'), format('pause_{{:04d}}_{{}}ms.wav', segment_index, p) FROM n WHERE NOT last AND p > 0
 )
-SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY index, type) AS INT) AS pos FROM r
+SELECT doc_id, index, type, coalesce(duration_ms, 0) AS duration_ms, coalesce(reason, '') AS reason, path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY index, type) AS INT) AS pos FROM r
 """)
 def q18_pause_plan(spark, d):
-    return audio_plan.pause_plan(_latest(spark, d))
+    plan = audio_plan.pause_plan(_latest(spark, d))
+    return plan.withColumns({"duration_ms": F.coalesce("duration_ms", F.lit(0)), "reason": F.coalesce("reason", F.lit(""))})
 
 
 @query("""
-SELECT coalesce(length(text), 0) AS chars, count(*) AS segments, count(*) FILTER (WHERE length(text) <= 48 AND NOT regexp_matches(text, '[。！？.!?；;]$')) AS headings FROM segment GROUP BY 1
+SELECT CAST(coalesce(length(text), 0) AS INT) AS chars, count(*) AS segments, count(*) FILTER (WHERE length(text) <= 48 AND NOT regexp_matches(text, '[。！？.!?；;]$')) AS headings FROM segment GROUP BY 1
 """)
 def q19_heading_like(spark, d):
     t = F.col("text")
@@ -229,7 +230,7 @@ def q19_heading_like(spark, d):
 
 
 _MARKERS = """
-p AS (SELECT regexp_replace(upper(title), '[^0-9A-Z\\x{4E00}-\\x{9FFF}]+', '', 'g') AS n FROM clean_document WHERE title IS NOT NULL),
+p AS (SELECT regexp_replace(upper(replace(title, 'ß', 'ss')), '[^0-9A-Z\\x{4E00}-\\x{9FFF}]+', '', 'g') AS n FROM clean_document WHERE title IS NOT NULL),
 m AS (
   SELECT DISTINCT unnest(list_concat(CASE WHEN length(n) <= 16 THEN [n] ELSE [] END, list_transform(range(0, length(n) - 7, 4), lambda i: substr(n, CAST(i AS INT) + 1, 8)), [right(n, 8)])) AS marker FROM p WHERE length(n) >= 8
 )
@@ -242,7 +243,7 @@ def q20_leak_markers(spark, d):
 
 
 @query(f"""
-WITH {_MARKERS}, t AS (SELECT segment_id, regexp_replace(upper(text), '[^0-9A-Z\\x{{4E00}}-\\x{{9FFF}}]+', '', 'g') AS n FROM segment WHERE text IS NOT NULL)
+WITH {_MARKERS}, t AS (SELECT segment_id, regexp_replace(upper(replace(text, 'ß', 'ss')), '[^0-9A-Z\\x{{4E00}}-\\x{{9FFF}}]+', '', 'g') AS n FROM segment WHERE text IS NOT NULL)
 SELECT segment_id, count(*) AS matched_marker_count FROM t JOIN m ON contains(t.n, m.marker) GROUP BY segment_id HAVING count(*) >= 2
 """)
 def q21_text_leak(spark, d):
@@ -398,10 +399,10 @@ def q33_audio_paths(spark, d):
     return s.select("segment_id", path.alias("path"), audio_plan.silence_frames(24_000, F.col("pause_after_ms")).alias("frames"))
 
 
-@query("SELECT date_trunc('day', fetched_at) AS start, count(*) AS documents, CAST(sum(coalesce(length(raw_text), 0)) AS BIGINT) AS chars FROM source_document GROUP BY 1")
+@query("SELECT strftime(fetched_at, '%Y-%m-%d') AS day, count(*) AS documents, CAST(sum(coalesce(length(raw_text), 0)) AS BIGINT) AS chars FROM source_document GROUP BY 1")
 def q34_arrivals(spark, d):
     """Documents and characters per day of fetching: the batch form of the streaming aggregate."""
-    return table(spark, d, "source_document").groupBy(F.date_trunc("day", "fetched_at").alias("start")).agg(
+    return table(spark, d, "source_document").groupBy(F.date_format("fetched_at", "yyyy-MM-dd").alias("day")).agg(
         F.count(F.lit(1)).alias("documents"), F.sum(F.coalesce(F.length("raw_text"), F.lit(0))).alias("chars"))
 
 
