@@ -142,8 +142,8 @@ def site_records(df: DataFrame) -> DataFrame:
     kept = df.select("seq", site_of(F.col("source_url")).alias("site"), "raw_text", "media_type").filter(
         F.col("site").isNotNull() & (F.col("raw_text") != "") & ~is_html(F.col("media_type"))
     )
-    key = F.transform(F.split("raw_text", "\n", -1), lambda x, i: F.struct(
-        (i + 1).alias("line_no"), F.when(letters_only(x) != "", F.xxhash64(letters_only(x))).alias("key")))
+    plain = F.transform(F.split("raw_text", "\n", -1), letters_only)
+    key = F.transform(plain, lambda x, i: F.struct((i + 1).alias("line_no"), F.when(x != "", F.xxhash64(x)).alias("key")))
     return kept.select("seq", "site", key.alias("rows"))
 
 
