@@ -76,11 +76,37 @@ def weight(text: str) -> int:
     return len(text) + 2 * len(_CJK.findall(text))
 
 
-def is_filler(line: str) -> bool:
-    """Latin filler (most words of a line of six and more), or the phrases of fill-in texts over most of the line."""
-    words = re.findall(r"[^\W\d_]+", line.lower())
-    if len(words) >= 5 and sum(w in _LATIN for w in words) >= 0.75 * len(words):
-        return True
+# Literal parts of the patterns above: a text (in lower case) without any of them cannot match, and most texts have none.
+_STRONG_KEYS = ("{{", "<%", "{%", "${", "#{", "@@", "[insert", "[add", "[your", "[enter", "*|")
+_WEAK_KEYS = ("[[", "{", "%", "__")
+_FILL_KEYS = (
+    "placeholder", "dummy", "filler text", "your text", "your content", "your headline", "your title", "your copy", "text goes here", "type here", "write something", "replace this", "sample ",
+    "headline one", "two lines at most", "short description", "todo: ", "to be removed", "real copy", "add your", "add a ", "platzhalter", "blindtext", "hier steht", "texte ", "votre texte",
+    "texto ", "заполнитель", "здесь будет", "рыбный", "tekst", "占位", "示例", "此处", "在此输入", "这里是正文", "请在",
+)
+_LATIN_KEYS = (
+    "lorem", "ipsum", "dolor", "consectetur", "adipiscing", "eiusmod", "tempor", "incididunt", "aliqua", "veniam", "nostrud", "ullamco", "aliquip", "commodo", "cillum", "excepteur", "occaecat",
+    "cupidatat", "mollit", "vivamus", "tellus", "lectus", "vestibulum", "porta", "culpa", "labore", "magna",
+)
+_MESSAGE_KEYS = (
+    "script", "browser", "脚本", "不存在", "无法", "找不到", "加载", "稍候", "拒绝", "请求", "出错", "服务器", "维护", "40", "50", "41", "42", "51", "not found", "introuvable", "no se encuentra", "nicht gefunden", "encontrad",
+    "не найден", "znalezion", "never existed", "leads nowhere", "nothing", "find the page", "file missing", "page", "moved or", "removed or", "denied", "blocked", "forbidden", "robot", "captcha",
+    "too many", "expired", "sign in again", "permission", "refusé", "denegado", "verweigert", "запрещ", "odmowa", "negado", "fatal", "uncaught", "unhandled", "exception", "stack trace", "database",
+    "unavailable", "server error", "timeout", "time-out", "maintenance", "temporarily", "try again", "loading", "please wait", "bitte warten", "lädt", "chargement", "cargando", "carregando", "загрузка",
+    "подождите", "wczytywanie", "ładowanie", "aktivieren", "activ", "habilit", "ative", "включите", "włącz", "mantenimiento", "manutenção", "wartung", "obsługi",
+)
+_NAME = re.compile(r"[^\W\d_]+")
+
+
+def is_filler(line: str, low: str | None = None) -> bool:
+    """Latin filler (most words of a line of five and more), or the phrases of fill-in texts over most of the line."""
+    low = line.lower() if low is None else low
+    if any(k in low for k in _LATIN_KEYS):
+        words = _NAME.findall(low)
+        if len(words) >= 5 and sum(w in _LATIN for w in words) >= 0.75 * len(words):
+            return True
+    if not any(k in low for k in _FILL_KEYS):
+        return False
     sentences = [x for x in re.split(r"(?<=[.!?。！？])\s*", line) if x.strip()]
     return bool(sentences) and sum(weight(x) for x in sentences if _FILL.search(x)) >= 0.5 * sum(map(weight, sentences))
 
@@ -92,30 +118,38 @@ def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for seq, site, title, heads, prose in zip(*(frame[c] for c in ("seq", "site", "title", "heads", "prose"))):
             title, heads, prose = (x if isinstance(x, str) else "" for x in (title, heads, prose))
-            plain = _CODE.sub(" ", prose)
+            plain = _CODE.sub(" ", prose) if "`" in prose else prose
             above = _CODE.sub(" ", title + "\n" + heads)
-            strong = len(_STRONG.findall(plain)) + len(_STRONG.findall(above))
-            weak = sum(2 if re.search(r"[A-Z_.]", x.strip("_")) else 1 for x in _WEAK.findall(plain)) + 2 * len(_WEAK.findall(above))
+            low = (above + "\n" + plain).lower()
+            strong = weak = 0
+            if any(k in low for k in _STRONG_KEYS):
+                strong = len(_STRONG.findall(plain)) + len(_STRONG.findall(above))
+            if any(k in low for k in _WEAK_KEYS):
+                weak = sum(2 if re.search(r"[A-Z_.]", x.strip("_")) else 1 for x in _WEAK.findall(plain)) + 2 * len(_WEAK.findall(above))
+            fills = any(k in low for k in _LATIN_KEYS) or any(k in low for k in _FILL_KEYS)
             names = {title.strip().lower(), *(h.strip().lower() for h in heads.split("\n"))}
-            units, total, filler, flow = [], 0, 0, ""
+            units, total, filler, flow = [], 0, 0, False
             for line in plain.split("\n"):
                 line = line.strip()
-                if not line or line.lower() in names:
+                small = line.lower()
+                if not line or small in names:
                     continue
-                w = weight(line)
+                w = len(line) if line.isascii() else weight(line)
                 total += w
-                if is_filler(line):
-                    filler += w
-                elif len(re.findall(r"[^\W\d_]+", line)) < 5 and flow and any(x in _LATIN for x in re.findall(r"[^\W\d_]+", line.lower())):
-                    filler += w  # the end of a wrapped paragraph of filler
-                flow = line if is_filler(line) else ""
-                kind = 2 if _FOLLOW.search(line) else 1 if len(line) <= LONGEST_MESSAGE and _MESSAGE.search(line) else 0
-                units.append((xxhash.xxh64_intdigest(masked(line)) - 2**63, w, kind))
+                if fills:
+                    whole = is_filler(line, small)
+                    # the end of a wrapped paragraph of filler counts with it
+                    if whole or flow and len(_NAME.findall(small)) < 5 and any(x in _LATIN for x in _NAME.findall(small)):
+                        filler += w
+                    flow = whole
+                kind = 0
+                if len(line) <= LONGEST_MESSAGE:
+                    kind = 2 if _FOLLOW.match(line) else 1 if any(k in small for k in _MESSAGE_KEYS) and _MESSAGE.search(line) else 0
+                units.append((line, w, kind))
             headed = bool(not units and heads and _MESSAGE.search(heads))
-            rows.append((seq, site or "", strong, weak, total, filler, headed, units if total < SHORT_BODY else [u for u in units if u[2]]))
-        out = pd.DataFrame(rows, columns=["seq", "site", "strong", "weak", "total", "filler", "headed", "units"])
-        out["units"] = [[{"key": k, "weight": w, "kind": c} for k, w, c in u] for u in out["units"]]
-        yield out
+            kept = units if total < SHORT_BODY else [u for u in units if u[2]]
+            rows.append((seq, site or "", strong, weak, total, filler, headed, [{"key": xxhash.xxh64_intdigest(masked(x)) - 2**63, "weight": w, "kind": c} for x, w, c in kept]))
+        yield pd.DataFrame(rows, columns=["seq", "site", "strong", "weak", "total", "filler", "headed", "units"])
 
 
 def residue(df: DataFrame, config: DataFrame) -> DataFrame:
