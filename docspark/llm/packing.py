@@ -84,20 +84,20 @@ def pack_items(items: DataFrame, specs: DataFrame, id_col: str = "doc_id", size_
     ``spec_id, container (string), item_id, part, size, capacity_tokens``; an item has several parts only if it exceeds the
     capacity. Empty tables give an empty result. The number of rounds follows the number of items and is logarithmic.
     """
-    base = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(size_col).cast("long").alias("size")).filter("size > 0")
+    base = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(size_col).cast("long").alias("size")).filter("size > 0").withColumn("row", F.monotonically_increasing_id())  # fixed once the table is written
     base = written(base)
     kinds = specs.select("spec_id", F.col("capacity_tokens").cast("long")).filter("capacity_tokens > 0").collect()  # a handful of rows by definition
     each = base.withColumn("spec", F.explode(F.lit([]).cast("array<struct<spec_id:bigint,capacity_tokens:bigint>>") if not kinds else F.array(
         *[F.struct(F.lit(k.spec_id).cast("long").alias("spec_id"), F.lit(k.capacity_tokens).cast("long").alias("capacity_tokens")) for k in kinds]
     )))
     open_items = each.select(
-        "spec.spec_id", "spec.capacity_tokens", "item_id",
+        "spec.spec_id", "spec.capacity_tokens", "item_id", "row",
         F.explode(F.expr("transform(sequence(0, cast((size - 1) div spec.capacity_tokens as int)), i -> struct(cast(i as int) as part, cast(least(spec.capacity_tokens, size - i * spec.capacity_tokens) as bigint) as size))")).alias("p"),
-    ).select("spec_id", "capacity_tokens", "item_id", "p.part", "p.size")
+    ).select("spec_id", "capacity_tokens", "item_id", "row", "p.part", "p.size")
     full = open_items.filter("size = capacity_tokens")
-    open_items = open_items.filter("size < capacity_tokens")
+    open_items = open_items.filter("size < capacity_tokens").drop("row")
     left, round_no, done = base.count(), 0, []
-    out = [full.select("spec_id", F.concat_ws("-", F.lit("full"), "item_id", "part").alias("container"), "item_id", "part", "size", "capacity_tokens")]
+    out = [full.select("spec_id", F.concat_ws("-", F.lit("full"), "row", "part").alias("container"), "item_id", "part", "size", "capacity_tokens")]
     while True:
         shards = max(1, -(-left // SHARD_ITEMS))
         last = shards == 1 or round_no > 12

@@ -55,7 +55,8 @@ _cache: dict = {}
 def _fold(word: str) -> str:
     """l and i as one letter, runs of a letter as one, accents dropped."""
     word = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)).replace("l", "i")
-    return re.sub(r"(.)\1+", r"\1", word)
+    short = re.sub(r"(.)\1+", r"\1", word)
+    return short * 2 if len(short) == 1 < len(word) else short
 
 
 def canonical(raw: str) -> tuple[str, ...]:
