@@ -13,6 +13,7 @@ from docspark.functions.clean import inferred_title
 from docspark.functions.html import extract_links, parse_sitemap
 from docspark.functions.pytext import optional_int, stable_id, strip, text_or_empty
 from docspark.functions.urls import same_domain, url_allowed
+from docspark.sources.storage import checkpoint_folder
 
 NO_ORDER = 999_999
 MEDIA = {"md": "text/markdown", "markdown": "text/markdown", "html": "text/html", "htm": "text/html", "txt": "text/plain"}
@@ -118,6 +119,7 @@ def crawl(pages: DataFrame, starts: list[str], max_pages: int, same_host: bool =
     have no page are visited too, but are not counted. Every level is a checkpoint.
     """
     spark = pages.sparkSession
+    checkpoint_folder(spark)
     empty = spark.createDataFrame([], "doc_order int, url string")
     if not starts or max_pages <= 0:
         return empty
