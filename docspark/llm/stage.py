@@ -3,24 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
-
+from docspark.sources.storage import checkpoint_folder
 
-def folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where none is named (as in tests) one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docspark-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+_made: list[tuple[SparkSession, str]] = []
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -34,7 +23,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again; removed when the program ends."""
     spark = df.sparkSession
-    path = f"{folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _made:
         atexit.register(lambda: [_remove(*x) for x in _made])
