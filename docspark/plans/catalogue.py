@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt out by a key before work in Python, where the table has fewer splits than there are cores."""
+    """Rows dealt out by a key before heavy work on texts, where the table has fewer splits than there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
@@ -126,7 +126,7 @@ def q09_static_filter(spark, d):
 
 @query()
 def q10_clean_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", clean.clean_source_text(F.col("text")).alias("clean_text"))
+    return dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", clean.clean_source_text(F.col("text")).alias("clean_text"))
 
 
 _NL = "regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g')"
@@ -141,7 +141,7 @@ def q11_normalized_newlines(spark, d):
 
 @query()
 def q12_script_audit(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", clean.render_script(F.col("text"), "en").alias("script"))
+    docs = dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "text", clean.render_script(F.col("text"), "en").alias("script"))
     return docs.select("doc_id", "script", clean.script_audit(F.col("text"), F.col("script"), "en").alias("a")).select("doc_id", "script", "a.*")
 
 
@@ -163,7 +163,7 @@ WITH RECURSIVE p AS (
 
 @query(_CHUNKS + "SELECT clean_id, CAST(len(cs) AS INT) AS chunk_total, unnest(cs) AS chunk_text, CAST(generate_subscripts(cs, 1) AS INT) AS chunk_index FROM c")
 def q13_translation_chunks(spark, d):
-    docs = table(spark, d, "clean_document").select("clean_id", "clean_text")
+    docs = dealt(table(spark, d, "clean_document").select("clean_id", "clean_text"), "clean_id")
     return chunking.explode_chunks(docs, "clean_text", 2000)
 
 
@@ -186,7 +186,7 @@ def q16_segments(spark, d):
     """Segments of every clean document, with the sizes of its project."""
     config = table(spark, d, "project_config").select(
         "project_id", F.when(F.col("target_chars") > 0, F.col("target_chars")).alias("t"), F.when(F.col("max_chars") > 0, F.col("max_chars")).alias("m"))
-    docs = table(spark, d, "clean_document").select("clean_id", "project_id", "clean_text").join(config, "project_id", "left")
+    docs = dealt(table(spark, d, "clean_document").select("clean_id", "project_id", "clean_text"), "clean_id").join(config, "project_id", "left")
     sized = docs.select(F.struct("clean_id").alias("k"), "clean_text", F.coalesce("t", F.lit(segments.TARGET_CHARS)).alias("t"), F.coalesce("m", F.lit(segments.MAX_CHARS)).alias("m"))
     return segments.explode_segments(sized, "k", "clean_text", F.col("t"), F.col("m")).select("k.clean_id", "segment_index", "text", "chars", "pause_reason", "pause_after_ms")
 
