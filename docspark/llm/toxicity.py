@@ -1,11 +1,13 @@
 """Problem 9: abusive, hateful or sexual content, by a classifier chain of linear models over sentences.
 
 Texts are cut into sentences and words brought to a canonical form that undoes disguise: look-alike letters and digits, marks
-between letters, stretched letters, hidden characters. Only sentences with a trigger -- a word of the short lexicon or one that
-reviewers' verdicts tie to abuse -- are looked at further. A chain of logistic models predicts insult, hate and sexual content
-in turn, each fed with the chances of the ones before, and last whether the sentence is abusive; in training the earlier chances
-are out of fold. A verdict is on a whole document, so the sentence that carries it is found in rounds: the likeliest sentence of
-a document found abusive is taken as the example, all triggered sentences of a document found sound are counterexamples.
+between letters, stretched letters, hidden characters. A chain of logistic models predicts insult, hate and sexual content in
+turn, each fed with the chances of the ones before, and last whether the sentence is abusive; every sentence is scored, and in
+training the earlier chances are out of fold. A verdict is on a whole document, so the sentence that carries it is found in
+rounds: the likeliest sentence of a document found abusive is taken as the example, the sentences of a document found sound are
+counterexamples. Of the latter, those without a trigger (a word of the short lexicon or one that the verdicts tie to abuse) are
+many and alike; at most ``MAX_PLAIN`` of them are fitted on, with about the weight of the sentences with a trigger. As some
+verdicts are wrong, a sentence without a trigger is an example only if a model fitted without its document finds it likely.
 
 The model is fitted on at most ``MAX_LABELLED`` labelled documents and has at most ``MAX_FEATURES`` features, so what is sent
 to the executors is bounded; every document is scored.
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LABELLED, MAX_FEATURES = 20_000, 60_000
+MAX_PLAIN = 10_000
+PLAIN_CHANCE = 0.4
 CATEGORIES = ("insult", "hate", "sexual")
 FOLDS, ROUNDS, STEPS = 3, 3, 60
 THRESHOLD = 0.5
@@ -120,7 +124,7 @@ def features(tokens: list[str], sentence: str) -> set[str]:
             out.add(f"#{c}+")
     if _QUOTE.search(sentence):
         out.add("#quote")
-    if any(t[0] == "*" for t in tokens):
+    if any(t[:1] == "*" for t in tokens):
         out.add("#masked")
     return out
 
@@ -128,25 +132,50 @@ def features(tokens: list[str], sentence: str) -> set[str]:
 class Model:
     """Chain of linear models: ``index`` of the features, ``weights`` (features x models), ``bias``, ``link`` (earlier chances)."""
 
-    def __init__(self, index: dict[str, int], weights: np.ndarray, bias: np.ndarray, link: np.ndarray, triggers: frozenset[str]) -> None:
-        self.index, self.weights, self.bias, self.link, self.triggers = index, weights, bias, link, triggers
-
-    def chances(self, feats: set[str]) -> np.ndarray:
-        rows = [self.index[f] for f in feats if f in self.index]
-        z = self.bias + (self.weights[rows].sum(axis=0) if rows else 0.0)
-        out = np.zeros(len(z))
-        for j in range(len(z)):
-            out[j] = 1 / (1 + np.exp(-(z[j] + self.link[j, :j] @ out[:j])))
-        return out
-
-    def score(self, text: str) -> np.ndarray:
-        """Chances of insult, hate, sexual and abusive: the greatest over the sentences."""
-        best = np.zeros(len(CATEGORIES) + 1)
-        triggers = self.triggers
-        for s in sentences(text):
-            tokens = words(s)
-            if not triggers.isdisjoint(tokens):
-                best = np.maximum(best, self.chances(features(tokens, s)))
+    def __init__(self, index: dict[str, int], weights: np.ndarray, bias: np.ndarray, link: np.ndarray) -> None:
+        self.index, self.weights, self.bias, self.link = index, weights, bias, link
+        self.heads = frozenset(f.split(" ", 1)[0] for f in index if " " in f)
+
+    def known(self, tokens: list[str], sentence: str) -> list[int]:
+        """The indices of ``features(tokens, sentence)``; a pair is only put together if one with its first word is known."""
+        index, heads, lexicon = self.index, self.heads, _lexicon()
+        kinds = set(tokens)
+        out = {index[t] for t in kinds if t in index}
+        plain = [t for t in tokens if not _HAN.match(t)] if not sentence.isascii() else tokens
+        out.update(index[f] for a, b in zip(plain, plain[1:]) if a in heads and (f := f"{a} {b}") in index)
+        for c in CATEGORIES:
+            hits = len(kinds & lexicon[c])
+            if hits:
+                out.add(index[f"#{c}"])
+            if hits > 1:
+                out.add(index[f"#{c}+"])
+        if _QUOTE.search(sentence):
+            out.add(index["#quote"])
+        if "*" in sentence and any(t[:1] == "*" for t in kinds):
+            out.add(index["#masked"])
+        return list(out)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """For each text the chances of insult, hate, sexual and abusive: the greatest over all its sentences.
+
+        A sentence without any feature of the index adds nothing: for it the chain knows only its bias.
+        """
+        flat, sizes, owner = [], [], []
+        for i, text in enumerate(texts):
+            for s in sentences(text) if isinstance(text, str) else ():
+                rows = self.known(words(s), s)
+                if rows:
+                    flat += rows
+                    sizes.append(len(rows))
+                    owner.append(i)
+        best = np.zeros((len(texts), len(CATEGORIES) + 1))
+        if not sizes:
+            return best
+        z = self.bias + np.add.reduceat(self.weights[flat], np.cumsum([0, *sizes[:-1]]), axis=0)
+        out = np.zeros_like(z)
+        for j in range(z.shape[1]):
+            out[:, j] = 1 / (1 + np.exp(-np.clip(z[:, j] + out[:, :j] @ self.link[j, :j], -500, 500)))
+        np.maximum.at(best, owner, out)
         return best
 
 
@@ -189,13 +218,17 @@ def fit(docs: list[tuple[object, str, float, frozenset[str]]]) -> Model:
             n_good += 1
     odds = {t: np.log((c + 0.3) / n_bad) - np.log((good[t] + 0.3) / n_good) for t, c in bad.items() if c >= 3}
     triggers = frozenset(t for t, x in odds.items() if x > 2.0) | seeds
-    sents, owner = [], []
-    for d, (_, _, _, parts) in enumerate(cut):
-        for s, tokens in parts:
-            if not triggers.isdisjoint(tokens):
-                sents.append((tokens, features(tokens, s)))
-                owner.append(d)
-    owner = np.array(owner, dtype=np.int64)
+    chosen, plain = [], []
+    for d, (key, share, _, parts) in enumerate(cut):
+        for i, (_, tokens) in enumerate(parts):
+            (chosen if share > 0.5 or not triggers.isdisjoint(tokens) else plain).append((d, i))
+    some = plain
+    if len(plain) > MAX_PLAIN:
+        some = sorted(plain, key=lambda x: hashlib.blake2b(repr((cut[x[0]][0], x[1])).encode(), digest_size=8).digest())[:MAX_PLAIN]
+    owner = np.array([d for d, _ in chosen + some], dtype=np.int64)
+    sents = [(tokens, features(tokens, s)) for d, i in chosen + some for s, tokens in [cut[d][3][i]]]
+    sure = np.array([not triggers.isdisjoint(tokens) for tokens, _ in sents], dtype=bool)
+    weight = np.where(sure, 1.0, min(1.0, (sure.sum() + n_bad) / max(1, (~sure).sum())))
     counts = Counter(f for _, fs in sents for f in fs)
     kept = [f for f, n in counts.most_common(MAX_FEATURES) if n >= 2 or f[0] == "#"]
     index = {f: i for i, f in enumerate(kept)}
@@ -212,13 +245,13 @@ def fit(docs: list[tuple[object, str, float, frozenset[str]]]) -> Model:
         prior[index[f"#{c}+"], [j, 3]] = 1.2, 1.2
     prior[index["#quote"], :] = -1.0
     none = np.zeros((len(rows), 0))
-    guess = np.array([sum(max(0.0, odds.get(t, 0.0)) for t in set(tokens)) for tokens, _ in sents])
+    guess = np.array([sum(max(0.0, odds.get(t, 0.0)) for t in set(tokens)) + 2 * ("#masked" in fs) for tokens, fs in sents]) + 10 * sure
     positive = np.zeros(len(rows), bool)
     chance = guess
     for i in range(ROUNDS):
         # of each document found abusive the likeliest sentence, and every other that is as good as sure
         best: dict[int, int] = {}
-        for r in np.flatnonzero(labelled > 0.5):
+        for r in np.flatnonzero((labelled > 0.5) & (sure | (chance > (PLAIN_CHANCE if i else 0)))):
             d = int(owner[r])
             if d not in best or chance[r] > chance[best[d]]:
                 best[d] = int(r)
@@ -226,12 +259,17 @@ def fit(docs: list[tuple[object, str, float, frozenset[str]]]) -> Model:
         positive[list(best.values())] = True
         if i:
             positive |= (labelled > 0.5) & (chance > 0.8)
+            weight[positive] = 1.0
         use = positive | (labelled < 0.5)
         at = np.flatnonzero(use)
         if i == ROUNDS - 1:
             break
-        w, b, _ = _fit([rows[r] for r in at], positive[at].astype(float), np.ones(len(at)), size, prior[:, 3], none[at])
-        chance = np.array([1 / (1 + np.exp(-(b + w[r].sum()))) for r in rows])
+        chance = np.zeros(len(rows))
+        for k in range(FOLDS):
+            part = at[folds[at] != k]
+            w, b, _ = _fit([rows[r] for r in part], positive[part].astype(float), weight[part], size, prior[:, 3], none[part])
+            for r in np.flatnonzero(folds == k):
+                chance[r] = 1 / (1 + np.exp(-(b + w[rows[r]].sum())))
     weights, bias, link = np.zeros((size, 4)), np.zeros(4), np.zeros((4, 4))
     extra = np.zeros((len(rows), 0))
     for j in range(len(CATEGORIES) + 1):
@@ -245,15 +283,12 @@ def fit(docs: list[tuple[object, str, float, frozenset[str]]]) -> Model:
         if j < len(CATEGORIES):
             for k in range(FOLDS):
                 part = at[folds[at] != k]
-                w, b, v = _fit([rows[r] for r in part], target[part].astype(float), np.ones(len(part)), size, prior[:, j], extra[part])
+                w, b, v = _fit([rows[r] for r in part], target[part].astype(float), weight[part], size, prior[:, j], extra[part])
                 for r in np.flatnonzero(folds == k):
                     out[r] = 1 / (1 + np.exp(-(b + w[rows[r]].sum() + extra[r] @ v)))
-        weights[:, j], bias[j], link[j, :j] = _fit([rows[r] for r in at], target[at].astype(float), np.ones(len(at)), size, prior[:, j], extra[at])
+        weights[:, j], bias[j], link[j, :j] = _fit([rows[r] for r in at], target[at].astype(float), weight[at], size, prior[:, j], extra[at])
         extra = np.column_stack((extra, out))
-    # a sentence can only be found by a word that speaks for abuse
-    strong = weights[:, 3]
-    triggers = frozenset(t for t in triggers if t in seeds or (t in index and strong[index[t]] > 0.2))
-    return Model(index, weights, bias, link, triggers)
+    return Model(index, weights, bias, link)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[tuple[object, str, float, frozenset[str]]]:
@@ -269,7 +304,8 @@ def _scorer(shared):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for frame in frames:
-            out = np.array([model.score(t) if isinstance(t, str) and t else np.zeros(4) for t in frame["text"]]).reshape(-1, 4)
+            texts = frame["text"].tolist()
+            out = np.concatenate([model.scores(texts[i : i + 512]) for i in range(0, len(texts), 512)] or [np.zeros((0, 4))])
             yield pd.DataFrame({"doc_id": frame["doc_id"], "source": frame["source"], "insult": out[:, 0], "hate": out[:, 1], "sexual": out[:, 2], "score": out[:, 3]})
 
     return run

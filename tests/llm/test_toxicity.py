@@ -50,3 +50,21 @@ def test_without_labels_and_rows(spark):
     got = {r.doc_id: r.score for r in toxicity.scores(docs, none).collect()}
     assert got[1] > got[2] == 0
     assert toxicity.scores(docs.filter("false"), none).count() == 0
+
+
+def test_every_sentence_is_scored(spark):
+    letters = "bcdfghjkmnprstvwz"
+    plain = lambda: "She saw the " + "".join(rng.choice(letters) for _ in range(5)) + " there."
+    masked = lambda: f"She saw the {rng.choice(letters)}{'*' * rng.randrange(2, 9)}{rng.choice(letters)} there."
+    rows = [(i, "\n".join([plain(), masked() if i % 3 == 0 else plain(), plain()]), "a") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    marks = spark.createDataFrame([(i, "ok" if i % 3 else "abusive", None) for i in range(200)], "doc_id long, label string, category string")
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, marks).collect() if r.doc_id >= 200}
+    assert sum((x > 0.5) == (i % 3 == 0) for i, x in got.items()) >= 95
+
+
+def test_indices_are_those_of_the_features():
+    model = toxicity.fit([(i, t, float(c is not None), frozenset([c] if c else [])) for i, t, _, c in make(60)])
+    for s in CALM + ["S**t, \"you\" 蠢货 idiot", "你死了也没人会在乎。"] + [f(x) for f in DISGUISE for r in RUDE.values() for x in r]:
+        tokens = toxicity.words(s)
+        assert sorted(model.known(tokens, s)) == sorted(model.index[f] for f in toxicity.features(tokens, s) if f in model.index)
