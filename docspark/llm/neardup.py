@@ -88,9 +88,21 @@ def shingles(words: list[str], size: int) -> np.ndarray:
     return np.unique(shingle_runs([words], size)[0])
 
 
+def shingle_sets(lists: list[list[str]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of ``shingle_runs`` of each text, one text after the other, and their number for each."""
+    cells, runs = shingle_runs(lists, size)
+    if not len(cells):
+        return cells, runs
+    owner = np.repeat(np.arange(len(runs)), runs)
+    order = np.lexsort((cells, owner))
+    cells, owner = cells[order], owner[order]
+    first = np.concatenate(([True], (cells[1:] != cells[:-1]) | (owner[1:] != owner[:-1])))
+    return cells[first], np.bincount(owner[first], minlength=len(runs))
+
+
 def signatures(cells: np.ndarray, sizes: np.ndarray, weights: np.ndarray | None = None, slots: int = SLOTS) -> np.ndarray:
     """DartMinHash of several (weighted) sets, given one after the other with their sizes: for each coordinate the earliest
-    dart that falls into the set's region. An element that is given twice throws the same darts twice.
+    dart that falls into the set's region. The elements of a set are distinct: a repeated one would lower the set's depth.
 
     ``DARTS`` darts are thrown for each coordinate on average, and a set's depth in ranks follows from its weight. A coordinate
     that no dart hits (about 2 %) gets a value of its own, so it agrees with no other set.
@@ -178,7 +190,7 @@ def _banded(size: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                keys = band_keys(signatures(*shingle_runs([x.split(" ") for x in part.column(1).to_pylist()], size)))
+                keys = band_keys(signatures(*shingle_sets([x.split(" ") for x in part.column(1).to_pylist()], size)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.reshape(-1)), part.column(0).take(pa.array(np.repeat(np.arange(len(keys)), keys.shape[1])))], names=["key", "rep"])
 
