@@ -71,9 +71,16 @@ def url_items(spark: SparkSession, items: list, url_file: str = "") -> DataFrame
 
 
 def items_to_documents(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """Items joined with their fetched pages ``(url, raw_text, content_type)``; hidden metadata keys are dropped."""
-    joined = items.join(pages, "url").select(
-        "seq", "title", "raw_text", F.col("url").alias("source_url"), F.lit("").alias("source_path"), "section", "doc_order",
+    """Items with their fetched pages ``(url, raw_text, content_type, error)``; hidden metadata keys are dropped.
+
+    An item whose page failed or is missing keeps its row, with an empty text and the ``error``.
+    """
+    if "error" not in pages.columns:
+        pages = pages.withColumn("error", F.lit(None).cast("string"))
+    read = pages.select("url", "raw_text", "content_type", "error").withColumn("__there", F.lit(True))
+    failed = F.when(F.col("__there").isNull(), "no page was given").when(F.col("raw_text").isNull(), F.coalesce("error", F.lit("the page has no text")))
+    joined = items.join(read, "url", "left").select(
+        "seq", "title", text_or_empty(F.col("raw_text")).alias("raw_text"), failed.alias("error"), F.col("url").alias("source_url"), F.lit("").alias("source_path"), "section", "doc_order",
         F.coalesce(F.nullif("content_type", F.lit("")), F.lit("text/html")).alias("media_type"),
         F.map_filter("metadata", lambda k, _: ~k.startswith("_")).alias("metadata"))
     return with_identity(joined)
@@ -111,12 +118,15 @@ def local_documents(spark: SparkSession, items: list[dict], resolve: Callable[[s
     return with_identity(joined.select("seq", "title", "raw_text", F.lit("").alias("source_url"), "source_path", "section", "doc_order", "media_type", "metadata"))
 
 
-def crawl(pages: DataFrame, starts: list[str], max_pages: int, same_host: bool = True, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+def crawl(
+    pages: DataFrame, starts: list[str], max_pages: int, same_host: bool = True, include: list[str] = (), exclude: list[str] = (),
+    fetch: Callable[[list[str], int], DataFrame] | None = None) -> DataFrame:
     """Breadth-first over a table of pages ``(url, html, content_type)``: ``doc_order, url`` of the pages reached.
 
     A level is one join of its frontier with the pages; the links of its pages, first come first, less everything visited, are
     the next frontier. The order is that of a queue: level, place of the parent, place of the link. URLs that are turned away or
-    have no page are visited too, but are not counted. Every level is a checkpoint.
+    have no page are visited too, but are not counted. Every level is a checkpoint. With ``fetch`` the pages of a level are those
+    it gives for the URLs of the frontier in their order and the number still wanted, and ``pages`` only lends its session.
     """
     spark = pages.sparkSession
     checkpoint_folder(spark)
@@ -128,6 +138,8 @@ def crawl(pages: DataFrame, starts: list[str], max_pages: int, same_host: bool =
     while True:
         ok = front.filter(url_allowed(F.col("url"), list(include), list(exclude)))
         ok = ok.filter(same_domain(F.col("url"), starts)) if same_host else ok
+        if fetch is not None:
+            pages = fetch([r.url for r in ok.orderBy("place").select("url").collect()], max_pages - found)
         got = ok.join(pages.dropDuplicates(["url"]), "url").orderBy("place").limit(max_pages - found)
         ranked = got.withColumn("doc_order", F.row_number().over(Window.orderBy("place")) + found).checkpoint()  # at most max_pages rows
         n = ranked.count()

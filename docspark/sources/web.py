@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -64,6 +65,8 @@ class _Reader(DataSourceReader):
         self.delay = float(options.get("request_delay_seconds", 0) or 0)
         self.timeout = int(options.get("timeout_seconds", 30) or 30)
         self.agent = options.get("user_agent", "docspark/0.1")
+        self.headers = json.loads(options.get("headers", "") or "{}")
+        self.renderer = options.get("renderer", "static")
 
     def partitions(self) -> list[InputPartition]:
         hosts: dict[str, list[str]] = {}
@@ -72,9 +75,11 @@ class _Reader(DataSourceReader):
         return [_Host(x) for x in hosts.values()] or [_Host([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        static = lambda url: fetch_url(url, timeout=self.timeout, user_agent=self.agent, headers=self.headers)
+        fetch = renderer(self.renderer, static)
         for url in partition.urls:
             try:
-                text, kind = fetch_url(url, timeout=self.timeout, user_agent=self.agent)
+                text, kind = fetch(url)
                 yield url, text, kind, None
             except Exception as error:  # a failed page is a row, not a failed job
                 yield url, None, None, f"{type(error).__name__}: {error}"

@@ -145,3 +145,41 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = arrivals.segment_stream(arrivals.document_stream(spark, str(tmp_path / "in"), docs.schema))
     arrivals.run_batches(stream, str(tmp_path / "ck"), lambda df, i: seen.extend(df.collect())).awaitTermination()
     assert len(seen) == arrivals.segment_stream(docs).count() == 10
+
+
+def test_run_fetches_filters_and_keeps_failures(spark, tmp_path):
+    import http.server
+    import threading
+
+    class Site(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            here = f"http://127.0.0.1:{self.server.server_port}"
+            pages = {"/map": f"<urlset><url><loc>{here}/b</loc></url></urlset>", "/c": f'<html><nav>MENU</nav><article><p>Page c.</p><a href="{here}/d">d</a><a href="{here}/gone">g</a></article></html>'}
+            pages |= {f"/{x}": f"<html><nav>MENU</nav><article><p>Page {x}.</p></article></html>" for x in "abd"}
+            self.send_response(200 if self.path in pages else 404)
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            self.end_headers()
+            self.wfile.write(pages.get(self.path, "").encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    s = settings.from_mapping({
+        "project": {"output_dir": str(tmp_path / "out")}, "translation": {"enabled": False}, "tts": {"enabled": False},
+        "source": {"urls": [f"{at}/a", f"{at}/missing"], "sitemap_urls": [f"{at}/map", f"{at}/nomap"], "content_selector": "article", "crawl": {"start_urls": [f"{at}/c"], "max_pages": 5}}})
+    try:
+        made = pipeline.run_pipeline(spark, s, to_phase="extract")
+    finally:
+        server.shutdown()
+    errors = {d["source_url"].removeprefix(at): d["error"] for d in made["documents"]}
+    assert {u for u, e in errors.items() if e is None} == {"/a", "/b", "/c", "/d"}
+    assert {u for u, e in errors.items() if e and "404" in e} == {"/missing", "/nomap", "/gone"}
+    texts = [r.clean_text for r in pipeline.StageTables(spark, (tmp_path / "out").as_uri()).read("extract").collect()]
+    assert len(texts) == 4 and all("Page" in t and "MENU" not in t for t in texts)
+    assert len(pipeline.inspect_run(spark, s.project.output_dir)["issues"]) == 3
+    some = spark.createDataFrame([(f"{at}/a", "<html><article><p>x</p></article></html>", "text/html")], "url string, raw_text string, content_type string")
+    kept = {r.source_url.removeprefix(at): r.error for r in pipeline.collect_sources(spark, s, some).collect()}
+    assert kept == {"/a": None, "/missing": "no page was given", "/nomap": "no page was given", "/map": "no page was given", "/c": "no page was given"}
