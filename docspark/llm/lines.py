@@ -2,9 +2,11 @@
 
 A site's records are dealt to chunks of bounded size (a hot site has many). Each chunk concatenates the line identifiers of its
 records, builds the suffix array and the array of common prefixes, and turns every interval of suffixes with a common prefix
-into a block with the number of records it spans; a single line is the block of length one and is always reported. Blocks are
-counted again over the chunks of a site, those that span enough records are kept, and their lines are deleted. As every line
-of a block spans at least the records of the block, the lines of all blocks are exactly the single-line blocks kept.
+into a block with the number of records it spans; a single line is the block of length one and is always reported. Lines are
+counted again over the chunks of a site, those that span enough records are kept and deleted. As every line of a block spans at
+least the records of the block, blocks of several lines are made of kept lines only. So records are cut down to their kept
+lines, those of a site that are equal then are one row with a count, and the suffix array over these rows, in one piece for a
+site of any size, gives each longer block with its exact number of records.
 """
 
 from __future__ import annotations
@@ -70,8 +72,11 @@ def _intervals(common: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def repeated_blocks(records: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
-    """``(hash, lines, records, record, start)`` of the repeated blocks of some records; single lines always, longer ones if in two."""
+def repeated_blocks(records: list[np.ndarray], of: np.ndarray | None = None, counts: np.ndarray | None = None) -> list[tuple[int, int, int, int, int]]:
+    """``(hash, lines, records, record, start)`` of the repeated blocks of some records; single lines always, longer ones if in two.
+
+    With ``of`` and ``counts`` the records are pieces: piece i belongs to row ``of[i]``, which stands for ``counts[of[i]]`` records.
+    """
     if not sum(map(len, records)):
         return []
     owner = np.concatenate([np.full(len(r) + 1, i, np.int64) for i, r in enumerate(records)])
@@ -98,7 +103,8 @@ def repeated_blocks(records: list[np.ndarray]) -> list[tuple[int, int, int, int,
     for length, a, b in _intervals(common):
         if length < 2:
             continue
-        span = len(np.unique(owners[a : b + 1]))
+        held = owners[a : b + 1] if of is None else of[owners[a : b + 1]]
+        span = len(np.unique(held)) if counts is None else int(counts[np.unique(held)].sum())
         if span < 2:
             continue
         p = int(order[a])
@@ -134,6 +140,38 @@ def _chunk_blocks(id_type: pa.DataType):
     return run
 
 
+def _site_blocks(id_type: pa.DataType):
+    """The blocks of several lines of one site, from its distinct rows of kept lines (null for a gap) with their counts."""
+    names = ["site", "block", "lines", "records", "id", "start"]
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        counts, at = table.column("n").to_numpy(), table.column("at").to_pylist()
+        pieces, of, first = [], [], []
+        for i, marks in enumerate(table.column("marks").to_pylist()):
+            seen, piece = 0, []
+            for k in [*marks, None]:
+                if k is not None:
+                    piece.append(k)
+                    continue
+                if len(piece) > 1:  # twice, so that a row that stands for many records repeats also where it is the only one
+                    pieces += [np.array(piece, dtype=np.int64)] * 2
+                    of += [i, i]
+                    first += [seen, seen]
+                seen += len(piece)
+                piece = []
+        found = [x for x in repeated_blocks(pieces, np.array(of), counts) if x[1] > 1]
+        cols = list(zip(*found)) if found else [[], [], [], [], []]
+        return pa.Table.from_arrays(
+            [
+                pa.array([key[0].as_py()] * len(found), pa.string()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),
+                pa.array([at[of[i]]["id"] for i in cols[3]], id_type), pa.array([at[of[i]]["pos"][first[i] + j] for i, j in zip(cols[3], cols[4])], pa.int32()),
+            ],
+            names=names,
+        )
+
+    return run
+
+
 def site_records(df: DataFrame) -> DataFrame:
     """``seq, site, rows``: the records that count, with ``rows`` an array of (line_no, key); key null for a line without letters.
 
@@ -150,9 +188,29 @@ def site_records(df: DataFrame) -> DataFrame:
 def repeated(df: DataFrame, min_records: int = MIN_RECORDS, min_share: float = MIN_SHARE) -> DataFrame:
     """``site, block, lines, records, site_records, id, start``: blocks that span enough records of their site.
 
-    ``id`` and ``start`` name one place where the block stands (start counts the lines with letters from 0). The counts of
-    single lines are exact; a longer block is counted in the chunks where it repeats.
+    ``id`` and ``start`` name one place where the block stands (start counts the lines with letters from 0). All counts are
+    exact. A longer block is given where its occurrences in the site do not all go on with the same kept line.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = df.schema["seq"].dataType
+    single = single_lines(df, min_records, min_share)
+    kept = single.groupBy("site").agg(F.collect_set("block").alias("blocks"), F.first("site_records").alias("site_records"))
+    keyed = site_records(df).select("seq", "site", F.expr("transform(filter(rows, r -> r.key is not null), r -> r.key)").alias("keys"))
+    marked = keyed.join(kept, "site").select("site", "seq", F.expr("transform(keys, k -> if(array_contains(blocks, k), k, null))").alias("all"))
+    cut = marked.select(
+        "site", F.expr("filter(all, (x, i) -> x is not null or (i > 0 and get(all, i - 1) is not null))").alias("marks"),
+        F.struct(F.col("seq").alias("id"), F.expr("filter(transform(all, (x, i) -> if(x is null, null, i)), i -> i is not null)").alias("pos")).alias("at"))
+    alike = cut.filter("size(at.pos) > 1").groupBy("site", "marks").agg(F.count(F.lit(1)).alias("n"), F.min_by("at", "at.id").alias("at"))
+    blocks = alike.groupBy("site").applyInArrow(_site_blocks(to_arrow_type(kind)), BLOCKS.format(id=kind.simpleString()))
+    several = blocks.groupBy("site", "block", "lines").agg(F.max("records").alias("records"), F.min_by(F.struct("id", "start"), "id").alias("at"))
+    long = several.filter(F.col("records") >= min_records).join(kept.select("site", "site_records"), "site").filter(
+        F.col("records") >= min_share * F.col("site_records")).select("site", "block", "lines", "records", "site_records", "at.id", "at.start")
+    return single.unionByName(long)
+
+
+def single_lines(df: DataFrame, min_records: int = MIN_RECORDS, min_share: float = MIN_SHARE) -> DataFrame:
+    """The rows of ``repeated`` with one line, counted over all chunks of a site."""
     recs = site_records(df)
     sites = recs.groupBy("site").agg(F.count(F.lit(1)).alias("site_records"))
     keyed = recs.select("seq", "site", F.expr("transform(filter(rows, r -> r.key is not null), r -> r.key)").alias("keys"))
@@ -163,7 +221,7 @@ def repeated(df: DataFrame, min_records: int = MIN_RECORDS, min_share: float = M
 
     kind = df.schema["seq"].dataType
     blocks = dealt.select("site", "chunk", F.col("seq").alias("id"), "keys").groupBy("site", "chunk").applyInArrow(
-        _chunk_blocks(to_arrow_type(kind)), BLOCKS.format(id=kind.simpleString()))
+        _chunk_blocks(to_arrow_type(kind)), BLOCKS.format(id=kind.simpleString())).filter("lines = 1")
     summed = blocks.groupBy("site", "block", "lines").agg(F.sum("records").alias("records"), F.min_by(F.struct("id", "start"), "id").alias("at"))
     return summed.filter(F.col("records") >= min_records).join(sites, "site").filter(
         F.col("records") >= min_share * F.col("site_records")
@@ -176,7 +234,7 @@ def repeated_lines(df: DataFrame, min_records: int = MIN_RECORDS, min_share: flo
     ``df`` has ``seq, raw_text, source_url, media_type``; further columns are not read, null and empty texts and records
     without a host give no rows, a repeated row counts as a record of its own, an empty table gives no rows.
     """
-    found = repeated(df, min_records, min_share).filter("lines = 1").groupBy("site").agg(F.collect_set("block").alias("blocks"))
+    found = single_lines(df, min_records, min_share).groupBy("site").agg(F.collect_set("block").alias("blocks"))
     # a kept line stands in a tenth of its site's records, so a site has at most ten times as many as a record has lines
     rows = site_records(df).join(found, "site").select(
         "seq", F.explode(F.expr("filter(rows, r -> array_contains(blocks, r.key))")).alias("r"))

@@ -228,3 +228,19 @@ def test_repeats_within_a_body_leave_its_signature_alone():
     assert (keys[0] == keys[1]).mean() > 0.85 and (keys[0] == keys[2]).mean() > 0.85
     cells, sizes = neardup.shingle_sets([b.split(" ") for b in bodies] + [[]], 3)
     assert sizes.tolist() == [40, 40, 40, 0] and len(cells) == 120
+
+
+def test_long_blocks_do_not_depend_on_the_chunks(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "own" + letters[i // 26] + letters[i % 26]
+    texts = [f"{word(i)}\nHead one\nHead two\n" + ("Tail left" if i % 3 else "Tail right") + f"\n{word(i + 60)}" + ("\nHead one\nHead two" if i % 2 else "") for i in range(40)]
+    df = docs(spark, [{"raw": t, "url": "https://site.example/x"} for t in texts])
+    got = []
+    for size in (1000, 4, 1):
+        monkeypatch.setattr(lines, "CHUNK_RECORDS", size)
+        rows = lines.repeated(df).filter("lines > 1").collect()
+        got.append(sorted((r.block, r.lines, r.records) for r in rows))
+        for r in rows:
+            own = texts[r.id].split("\n")
+            assert own[r.start].startswith("Head") and len(own) >= r.start + r.lines
+    assert got[0] == got[1] == got[2] and sorted((n, k) for _, n, k in got[0]) == [(2, 14), (2, 26), (2, 40), (3, 14), (3, 26)]
