@@ -29,8 +29,9 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every piece of every document, for each spec."""
-    sizes = tokens.encode_corpus(table(spark, sf_dir, "documents")).select("doc_id", F.size("ids").alias("size"))
-    return packing.pack_items(sizes, table(spark, sf_dir, "container_spec")).withColumnRenamed("item_id", "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    sizes = tokens.encode_corpus(docs).select("doc_id", F.size("ids").alias("size"))
+    return packing.with_empty(packing.pack_items(sizes, table(spark, sf_dir, "container_spec")), docs.filter("text is null or text = ''"), table(spark, sf_dir, "container_spec")).withColumnRenamed("item_id", "doc_id")
 
 
 @query

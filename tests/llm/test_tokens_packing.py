@@ -110,3 +110,13 @@ def test_packing_of_nothing(spark):
     specs = spark.createDataFrame([(1, 256)], "spec_id long, capacity_tokens int")
     assert packing.pack_items(none, specs).count() == 0
     assert packing.pack_items(spark.createDataFrame([(1, 5)], none.schema), specs.filter("false")).count() == 0
+
+
+def test_empty_documents_are_packed_too(spark, tmp_path):
+    from docspark.llm import queries
+
+    spark.createDataFrame([(1, "some text"), (2, ""), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 256), (2, 1024)], "spec_id long, capacity_tokens int").write.parquet(f"{tmp_path}/container_spec.parquet")
+    rows = queries.p8_packed(spark, str(tmp_path)).collect()
+    assert sorted((r.spec_id, r.doc_id, r["size"] > 0) for r in rows) == [(s, d, d == 1) for s in (1, 2) for d in (1, 2, 3)]
+    assert len({(r.spec_id, r.container) for r in rows}) == 2
