@@ -3,23 +3,26 @@
 A page is read into a tree of blocks. Paragraphs pass points for their length and commas to their parent and, halved, to the
 one above, discounted by the share of the text that is linked; the best container and its like siblings are kept, and inside
 them blocks that are prompts or lists of teasers are taken out again. What tells a prompt from a short paragraph is that it
-recurs: in a first pass every short block is counted, with digits and the site's name masked, over the pages of its site and
-over the sites (pre-aggregated, one row per page and block); recurring blocks earn no points. Selectors of the project are
-taken as hints only, since they match nothing on some pages and the wrong thing on others.
+recurs: every block is counted, with digits and the site's name masked, over the pages of its site and over the sites
+(pre-aggregated, one row per page and block); recurring blocks earn no points. Selectors of the project are taken as hints
+only, since they match nothing on some pages and the wrong thing on others.
+
+A page is parsed once: its tree is written beside the keys of its blocks, and the decision reads the tree back.
 """
 
 from __future__ import annotations
 
 import functools
 import html
+import marshal
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import is_html, site_of
+from docspark.llm.common import HOT_ROWS, is_html, join_hot, site_of
 from docspark.llm.stage import written
 
 # HTML elements by their part in the tree.
@@ -30,8 +33,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT = frozenset("ul ol dl blockquote pre table figure code".split())
 LEAVES = frozenset("p li dt dd option".split()) | HEADINGS
 
-#: A block longer than this is never a prompt.
+#: A block longer than this is a prompt only if it recurs as LONG_PAGES and LONG_SHARE say: edited copies of an article share long blocks.
 SHORT = 160
+LONG_PAGES, LONG_SHARE = 5, 0.3
 #: A block recurs in its site: pages with other titles that have it, at least, and their share of the site's pages.
 SITE_PAGES, SITE_SHARE = 3, 0.05
 #: In a site of few pages two are enough at this share.
@@ -50,7 +54,7 @@ class Page:
     """The tree of a page: nodes, and leaf blocks with their text and lines."""
 
     def __init__(self, raw: str) -> None:
-        self.tags, self.parents, self.attrs = ["#root"], [-1], [""]
+        self.tags, self.parents, self.attrs = ["#root"], [-1], {}
         self.leaf_of: dict[int, int] = {}
         self.leaf_node: list[int] = []
         self.parts: list[list[str]] = []
@@ -135,16 +139,23 @@ class Page:
                         stack.pop()
                 tags.append(name)
                 parents.append(stack[-1])
-                attrs_of.append(attrs)
+                if attrs:
+                    attrs_of[len(tags) - 1] = attrs
                 if attrs[-1:] != "/":
                     stack.append(len(tags) - 1)
         if raw[at:] and hidden is None:
             text(raw[at:], line)
 
-    def chain(self, node: int) -> Iterator[int]:
-        while node > 0:
-            yield node
-            node = self.parents[node]
+    def packed(self) -> bytes:
+        """The tree as bytes."""
+        return marshal.dumps((self.tags, self.parents, self.attrs, self.leaf_node, self.linked, self.lines, self.texts, self.body_line, self.title))
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Page:
+        page = cls.__new__(cls)
+        page.tags, page.parents, page.attrs, page.leaf_node, page.linked, page.lines, page.texts, page.body_line, page.title = marshal.loads(raw)
+        page.leaf_of = {node: leaf for leaf, node in enumerate(page.leaf_node)}
+        return page
 
     def article_part(self, leaf: int) -> bool:
         """Headings, and blocks in lists, quotations, code and tables within a list of their own."""
@@ -176,15 +187,20 @@ def _step(selector: str | None) -> tuple | None:
     return m.groups() if step and m else None
 
 
+@functools.lru_cache(10_000)
+def _attributes(raw: str) -> dict[str, str]:
+    return {a.lower(): html.unescape(x or y or z) for a, x, y, z in _ATTR.findall(raw)}
+
+
 def matches(page: Page, node: int, selector: str | None) -> bool:
     """Whether a simple selector (``tag``, ``.class``, ``#id``, ``tag.class``, ``tag[attr=value]``, last step of a path) fits."""
     step = _step(selector)
     if step is None or (step[0] and page.tags[node] != step[0].lower()):
         return False
-    if not page.attrs[node]:
+    if node not in page.attrs:
         return bool(step[0]) and not any(step[1:])
     tag, cls, ident, attr, value = step
-    have = {a.lower(): html.unescape(x or y or z) for a, x, y, z in _ATTR.findall(page.attrs[node])}
+    have = _attributes(page.attrs[node])
     return (
         (not cls or cls in have.get("class", "").split())
         and (not ident or have.get("id") == ident) and (not attr or have.get(attr) == value)
@@ -200,135 +216,192 @@ def decide(page: Page, recurs: set[int], content: str | None = None, remove: lis
     n = len(page.leaf_node)
     if not n:
         return []
-    weights = [_weight(t) for t in page.texts]
-    removed = {x for x in range(1, len(page.tags)) for s in remove or [] if matches(page, x, s)}
-    points, total, linked, count = {}, {}, {}, {}
+    tags, parents, leaf_node, texts = page.tags, page.parents, page.leaf_node, page.texts
+    nodes = len(tags)
+    weights = [_weight(t) for t in texts]
+    kinds = [tags[x] for x in leaf_node]
+    removed = {x for x in range(1, nodes) for s in remove or [] if matches(page, x, s)}
     lists: dict[int, list[int]] = {}
+    part = [page.article_part(i) for i in range(n)]
     for i in range(n):
-        if page.article_part(i):
-            lists.setdefault(page.parents[page.leaf_node[i]], []).append(i)
+        if part[i]:
+            lists.setdefault(parents[leaf_node[i]], []).append(i)
     for items in lists.values():  # a list is a menu only if most of it recurs
         if sum(i in recurs for i in items) < 0.6 * len(items):
             recurs = recurs.difference(items)
-    clear = [i not in recurs and not (" / " in page.texts[i] and _PATH.match(page.texts[i])) for i in range(n)]
+    clear = [i not in recurs and not (" / " in texts[i] and _PATH.match(texts[i])) for i in range(n)]
+    within = [False] * nodes  # inside an element to remove
+    for x in range(1, nodes) if removed else ():
+        within[x] = x in removed or within[parents[x]]
+    points: dict[int, float] = {}
+    # sums over the leaves below a node; children come after their parents, so one pass backwards adds them up
+    total, linked, below, first = [0.0] * nodes, [0.0] * nodes, [0] * nodes, [n] * nodes
+    heavy, plain = [False] * nodes, [True] * nodes
     for i in range(n):
-        text, node = page.texts[i], page.leaf_node[i]
+        text, node, w = texts[i], leaf_node[i], weights[i]
         share = min(1.0, page.linked[i] / max(1, len(text)))
         own = 0.0
-        if clear[i] and weights[i] >= 20:
-            own = (1 + (text.count(",") + text.count("，") + text.count("、")) * 0.5 + min(weights[i] / 100, 6.0)) * (1 - share)
-            if page.tags[node] in HEADINGS:
+        if clear[i] and w >= 20:
+            own = (1 + (text.count(",") + text.count("，") + text.count("、")) * 0.5 + min(w / 100, 6.0)) * (1 - share)
+            if kinds[i] in HEADINGS:
                 own = 1.0
         elif clear[i]:
             own = 0.3 * (1 - share)
-        if page.tags[node] == "h1":
+        if kinds[i] == "h1":
             own = 6.0
-        if own and removed and not removed.isdisjoint(page.chain(node)):
+        if own and within[node]:
             own *= 0.5
         step = 1.0
-        up = node if page.tags[node] not in LEAVES and page.tags[node] not in ("pre", "blockquote", "span", "code") and len(page.lines[i]) > 1 else page.parents[node]
+        up = node if kinds[i] not in LEAVES and kinds[i] not in ("pre", "blockquote", "span", "code") and len(page.lines[i]) > 1 else parents[node]
         while up >= 0 and step > 0.1:
             points[up] = points.get(up, 0.0) + own * step
-            step *= 0.9 if page.tags[up] in KEPT else 0.5
-            up = page.parents[up]
-        for up in page.chain(page.parents[node]):
-            total[up] = total.get(up, 0) + weights[i]
-            linked[up] = linked.get(up, 0) + weights[i] * share
-            count.setdefault(up, []).append(i)
+            step *= 0.9 if tags[up] in KEPT else 0.5
+            up = parents[up]
+        up = parents[node]
+        total[up] += w
+        linked[up] += w * share
+        below[up] += 1
+        first[up] = min(first[up], i)
+        if kinds[i] in HEADINGS:
+            heavy[up], plain[up] = True, False
+        elif w > 2 * SHORT:
+            plain[up] = False
+            heavy[up] |= w > 2.2 * SHORT
+        heavy[up] |= kinds[i] in KEPT
+    for x in range(nodes - 1, 0, -1):
+        if below[x]:
+            up = parents[x]
+            total[up] += total[x]
+            linked[up] += linked[x]
+            below[up] += below[x]
+            first[up] = min(first[up], first[x])
+            heavy[up] |= heavy[x]
+            plain[up] &= plain[x]
+
+    def headed(node: int) -> bool:
+        """The first block below the node is its child and recurs."""
+        return bool(below[node]) and first[node] in recurs and parents[leaf_node[first[node]]] == node
+
     best, score = 0, -1.0
     for node, got in points.items():
-        if page.tags[node] in KEPT:
+        if tags[node] in KEPT:
             continue
-        got *= 1 - 0.8 * linked.get(node, 0) / max(1.0, total.get(node, 1.0))
-        leaves = count.get(node, [])
-        if node and leaves and leaves[0] in recurs and page.parents[page.leaf_node[leaves[0]]] == node and all(weights[i] <= 2 * SHORT and page.tags[page.leaf_node[i]] not in HEADINGS for i in leaves):
-            got *= 0.3  # a box with a recurring head
-        if node and content and matches(page, node, content):
-            got *= 1.5
+        if node:
+            got *= 1 - 0.8 * linked[node] / max(1.0, total[node])
+            if plain[node] and headed(node):
+                got *= 0.3  # a box with a recurring head
+            if content and matches(page, node, content):
+                got *= 1.5
         if got > score:
             best, score = node, got
 
     def box(node: int) -> bool:
         """A box of teasers or prompts inside the main container: a recurring head, or links only, and nothing long."""
-        leaves = count.get(node, [])
-        if not leaves or page.tags[node] in KEPT or page.tags[node] in ("tr", "tbody", "html", "body", "#root"):
+        if not below[node] or heavy[node] or tags[node] in KEPT or tags[node] in ("tr", "tbody", "html", "body", "#root"):
             return False
-        if any(weights[i] > 2.2 * SHORT or page.tags[page.leaf_node[i]] in HEADINGS or page.tags[page.leaf_node[i]] in KEPT for i in leaves):
-            return False
-        if leaves[0] in recurs and page.parents[page.leaf_node[leaves[0]]] == node:
-            return True
-        return len(leaves) > 1 and linked[node] > 0.7 * total[node]
+        return headed(node) or below[node] > 1 and linked[node] > 0.7 * total[node]
 
-    keep = [False] * n
-    siblings = [best]
+    chosen = {best} if best else set()
     if best:
-        around = page.parents[best]
-        for node in range(1, len(page.tags)):
-            if node != best and page.parents[node] == around and page.tags[node] not in ("nav", "footer", "header", "aside"):
-                if node in page.leaf_of:
-                    i = page.leaf_of[node]
-                    if clear[i] and weights[i] > 80 and page.linked[i] < 0.3 * len(page.texts[i]):
-                        siblings.append(node)
-                elif points.get(node, 0) > 0.35 * score and not box(node) and linked.get(node, 0) < 0.5 * total.get(node, 1):
-                    siblings.append(node)
-    chosen = set(siblings)
-    for i in range(n):
-        inside, dropped = False, False
-        for node in page.chain(page.leaf_node[i]):
-            if node in chosen:
-                inside = True
-                break
-            if node != page.leaf_node[i] and box(node):
-                dropped = True
-        inside = inside or best == 0
-        keep[i] = inside and not dropped and (clear[i] or (page.article_part(i) and page.tags[page.leaf_node[i]] in HEADINGS | {"pre", "code"}))
-    if best and sum(weights[i] for i in range(n) if keep[i] and page.tags[page.leaf_node[i]] not in HEADINGS) < 200:
+        around = parents[best]
+        for node in range(1, nodes):
+            if node != best and parents[node] == around and tags[node] not in ("nav", "footer", "header", "aside"):
+                i = page.leaf_of.get(node)
+                if i is not None:
+                    if clear[i] and weights[i] > 80 and page.linked[i] < 0.3 * len(texts[i]):
+                        chosen.add(node)
+                elif points.get(node, 0) > 0.35 * score and not box(node) and linked[node] < 0.5 * (total[node] or 1):
+                    chosen.add(node)
+    inside, dropped = [best == 0] * nodes, [False] * nodes  # by the nearest chosen node above, and the boxes on the way to it
+    for x in range(1, nodes):
+        if x in chosen:
+            inside[x] = True
+        elif x not in page.leaf_of or below[x]:
+            inside[x], dropped[x] = inside[parents[x]], dropped[parents[x]] or box(x)
+    keep = [False] * n
+    for i, node in enumerate(leaf_node):
+        up = parents[node]
+        good = node in chosen or inside[up] and not dropped[up]
+        keep[i] = good and (clear[i] or (part[i] and (kinds[i] in HEADINGS or kinds[i] in ("pre", "code"))))
+    if best and sum(weights[i] for i in range(n) if keep[i] and kinds[i] not in HEADINGS) < 200:
         # no more than a message stands where the content should: all of it is the body
-        direct = [i for i in range(n) if page.parents[page.leaf_node[i]] == best and page.tags[page.leaf_node[i]] not in HEADINGS]
-        for i in direct or [i for i in range(n) if not any(keep) and best in page.chain(page.leaf_node[i])]:
+        direct = [i for i in range(n) if parents[leaf_node[i]] == best and kinds[i] not in HEADINGS]
+        if not direct and not any(keep):
+            under = [False] * nodes
+            for x in range(1, nodes):
+                under[x] = x == best or under[parents[x]]
+            direct = [i for i in range(n) if under[leaf_node[i]]]
+        for i in direct:
             keep[i] = True
     return keep
 
 
-def _leaf_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import xxhash
-
-    for frame in frames:
-        out: dict[str, list] = {"id": [], "site": [], "title": [], "leaf": [], "key": [], "listed": []}
-        for key, host, raw in zip(frame["seq"], frame["site"], frame["raw_text"]):
-            page = Page(raw)
-            name = site_name(host, page.title)
-            title = xxhash.xxh64_intdigest(page.title) >> 1
-            for i, text in enumerate(page.texts):
-                if 0 < len(text) <= SHORT and page.tags[page.leaf_node[i]] not in HEADINGS | KEPT:
-                    out["id"].append(key)
-                    out["site"].append(host or name or "")
-                    out["title"].append(title)
-                    out["leaf"].append(i)
-                    out["listed"].append(page.article_part(i))
-                    out["key"].append(xxhash.xxh64_intdigest(masked(text, name)) - 2**63)
-        yield pd.DataFrame(out)
-
-
-def _decided(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out: dict[str, list] = {"seq": [], "lines": [], "body": [], "heads": [], "prose": []}
-        for key, host, raw, recurs, content, remove in zip(*(frame[c] for c in ("seq", "site", "raw_text", "recurs", "content_selector", "remove_selectors"))):
-            page = Page(raw)
-            name = site_name(host, page.title)
-            known = set() if recurs is None else set(recurs)
-            if len(name) > 3:  # a short block that names its own site is a prompt, a credit or an author's box
-                known |= {i for i, t in enumerate(page.texts) if len(t) <= SHORT and name in t.lower() and page.tags[page.leaf_node[i]] not in HEADINGS}
-            keep = decide(page, known, content, list(remove) if remove is not None else [])
-            good = {x for i, k in enumerate(keep) if k for x in page.lines[i]}
-            bad = {x for i, k in enumerate(keep) if not k for x in page.lines[i]} - good
-            out["seq"].append(key)
-            out["lines"].append(sorted(x for x in bad if x > page.body_line))
-            tags = [page.tags[x] for x in page.leaf_node]
-            out["body"].append("\n".join(page.texts[i] for i, k in enumerate(keep) if k))
-            out["heads"].append("\n".join(page.texts[i] for i, k in enumerate(keep) if k and tags[i] in HEADINGS))
-            out["prose"].append("\n".join(page.texts[i] for i, k in enumerate(keep) if k and tags[i] not in HEADINGS and tags[i] not in ("pre", "code")))
-        yield pd.DataFrame(out)
+BLOCK = pa.struct([("leaf", pa.int32()), ("key", pa.int64()), ("listed", pa.bool_()), ("long", pa.bool_())])
+PARSED = "project_id long, site string, name string, title long, tree binary, blocks array<struct<leaf:int,key:long,listed:boolean,long:boolean>>"
+
+
+def _parsed(id_type: pa.DataType):
+    """From ``seq, project_id, site, raw_text``: the tree of each page, and the keys of its blocks but headings and lists of their own."""
+    schema = pa.schema([("seq", id_type), ("project_id", pa.int64()), ("site", pa.string()), ("name", pa.string()), ("title", pa.int64()), ("tree", pa.binary()), ("blocks", pa.list_(BLOCK))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            sites, names, titles, trees, starts = [], [], [], [], [0]
+            leaf, key, listed, long = [], [], [], []
+            for host, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                page = Page(raw)
+                name = site_name(host, page.title)
+                for i, text in enumerate(page.texts):
+                    tag = page.tags[page.leaf_node[i]]
+                    if text and tag not in HEADINGS and tag not in KEPT:
+                        leaf.append(i)
+                        key.append(xxh64_intdigest(masked(text, name)) - 2**63)
+                        listed.append(page.article_part(i))
+                        long.append(len(text) > SHORT)
+                starts.append(len(leaf))
+                sites.append(host or name or "")
+                names.append(name)
+                titles.append(xxh64_intdigest(page.title) >> 1)
+                trees.append(page.packed())
+            blocks = pa.StructArray.from_arrays([pa.array(leaf, pa.int32()), pa.array(key, pa.int64()), pa.array(listed, pa.bool_()), pa.array(long, pa.bool_())], fields=list(BLOCK))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sites, pa.string()), pa.array(names, pa.string()), pa.array(titles, pa.int64()), pa.array(trees, pa.binary()),
+                                              pa.ListArray.from_arrays(pa.array(starts, pa.int32()), blocks)], schema=schema)
+
+    return run
+
+
+RESULTS = {"lines": "array<int>", "body": "string", "heads": "string", "prose": "string"}
+
+
+def _decided(wanted: tuple[str, ...]):
+    """From ``seq, name, tree, recurs, content_selector, remove_selectors``: the wanted ones of ``RESULTS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in wanted}
+            for name, raw, recurs, content, remove in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+                page = Page.unpacked(raw)
+                known = set(recurs or ())
+                tags = [page.tags[x] for x in page.leaf_node]
+                if len(name) > 3:  # a short block that names its own site is a prompt, a credit or an author's box
+                    known |= {i for i, t in enumerate(page.texts) if len(t) <= SHORT and name in t.lower() and tags[i] not in HEADINGS}
+                keep = decide(page, known, content, remove)
+                kept = [i for i, k in enumerate(keep) if k]
+                if "lines" in out:
+                    good = {x for i in kept for x in page.lines[i]}
+                    out["lines"].append(sorted({x for i, k in enumerate(keep) if not k for x in page.lines[i] if x > page.body_line} - good))
+                if "body" in out:
+                    out["body"].append("\n".join([page.texts[i] for i in kept]))
+                if "heads" in out:
+                    out["heads"].append("\n".join([page.texts[i] for i in kept if tags[i] in HEADINGS]))
+                if "prose" in out:
+                    out["prose"].append("\n".join([page.texts[i] for i in kept if tags[i] not in HEADINGS and tags[i] not in ("pre", "code")]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(out[c], pa.list_(pa.int32()) if c == "lines" else pa.string()) for c in wanted)], names=["seq", *wanted])
+
+    return run
 
 
 def pages_of(df: DataFrame) -> DataFrame:
@@ -342,35 +415,42 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores, "seq") if df.rdd.getNumPartitions() < cores else df
 
 
-def main_bodies(df: DataFrame, config: DataFrame) -> DataFrame:
-    """``seq, lines array<int>, body, heads, prose``: per HTML record the numbers of the lines that are not main body, the main
-    body, its headings, and the rest of it without code.
+def main_bodies(df: DataFrame, config: DataFrame, wanted: tuple[str, ...] = tuple(RESULTS)) -> DataFrame:
+    """``seq`` and the wanted ones of ``lines array<int>, body, heads, prose``: per HTML record the numbers of the lines that are
+    not main body, the main body, its headings, and the rest of it without code.
 
     ``df`` has ``seq`` (unique), ``raw_text, source_url, media_type, project_id``; ``config`` has ``project_id,
     content_selector, remove_selectors``. Other columns are not read. Null and empty texts and records that are not HTML give
     no row; a page without visible text gives an empty body; a null project or null selectors mean no hints.
     """
-    pages = spread(pages_of(df))
-    kind = df.schema["seq"].dataType.simpleString()
-    leaves = pages.select("seq", "site", "raw_text").mapInPandas(_leaf_rows, f"id {kind}, site string, title long, leaf int, key long, listed boolean")
-    leaves = written(leaves)
-    seen = leaves.groupBy("site", "key").agg(F.countDistinct("title").alias("titles"), F.bool_or(~F.col("listed")).alias("loose"))
-    sizes = leaves.groupBy("site").agg(F.countDistinct("title").alias("of"))
-    local = seen.join(sizes, "site").filter(
-        (F.col("titles") >= SITE_PAGES) & (F.col("titles") >= SITE_SHARE * F.col("of"))
-        | (F.col("titles") >= 2) & (F.col("titles") >= FEW_SHARE * F.col("of"))
-    ).select("site", "key")
-    wide = seen.filter("loose").groupBy("key").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= SITES).select("key")
-    here = leaves.join(local, ["site", "key"], "left_semi").select("id", "leaf")
-    there = leaves.filter("not listed").join(wide, "key", "left_semi").select("id", "leaf")
-    flags = here.unionByName(there).groupBy(F.col("id").alias("seq")).agg(F.collect_set("leaf").alias("recurs"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    of = df.schema["seq"].dataType
+    kind = of.simpleString()
     hints = config.filter(F.col("project_id").isNotNull()).groupBy("project_id").agg(
         F.first("content_selector").alias("content_selector"), F.first("remove_selectors").alias("remove_selectors"))
-    full = pages.join(flags, "seq", "left").join(hints, "project_id", "left").select(
-        "seq", "site", "raw_text", "recurs", "content_selector", "remove_selectors")
-    return full.mapInPandas(_decided, f"seq {kind}, lines array<int>, body string, heads string, prose string")
+    pages = spread(pages_of(df))
+    # a page is parsed here and nowhere else; the tables read below are columns of this one
+    parsed = written(pages.select("seq", F.col("project_id").cast("long").alias("project_id"), "site", "raw_text").mapInArrow(_parsed(to_arrow_type(of)), f"seq {kind}, {PARSED}"))
+    blocks = parsed.select("seq", "site", "title", F.explode("blocks").alias("b")).select("seq", "site", "title", "b.*")
+    seen = written(blocks.groupBy("site", "key").agg(F.countDistinct("title").alias("titles"), F.count(F.lit(1)).alias("n"), F.bool_or("long").alias("long"), F.bool_or(~F.col("listed")).alias("loose")))
+    sizes = parsed.groupBy("site").agg(F.countDistinct("title").alias("of"))
+    local = seen.filter("titles > 1").join(sizes, "site").filter(
+        F.when(F.col("long"), (F.col("titles") >= LONG_PAGES) & (F.col("titles") >= LONG_SHARE * F.col("of"))).otherwise(
+            (F.col("titles") >= SITE_PAGES) & (F.col("titles") >= SITE_SHARE * F.col("of"))
+            | (F.col("titles") >= 2) & (F.col("titles") >= FEW_SHARE * F.col("of")))
+    ).select("site", "key")
+    wide = seen.filter("loose and not long").groupBy("key").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= SITES).select("key")
+    # one join for both: a wide block stands in the rows of every site that has it
+    known = local.withColumn("local", F.lit(True)).join(
+        seen.select("site", "key").join(wide, "key"), ["site", "key"], "full").select("site", "key", F.coalesce("local", F.lit(False)).alias("local"))
+    flags = join_hot(blocks, known, ["site", "key"], seen.filter(F.col("n") > HOT_ROWS), "seq").filter("local or not listed")
+    flags = flags.groupBy("seq").agg(F.collect_set("leaf").alias("recurs"))
+    full = parsed.select("seq", "project_id", "name", "tree").join(flags, "seq", "left").join(hints, "project_id", "left").select(
+        "seq", "name", "tree", "recurs", "content_selector", "remove_selectors")
+    return full.mapInArrow(_decided(wanted), f"seq {kind}, " + ", ".join(f"{c} {RESULTS[c]}" for c in wanted))
 
 
 def boilerplate_lines(df: DataFrame, config: DataFrame) -> DataFrame:
     """``seq, line_no``: lines that show a reader text that is not main body (see ``main_bodies``)."""
-    return main_bodies(df, config).select("seq", F.explode("lines").alias("line_no")).select("seq", F.col("line_no").cast("long").alias("line_no"))
+    return main_bodies(df, config, ("lines",)).select("seq", F.explode("lines").alias("line_no")).select("seq", F.col("line_no").cast("long").alias("line_no"))

@@ -1,14 +1,16 @@
 """Problem 1: near-duplicate records by DartMinHash signatures and banded joining.
 
-A record's body is its set of word shingles. Darts are thrown into the (weight x rank) region of every element from hashes of
-the element alone, so two records throw the same darts into what they share; each dart falls on one coordinate of the
+A record's body is its set of word shingles. A dart is thrown into every unit of the (weight x rank) region of an element, from
+a hash of the element alone, so two records throw the same darts into what they share; each dart falls on one coordinate of the
 signature, and the earliest of a coordinate is kept. Two signatures agree on a coordinate with the probability of the
 (weighted) Jaccard similarity. Four coordinates make a band; records that agree on two bands of 128 are candidates and are
 compared exactly.
 
-Skew: exact copies are collapsed before anything is joined, so a hot group of copies is one row. A bucket of more than
-``BUCKET`` different bodies is not joined with itself; its members are dealt to blocks, and each pair of blocks is one small
-group that is compared exactly in place and gives out only the pairs that reach the threshold. Nothing is capped.
+Skew: exact copies are collapsed before anything is joined, so a hot group of copies is one row; where its records are put back,
+they are dealt to parts of about ``COPIES`` records, and a task pairs two parts. The rows of a bucket (16 bytes each) stream
+through their task and are not held. A bucket of more than ``BUCKET`` different bodies is not joined with itself; its members are
+dealt to blocks, and each pair of blocks is one small group that is compared exactly in place and gives out only the pairs that
+reach the threshold. Nothing is capped.
 
 Chance to miss a pair of similarity s: with ``p = (0.98 s)^4``, ``(1 - p)^128 (1 + 128 p / (1 - p))``: 0.4 % at 0.5, 0.02 % at 0.56.
 """
@@ -24,20 +26,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm import lines, mainbody
-from docspark.llm.common import is_html
+from docspark.llm.common import HOT_PARTS, HOT_ROWS, join_hot
 from docspark.llm.stage import written
 
 SLOTS, ROWS = 512, 4
 BANDS_AGREE = 2
 BUCKET, BLOCK = 64, 128
+#: Records of a group of copies that a part holds, about.
+COPIES = 1_000
 
 _HAN = "㐀-䶿一-鿿豈-﫿𠀀-𲎯々〇"
 _WORD = re.compile(f"[{_HAN}]|[^\\W_{_HAN}]+")
 
 #: Darts thrown for each coordinate, on average.
 DARTS = 4
-#: Cumulative chances of 0, 1, 2 ... darts in a cell of unit area (Poisson), as bounds of a 64-bit hash.
-_POISSON = [np.uint64(int(min(1.0, p) * (2**64 - 2048))) for p in np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, i + 1, dtype=float)) for i in range(12)])]
+#: Records that are signed at once, and the bits of a cell beside the record's number.
+AT_ONCE, CELL_BITS = 64, 58
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -89,54 +93,49 @@ def shingles(words: list[str], size: int) -> np.ndarray:
 
 
 def shingle_sets(lists: list[list[str]], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ones of ``shingle_runs`` of each text, one text after the other, and their number for each."""
+    """The distinct ones of ``shingle_runs`` of each text, cut to ``CELL_BITS`` bits, one text after the other, and their number for each."""
     cells, runs = shingle_runs(lists, size)
     if not len(cells):
         return cells, runs
-    owner = np.repeat(np.arange(len(runs)), runs)
-    order = np.lexsort((cells, owner))
-    cells, owner = cells[order], owner[order]
-    first = np.concatenate(([True], (cells[1:] != cells[:-1]) | (owner[1:] != owner[:-1])))
-    return cells[first], np.bincount(owner[first], minlength=len(runs))
+    marked = (cells >> np.uint64(64 - CELL_BITS)) | (np.repeat(np.arange(len(runs), dtype=np.uint64), runs) << np.uint64(CELL_BITS))
+    marked.sort()
+    marked = marked[np.concatenate(([True], marked[1:] != marked[:-1]))]
+    return marked & np.uint64(2**CELL_BITS - 1), np.bincount((marked >> np.uint64(CELL_BITS)).astype(np.int64), minlength=len(runs))
 
 
 def signatures(cells: np.ndarray, sizes: np.ndarray, weights: np.ndarray | None = None, slots: int = SLOTS) -> np.ndarray:
     """DartMinHash of several (weighted) sets, given one after the other with their sizes: for each coordinate the earliest
     dart that falls into the set's region. The elements of a set are distinct: a repeated one would lower the set's depth.
 
-    ``DARTS`` darts are thrown for each coordinate on average, and a set's depth in ranks follows from its weight. A coordinate
-    that no dart hits (about 2 %) gets a value of its own, so it agrees with no other set.
+    The region of an element is cut into units of weight and rank, each with one dart at a place that its hash gives; of a unit
+    that the weight covers in part the dart counts if it lies in that part. The depth in ranks follows from the set's weight, so
+    that ``DARTS`` darts fall on each coordinate on average. A coordinate that no dart hits (about 2 %) gets a value of its own,
+    so it agrees with no other set.
     """
     owner, given = np.repeat(np.arange(len(sizes)), sizes), cells
     share = None
     area = sizes.astype(float)
     if weights is not None:
-        each = weights
-        times = np.ceil(each).astype(np.int64)
+        times = np.ceil(weights).astype(np.int64)
         which = np.repeat(np.arange(len(cells)), times)
         column = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
         with np.errstate(over="ignore"):
             cells = cells[which] + column.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        owner, share = owner[which], np.minimum(each[which] - column, 1.0)
+        owner, share = owner[which], np.minimum(weights[which] - column, 1.0)
         area = np.bincount(owner, weights=share, minlength=len(sizes))
-    out = np.full(len(sizes) * slots, np.iinfo(np.uint64).max, np.uint64)
+    none = np.uint64(2**64 - 1)
+    out = np.full(len(sizes) * slots, none, np.uint64)
     depth = np.ceil(slots * DARTS / np.maximum(area, 1e-9)).astype(np.int64)[owner] if len(cells) else np.zeros(0, np.int64)
     at = np.repeat(np.arange(len(cells)), depth)
     level = (np.arange(len(at)) - np.repeat(np.cumsum(depth) - depth, depth)).astype(np.uint64)
     with np.errstate(over="ignore"):
-        base = _mix(cells[at] + level * np.uint64(0xA24BAED4963EE407))
-        for j, bound in enumerate(_POISSON):
-            more = base >= bound
-            base, at, level = base[more], at[more], level[more]
-            if not len(base):
-                break
-            dart = _mix(base + np.uint64(j + 1) * np.uint64(0x9FB21C651E98DF25))
-            rank, where = (level << np.uint64(44)) | (dart >> np.uint64(20)), owner[at] * slots + (dart & np.uint64(0xFFFFF)).astype(np.int64) % slots
-            if share is not None:
-                inside = (_mix(~dart) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < share[at]
-                rank, where = rank[inside], where[inside]
-            np.minimum.at(out, where, rank)
-        empty = np.flatnonzero(out == np.iinfo(np.uint64).max)
+        dart = _mix(cells[at] + level * np.uint64(0xA24BAED4963EE407))
+        rank, where = (level << np.uint64(44)) | (dart >> np.uint64(20)), owner[at] * slots + (dart & np.uint64(0xFFFFF)).astype(np.int64) % slots
+        if share is not None:
+            inside = (_mix(~dart) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < share[at]
+            rank, where = rank[inside], where[inside]
+        np.minimum.at(out, where, rank)
+        empty = np.flatnonzero(out == none)
         if len(empty):
             ends = np.cumsum(sizes)
             own = np.array([int(given[e - n : e].sum()) if n else i for i, (e, n) in enumerate(zip(ends, sizes))], dtype=np.uint64)
@@ -188,8 +187,8 @@ def _grams(size: int):
 def _banded(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
                 keys = band_keys(signatures(*shingle_sets([x.split(" ") for x in part.column(1).to_pylist()], size)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.reshape(-1)), part.column(0).take(pa.array(np.repeat(np.arange(len(keys)), keys.shape[1])))], names=["key", "rep"])
@@ -274,10 +273,10 @@ def _block_pairs(id_type: pa.DataType, threshold: float):
 def similar(bodies: DataFrame, id_col: str = "seq", body_col: str = "body", size: int = 5, threshold: float = 0.8, least: int = 5) -> tuple[DataFrame, DataFrame]:
     """``(members, pairs)`` of the records with at least ``least`` words.
 
-    ``members``: ``id, rep``; records with the same words have the same ``rep``, the least id of them. ``pairs``:
-    ``a < b`` representatives whose sets have a Jaccard similarity of at least ``threshold``. Null and empty bodies and bodies
-    under ``least`` words give no row; ids should be unique (a repeated row repeats its member); an empty table gives empty
-    results; other columns are not read.
+    ``members``: ``id, rep, n``; records with the same words have the same ``rep``, the least id of them, and there are ``n`` of
+    them. ``pairs``: ``a < b`` representatives whose sets have a Jaccard similarity of at least ``threshold``. Null and empty
+    bodies and bodies under ``least`` words give no row; ids should be unique (a repeated row repeats its member); an empty table
+    gives empty results; other columns are not read.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -285,35 +284,44 @@ def similar(bodies: DataFrame, id_col: str = "seq", body_col: str = "body", size
     name, arrow = kind.simpleString(), to_arrow_type(kind)
     sets = written(bodies.select(F.col(id_col), F.col(body_col)).mapInArrow(
         _hashed(arrow, size, least), f"id {name}, h1 long, h2 long, body string"))
-    reps = sets.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    members = written(sets.select("id", "h1", "h2").join(reps, ["h1", "h2"]).select("id", "rep"))
-    firsts = members.filter("id = rep").select("rep").distinct()
-    texts = sets.select(F.col("id").alias("rep"), "body").join(firsts, "rep", "left_semi")
+    several = written(sets.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    members = written(join_hot(sets.select("id", "h1", "h2"), several, ["h1", "h2"], several.filter(F.col("n") > HOT_ROWS), "id", "left").select(
+        "id", F.coalesce("rep", "id").alias("rep"), F.coalesce("n", F.lit(1).cast("long")).alias("n")))
+    texts = sets.select(F.col("id").alias("rep"), "body").join(members.filter("id <> rep").select(F.col("id").alias("rep")), "rep", "left_anti")
     banded = texts.mapInArrow(_banded(size), f"key long, rep {name}")
     # one shuffle of 16 bytes a band; the rows of a large bucket stream through their task and are not held
     found = written(banded.repartition("key").sortWithinPartitions("key").mapInArrow(_runs(arrow), f"key long, a {name}, b {name}"))
-    near = found.filter("b is not null").groupBy("a", "b").count().filter(F.col("count") >= BANDS_AGREE).select("a", "b")
+    near = written(found.filter("b is not null").groupBy("a", "b").count().filter(F.col("count") >= BANDS_AGREE).select("a", "b"))
     heavy = found.filter("b is null").select("key", F.col("a").alias("rep"))
-    near, heavy = written(near), written(heavy)
-    wanted = near.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(heavy.select("rep")).distinct()
+    wanted = written(near.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(heavy.select("rep")).distinct())
     grams = written(texts.join(wanted, "rep", "left_semi").mapInArrow(_grams(size), f"rep {name}, grams array<long>"))
     both = near.join(grams.withColumnsRenamed({"rep": "a", "grams": "ga"}), "a").join(grams.withColumnsRenamed({"rep": "b", "grams": "gb"}), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     exact = both.select("a", "b", common.alias("c"), (F.size("ga") + F.size("gb")).alias("s")).filter(
         F.col("c") >= threshold * (F.col("s") - F.col("c"))).select("a", "b")
-    sizes = heavy.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("of"))
-    dealt = heavy.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("of")))
+    sizes = written(heavy.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    dealt = join_hot(heavy, sizes, ["key"], sizes.filter(F.col("n") > HOT_ROWS), "rep").withColumn("of", F.ceil(F.col("n") / BLOCK))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("of")))
     pairs = dealt.select("key", "rep", "block", F.explode(F.expr("sequence(0, of - 1)")).alias("o")).select(
         "key", "rep", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     inside = pairs.join(grams, "rep").groupBy("key", "i", "j").applyInArrow(_block_pairs(arrow, threshold), f"a {name}, b {name}")
-    return members, written(exact.unionByName(inside).distinct())
+    return members, exact.unionByName(inside).distinct()
 
 
 def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Every pair of records ``seq_a < seq_b``, copies included."""
-    left, right = members.withColumnsRenamed({"id": "x", "rep": "a"}), members.withColumnsRenamed({"id": "y", "rep": "b"})
-    between = pairs.join(left, "a").join(right, "b").select("x", "y")
-    copies = left.join(right, F.col("a") == F.col("b")).filter("x < y").select("x", "y")
+    """Every pair of records ``seq_a < seq_b``, copies included. Groups of copies are paired part by part."""
+    of = F.ceil(F.col("n") / COPIES)
+    parts = members.select("id", "rep", "n", of.alias("of"), F.pmod(F.xxhash64("id"), of).alias("part"))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(c, F.lit(1).cast("long")) - 1))
+    large = members.filter((F.col("n") > COPIES) & (F.col("id") == F.col("rep"))).select("rep", of.alias("of"))
+    sized = pairs.join(large.withColumnsRenamed({"rep": "a", "of": "of_a"}), "a", "left").join(large.withColumnsRenamed({"rep": "b", "of": "of_b"}), "b", "left")
+    sized = sized.select("a", "b", "of_b", every(F.col("of_a")).alias("i")).select("a", "b", "i", every(F.col("of_b")).alias("j"))
+    between = sized.join(parts.select(F.col("id").alias("x"), F.col("rep").alias("a"), F.col("part").alias("i")), ["a", "i"]).join(
+        parts.select(F.col("id").alias("y"), F.col("rep").alias("b"), F.col("part").alias("j")), ["b", "j"]).select("x", "y")
+    alike = parts.filter("n > 1")
+    left = alike.select(F.col("id").alias("x"), "rep", F.col("part").alias("i"), F.explode(F.expr("sequence(part, of - 1)")).alias("j"))
+    right = alike.select(F.col("id").alias("y"), "rep", F.col("part").alias("j"), F.explode(F.expr("sequence(0, part)")).alias("i"))
+    copies = left.join(right, ["rep", "i", "j"]).filter("i < j or x < y").select("x", "y")
     return between.unionByName(copies).select(F.least("x", "y").alias("seq_a"), F.greatest("x", "y").alias("seq_b"))
 
 
@@ -334,23 +342,26 @@ def classes(members: DataFrame, pairs: DataFrame) -> DataFrame:
         label = fresh.select("node", "label")
         if not moved:
             break
-    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    hot = F.col("n") > HOT_ROWS
+    sizes = members.filter("id = rep").select("rep", "n").distinct()
     links = both.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("far"))
     per = sizes.join(links, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep").select(
-        "rep", F.col("label").alias("class_id"), (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
-    return members.join(per, "rep").select("id", "class_id", "links")
+        "rep", F.col("label").alias("class_id"), (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links"),
+        F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))).alias("part"))
+    dealt = members.withColumn("part", F.when(hot, F.pmod(F.xxhash64("id"), F.lit(HOT_PARTS)).cast("int")).otherwise(0)).drop("n")
+    return dealt.join(per, ["rep", "part"]).select("id", "class_id", "links")
 
 
-def record_bodies(df: DataFrame, config: DataFrame) -> DataFrame:
-    """``seq, body, heads, prose`` of source records: without markup and without the lines of problems 3 and 4.
+def record_bodies(df: DataFrame, config: DataFrame, wanted: tuple[str, ...] = ("body",)) -> DataFrame:
+    """``seq`` and the wanted ones of ``body, heads, prose``: source records without markup and without the lines of problems 3 and 4.
 
     ``heads`` are the headings, ``prose`` is the body without headings and code.
     """
-    pages = mainbody.main_bodies(df, config).select("seq", "body", "heads", "prose")
-    plain = df.filter((F.col("raw_text") != "") & ~is_html(F.col("media_type"))).select("seq", "raw_text", "source_url", "media_type")
+    pages = mainbody.main_bodies(df, config, wanted)
     body = F.regexp_replace("clean_text", r"!?\[([^\]\n]*)\]\([^)\n]*\)", "$1")
     prose = F.regexp_replace("body", r"(?s)```.*?(?:```|\z)", "")
     prose = F.regexp_replace(prose, r"(?m)^(?: {4}|\t| {0,3}#{1,6}\s).*$", "")
     heads = F.array_join(F.regexp_extract_all("body", F.lit(r"(?m)^ {0,3}#{1,6}\s+(.*)$"), F.lit(1)), "\n")
-    kept = lines.without_lines(plain, lines.repeated_lines(plain)).select("seq", body.alias("body"))
-    return pages.unionByName(kept.select("seq", "body", heads.alias("heads"), prose.alias("prose")))
+    kept = lines.cleaned_records(df).select("seq", body.alias("body"))
+    parts = {"body": F.col("body"), "heads": heads.alias("heads"), "prose": prose.alias("prose")}
+    return pages.unionByName(kept.select("seq", *[parts[c] for c in wanted]))

@@ -161,7 +161,7 @@ def residue(df: DataFrame, config: DataFrame) -> DataFrame:
     """
     kind = df.schema["seq"].dataType.simpleString()
     site = F.coalesce(site_of(F.col("source_url")), F.concat(F.lit("project "), F.col("project_id").cast("string")))
-    bodies = record_bodies(df, config).select("seq", "heads", "prose").join(df.select("seq", "title", site.alias("site")), "seq")
+    bodies = record_bodies(df, config, ("heads", "prose")).join(df.select("seq", "title", site.alias("site")), "seq")
     found = written(bodies.mapInPandas(
         _features, f"seq {kind}, site string, strong int, weak int, total int, filler int, headed boolean, units array<struct<key:long,weight:int,kind:int>>"))
     units = found.select("seq", "site", "total", F.explode("units").alias("u")).select(

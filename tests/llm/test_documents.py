@@ -46,8 +46,9 @@ def test_blocks_against_brute_force():
     for _ in range(20):
         records = [np.array([rng.randrange(4) for _ in range(rng.randrange(0, 8))], dtype=np.int64) for _ in range(5)]
         found = lines.repeated_blocks(records)
-        single = {line: n for line, length, n, _, _ in found if length == 1}
+        single = {x: n for x, n, _, _ in zip(*(c.tolist() for c in lines.single_blocks(records)))}
         assert single == {k: sum(k in r for r in records) for k in {x for r in records for x in r.tolist()}}
+        assert all(records[o][p] == x for x, _, o, p in zip(*lines.single_blocks(records)))
         for _, length, n, owner, start in found:
             block = records[owner][start : start + length].tolist()
             holds = sum(any(r[i : i + length].tolist() == block for i in range(len(r) - length + 1)) for r in records)
