@@ -1,10 +1,12 @@
 """Problem 8: fill containers of fixed capacity by sum-of-squares packing.
 
 The packer keeps, for each fill level, how many open containers stand at it, and puts an item where the sum of the squared
-counts of the partly filled levels becomes smallest. That is a sequential rule, so it runs on shards: items are dealt to
-shards by a hash, a shard is packed by one task, and only the containers that are still well under capacity at its end give
-their items back. Those few go into the next round over fewer shards, until one shard is left. Items larger than the capacity
-are divided into full pieces and a rest first.
+counts of the partly filled levels becomes smallest. It is an online rule: items are taken as they come, here in the order of a
+hash, and none is looked at before its turn. As it is sequential it runs on shards: items are dealt to shards by a hash, a shard
+is packed by one task, and only the containers that are still well under capacity at its end give their items back. Those few go
+into the next round over fewer shards, until one shard is left, or until a round closed so few that another deal gains nothing
+(items of which no two fit together stay alone however they are dealt). Items larger than the capacity are divided into full
+pieces and a rest first.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from docspark.llm.stage import written
 SHARD_ITEMS = 40_000
 #: A container filled to this share counts as closed at the end of a round that is not the last.
 CLOSED = 0.995
+#: The next round is the last if more than this share of a round's items came back from it.
+STALLED = 0.95
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -60,9 +64,17 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
 PLACED = "spec_id bigint, capacity_tokens bigint, item_id bigint, part int, size bigint, shard int, box bigint, round int, done boolean"
 
 
+def _turns(item: np.ndarray, part: np.ndarray, size: np.ndarray, round_no: int) -> np.ndarray:
+    """The order in which items come: by a hash of each."""
+    with np.errstate(over="ignore"):
+        x = (item.astype(np.uint64) + np.uint64(round_no + 1)) * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + size.astype(np.uint64)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return np.lexsort((size, part, item, x ^ (x >> np.uint64(29))))
+
+
 def _pack(round_no: int, last: bool):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        order = np.lexsort((table.column("part").to_numpy(), table.column("item_id").fill_null(-1).to_numpy(), table.column("size").to_numpy()))[::-1]
+        order = _turns(table.column("item_id").fill_null(-1).to_numpy(), table.column("part").to_numpy(), table.column("size").to_numpy(), round_no)
         table = table.take(pa.array(order))
         capacity = table.column("capacity_tokens")[0].as_py()
         sizes = table.column("size").to_numpy()
@@ -96,11 +108,11 @@ def pack_items(items: DataFrame, specs: DataFrame, id_col: str = "doc_id", size_
     ).select("spec_id", "capacity_tokens", "item_id", "row", "p.part", "p.size")
     full = open_items.filter("size = capacity_tokens")
     open_items = open_items.filter("size < capacity_tokens").drop("row")
-    left, round_no, done = base.count(), 0, []
+    left, round_no, stalled = base.count(), 0, False
     out = [full.select("spec_id", F.concat_ws("-", F.lit("full"), "row", "part").alias("container"), "item_id", "part", "size", "capacity_tokens")]
     while True:
         shards = max(1, -(-left // SHARD_ITEMS))
-        last = shards == 1 or round_no > 12
+        last = shards == 1 or stalled
         dealt = open_items.withColumn("shard", F.pmod(F.xxhash64("item_id", "part", "size", F.lit(round_no)), F.lit(shards)).cast("int"))
         placed = dealt.groupBy("spec_id", "shard").applyInArrow(_pack(round_no, last), PLACED)
         placed = written(placed)
@@ -110,6 +122,7 @@ def pack_items(items: DataFrame, specs: DataFrame, id_col: str = "doc_id", size_
             break
         open_items = placed.filter("not done").select("spec_id", "capacity_tokens", "item_id", "part", "size")
         before, left = left, open_items.groupBy("spec_id").count().agg(F.max("count")).first()[0] or 0
+        stalled = left > STALLED * before
         round_no += 1
     result = out[0]
     for more in out[1:]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import encoding, lines, mainbody, neardup, packing, residue, splitting, tokens, toxicity
+from docspark.llm import encoding, lines, mainbody, neardup, packing, residue, splitting, stage, tokens, toxicity
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -26,12 +26,42 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k")
 
 
+@query
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text put together again from its ids."""
+    return tokens.decode_corpus(tokens.encode_corpus(table(spark, sf_dir, "documents")))
+
+
+SQL["p7_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+
 @query
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every piece of every document, for each spec."""
-    docs = table(spark, sf_dir, "documents")
-    sizes = tokens.encode_corpus(docs).select("doc_id", F.size("ids").alias("size"))
-    return packing.with_empty(packing.pack_items(sizes, table(spark, sf_dir, "container_spec")), docs.filter("text is null or text = ''"), table(spark, sf_dir, "container_spec")).withColumnRenamed("item_id", "doc_id")
+    docs, specs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_spec")
+    sizes = stage.written(tokens.token_counts(docs))
+    return packing.with_empty(packing.pack_items(sizes, specs), sizes.filter("size = 0"), specs).withColumnRenamed("item_id", "doc_id")
+
+
+@query
+def p8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each spec, how many documents came out packed, and how often a rule was broken: a container filled beyond its capacity, a
+    document divided without need or into more parts than it needs, a size that is not that of its tokens."""
+    packed = stage.written(p8_packed(spark, sf_dir))
+    boxes = packed.groupBy("spec_id", "container").agg(F.sum("size").alias("fill"), F.first("capacity_tokens").alias("capacity")).groupBy("spec_id").agg(
+        F.count_if(F.col("fill") > F.col("capacity")).alias("overfull"))
+    docs = packed.groupBy("spec_id", "doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size"), F.first("capacity_tokens").alias("capacity"))
+    needed = F.greatest(F.ceil(F.col("size") / F.col("capacity")), F.lit(1))
+    sizes = tokens.encode_corpus(table(spark, sf_dir, "documents")).select("doc_id", F.size("ids").alias("tokens"))
+    per = docs.join(sizes, "doc_id").groupBy("spec_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("parts") != needed).alias("divided"), F.count_if(F.col("size") != F.col("tokens")).alias("wrong_size"))
+    return per.join(boxes, "spec_id").select("spec_id", "documents", "overfull", "divided", "wrong_size")
+
+
+SQL["p8_rules"] = """
+SELECT spec_id, (SELECT count(*) FROM documents) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS divided, CAST(0 AS BIGINT) AS wrong_size
+FROM container_spec WHERE capacity_tokens > 0
+"""
 
 
 @query

@@ -1,9 +1,10 @@
 """Problem 7: encode a whole corpus with a public tokenizer by a distinct-word shuffle.
 
 Plan: texts are cut into pre-tokens, block by block. A block of documents yields one row per distinct word of the block with the
-word's positions, so a frequent word costs one row per block and never one per occurrence. These rows are shuffled once by
-word and sorted, so all rows of a word lie side by side: the word is encoded once for the run, and its ids join the rows in
-place. A second shuffle by block puts the ids at their positions. Nothing that grows with the corpus is broadcast.
+word's positions, so a frequent word costs one row per block and never one per occurrence. These rows are a written table. Its
+distinct words are counted (pre-aggregated), and each is encoded once, into a second table. The ids are joined back by word: of
+the ``HOT_WORDS`` words that stand in the most blocks they are broadcast, a table of bounded size, so the rows of a hot word are
+not shuffled by it; the others meet in a shuffle. A shuffle by block puts the ids at their positions.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docspark.llm.stage import written
+
 #: Folder of the public vocabularies; a parameter of every function below.
 DEFAULT_FOLDER = os.environ.get("DOCSPARK_TOKENIZERS", "/opt/tokenizers")
 
@@ -32,6 +35,8 @@ SPLIT = (
 #: A block holds about this many pre-tokens (positions then fit in 16 bits); a longer text is a block of its own.
 BLOCK_TOKENS = 60_000
 BLOCK_DOCS = 4_096
+#: Words whose ids are broadcast: those in the most blocks, of at most this length. This bounds the broadcast (a few MB).
+HOT_WORDS, HOT_CHARS = 50_000, 32
 
 _cache: dict = {}
 
@@ -85,9 +90,8 @@ def _encoder(raw: bytes):
 
 
 def encode_words(words: list[str], raw: bytes) -> list[list[int]]:
-    """Ids of each pre-token by the byte-pair merges of the vocabulary."""
-    enc = _encoder(raw)
-    return [enc._encode_single_piece(w) if w else [] for w in words]
+    """Ids of each pre-token by the byte-pair merges of the vocabulary (the encoder's pattern takes a word as one piece)."""
+    return _encoder(raw).encode_ordinary_batch(words, num_threads=1)
 
 
 def _block_rows(key: int, texts: list[list[str]], ids: list) -> dict[str, list]:
@@ -96,8 +100,12 @@ def _block_rows(key: int, texts: list[list[str]], ids: list) -> dict[str, list]:
     index = {w: i for i, w in enumerate(dict.fromkeys(every))}
     codes = np.fromiter(map(index.__getitem__, every), dtype=np.int32, count=len(every))
     words = list(index) or [""]
-    order = np.argsort(codes, kind="stable").astype(np.uint32 if len(codes) > 65_535 else np.uint16)
+    order = np.argsort(codes, kind="stable")
     cuts = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=len(words)))))
+    steps = np.diff(order, prepend=0)  # from one position of a word to its next
+    first = cuts[:-1][np.diff(cuts) > 0]
+    steps[first] = order[first]
+    order = steps.astype(np.uint32 if len(codes) > 65_535 else np.uint16)
     carrier = key % len(words)
     return {
         "block": [key] * len(words),
@@ -133,48 +141,58 @@ def _make_blocks(schema: pa.Schema):
     return run
 
 
+def _columns(table: pa.Table, *names: str) -> list[pa.Array]:
+    return [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in map(table.column, names)]
+
+
+def _ordered(table: pa.Table) -> tuple[np.ndarray, list, np.ndarray]:
+    """Of a block's rows: the row whose word stands at each position, the documents, and their numbers of words."""
+    total = table.column("total")[0].as_py()
+    (places,) = _columns(table, "pos")
+    kind = np.dtype(np.uint32 if total > 65_535 else np.uint16)
+    cuts = np.frombuffer(places.buffers()[1], dtype=np.int32)[places.offset : places.offset + len(places) + 1]
+    steps = np.frombuffer(places.buffers()[2], dtype=np.uint8)[cuts[0] : cuts[-1]].view(kind).astype(np.int64) if total else np.zeros(0, np.int64)
+    each = np.diff(cuts) // kind.itemsize
+    ends = np.cumsum(each)
+    sums = np.cumsum(steps)
+    before = np.concatenate(([0], sums))[ends - each]
+    codes = np.zeros(total, dtype=np.int64)
+    codes[sums - np.repeat(before, each)] = np.repeat(np.arange(len(places)), each)
+    (ids,) = _columns(table, "doc_ids")
+    where = int(np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))[0])
+    return codes, ids[where].as_py(), np.array(table.column("doc_counts")[where].as_py(), dtype=np.int64)
+
+
 def _reassemble(schema: pa.Schema):
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        total = table.column("total")[0].as_py()
-        lists = table.column("ids").combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.chunk(0)
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        kind = np.uint32 if total > 65_535 else np.uint16
-        codes = np.zeros(total, dtype=np.int64)
-        for i, raw in enumerate(table.column("pos").to_pylist()):
-            codes[np.frombuffer(raw, dtype=kind)] = i
-        each = sizes[codes]
+        codes, doc_ids, counts = _ordered(table)
+        (words,) = _columns(table, "ids")
+        cuts = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1] // 4
+        flat = np.frombuffer(words.buffers()[2], dtype=np.int32) if cuts[-1] else np.zeros(0, np.int32)
+        each = np.diff(cuts).astype(np.int64)[codes]
         ends = np.cumsum(each)
-        whole = int(ends[-1]) if total else 0
-        at = np.arange(whole) - np.repeat(ends - each, each) + np.repeat(starts[codes], each)
-        out = flat[at] if whole else np.zeros(0, np.int32)
-        where = next(i for i, x in enumerate(table.column("doc_ids").to_pylist()) if x is not None)
-        counts = np.array(table.column("doc_counts")[where].as_py(), dtype=np.int64)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(cuts[:-1].astype(np.int64)[codes] - (ends - each), each)
         token_ends = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
-        lists_out = pa.ListArray.from_arrays(pa.array(token_ends, pa.int32()), pa.array(out, pa.int32()))
-        doc_ids = pa.array(table.column("doc_ids")[where].as_py(), type=schema.field(0).type)
-        return pa.Table.from_arrays([doc_ids, lists_out.cast(schema.field(1).type)], schema=schema)
+        lists = pa.ListArray.from_arrays(pa.array(token_ends, pa.int32()), pa.array(flat[at], pa.int32()))
+        return pa.Table.from_arrays([pa.array(doc_ids, type=schema.field(0).type), lists.cast(schema.field(1).type)], schema=schema)
 
     return run
 
 
-def encode_corpus(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str | None = None
-) -> DataFrame:
-    """One row ``(id_col, ids)`` per input row; ids of the text without special tokens.
+def _added(schema: pa.Schema):
+    def run(table: pa.Table) -> pa.Table:
+        codes, doc_ids, counts = _ordered(table)
+        ends = np.concatenate(([0], np.cumsum(table.column("n_ids").to_numpy().astype(np.int64)[codes])))[np.concatenate(([0], np.cumsum(counts)))]
+        return pa.Table.from_arrays([pa.array(doc_ids, type=schema.field(0).type), pa.array(np.diff(ends), pa.int64())], schema=schema)
 
-    Null and empty texts give an empty list, rows with a null or repeated id stay rows of their own, strings that look like
-    special tokens are ordinary text, an empty table gives an empty table, and other columns of ``df`` are not read. The
-    input should be a table or checkpoint (its order within a partition names the blocks).
-    """
+    return run
+
+
+def _joined(df: DataFrame, id_col: str, text_col: str, tokenizer: str, folder: str | None, column: Column) -> DataFrame:
+    """The rows of the blocks, each with ``column`` of its word's row ``(word, ids binary, n_ids)``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark = df.sparkSession
-    raw = spark.sparkContext.broadcast(read_ranks(vocabulary_path(tokenizer, folder)))  # fixed size, under 1 MB
+    raw = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary_path(tokenizer, folder)))  # fixed size, under 1 MB
     id_type = df.schema[id_col].dataType
     cut = T.StructType(
         [
@@ -186,20 +204,50 @@ def encode_corpus(
             T.StructField("doc_counts", T.ArrayType(T.IntegerType())),
         ]
     )
-    made = T.StructType([T.StructField(id_col, id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    rows = df.select(F.col(id_col), F.col(text_col)).mapInArrow(_make_blocks(to_arrow_schema(cut)), cut)
-    rows = rows.repartition("word").sortWithinPartitions("word")
+    # the order of the rows names the blocks, so they are written once and every later step reads the same ones
+    rows = written(df.select(F.col(id_col), F.col(text_col)).mapInArrow(_make_blocks(to_arrow_schema(cut)), cut))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = encode_words(batch.column(0).to_pylist(), raw.value)
+            packed = [np.array(x, dtype=np.int32).tobytes() for x in ids]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary()), pa.array(list(map(len, ids)), pa.int32())], names=["word", "blocks", "ids", "n_ids"])
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encode(words: pa.Array) -> pa.Array:
-        runs = words.dictionary_encode()
-        ids = pa.array(encode_words(runs.dictionary.to_pylist(), raw.value), pa.list_(pa.int32()))
-        return ids.take(runs.indices)
+    words = rows.groupBy("word").agg(F.count(F.lit(1)).alias("blocks"))
+    words = written(words.mapInArrow(encode, "word string, blocks long, ids binary, n_ids int"))
+    often = words.filter((F.col("blocks") > 1) & (F.length("word") <= HOT_CHARS)).orderBy(F.desc("blocks"), "word").limit(HOT_WORDS)
+    hot = F.broadcast(written(often).select("word", column))  # at most HOT_WORDS rows
+    near = rows.join(hot, "word")
+    far = rows.join(hot.select("word"), "word", "left_anti").join(words.select("word", column), "word")
+    return near.unionByName(far).drop("word")
 
-    joined = rows.withColumn("ids", encode("word")).drop("word")
+
+def encode_corpus(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str | None = None
+) -> DataFrame:
+    """One row ``(id_col, ids)`` per input row; ids of the text without special tokens.
+
+    Null and empty texts give an empty list, rows with a null or repeated id stay rows of their own, strings that look like
+    special tokens are ordinary text, an empty table gives an empty table, and other columns of ``df`` are not read.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    made = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    joined = _joined(df, id_col, text_col, tokenizer, folder, F.col("ids"))
     return joined.groupBy("block").applyInArrow(_reassemble(to_arrow_schema(made)), made)
 
 
+def token_counts(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str | None = None
+) -> DataFrame:
+    """One row ``(id_col, size)`` per input row: the number of ids that ``encode_corpus`` would give it."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    made = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("size", T.LongType())])
+    joined = _joined(df, id_col, text_col, tokenizer, folder, F.col("n_ids"))
+    return joined.groupBy("block").applyInArrow(_added(to_arrow_schema(made)), made)
+
+
 def token_bytes(spark: SparkSession, tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """The vocabulary as a table ``(id, bytes)``: fixed size, about 50,000 rows."""
     ranks = parse_ranks(read_ranks(vocabulary_path(tokenizer, folder)))

@@ -38,6 +38,25 @@ def test_small_blocks_and_round_trip(spark, monkeypatch):
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
+@pytest.mark.parametrize("hot", [0, 1, 50_000])
+def test_hot_words_and_counts(spark, monkeypatch, hot):
+    monkeypatch.setattr(tokens, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(tokens, "HOT_WORDS", hot)
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "null id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    enc = reference(tokens.read_ranks(tokens.vocabulary_path("byte_bpe_50k")))
+    want = {i: enc.encode_ordinary(t or "") for i, t in rows}
+    assert {r.doc_id: r.ids for r in tokens.encode_corpus(df).collect()} == want
+    assert {r.doc_id: r["size"] for r in tokens.token_counts(df).collect()} == {i: len(x) for i, x in want.items()}
+
+
+def test_items_that_do_not_fit_together_end(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 20)
+    rows = [(i, 60) for i in range(300)]
+    got = packing.pack_items(spark.createDataFrame(rows, "doc_id long, size int"), spark.createDataFrame([(1, 100)], "spec_id long, capacity_tokens int")).toPandas()
+    assert len(got) == 300 == got.container.nunique()
+
+
 def test_repeated_ids_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a")], "doc_id long, text string")
     assert tokens.encode_corpus(df).count() == 3
@@ -49,7 +68,7 @@ def test_blocks_cover_all_positions():
     rows = tokens._block_rows(7, texts, [1, 2, 3])
     codes = np.full(4, -1)
     for i, raw in enumerate(rows["pos"]):
-        codes[np.frombuffer(raw, np.uint16)] = i
+        codes[np.cumsum(np.frombuffer(raw, np.uint16))] = i
     assert [rows["word"][c] for c in codes] == ["a", "b", "a", "c"]
     assert [c for c in rows["doc_counts"] if c] == [[3, 0, 1]]
 
