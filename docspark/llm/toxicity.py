@@ -23,10 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_LABELLED, MAX_FEATURES = 20_000, 60_000
+#: Characters of the labelled documents together, about: what is sent to the driver is bounded in size too.
+MAX_LABELLED_CHARS = 80_000_000
 MAX_PLAIN = 10_000
 PLAIN_CHANCE = 0.4
 CATEGORIES = ("insult", "hate", "sexual")
@@ -292,11 +294,19 @@ def fit(docs: list[tuple[object, str, float, frozenset[str]]]) -> Model:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[tuple[object, str, float, frozenset[str]]]:
-    """At most ``most`` labelled documents (those first by a hash of their id), with the share of verdicts for abuse."""
+    """At most ``most`` labelled documents (those first by a hash of their id), with the share of verdicts for abuse.
+
+    Of these the documents count up to the one that brings their characters to ``MAX_LABELLED_CHARS``. Only the verdicts are
+    broadcast, at most ``most`` rows; the documents stay where they are.
+    """
     verdicts = labels.filter(F.col("label").isin("abusive", "ok") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.avg(F.when(F.col("label") == "abusive", 1.0).otherwise(0.0)).alias("share"), F.collect_set("category").alias("cats"))
     chosen = verdicts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.select("doc_id", "text").filter("text <> ''").join(chosen, "doc_id").collect()  # bounded by ``most``
+    texts = documents.select("doc_id", "text").filter("text <> ''")
+    sizes = texts.select("doc_id", F.length("text").cast("long").alias("chars")).join(F.broadcast(chosen), "doc_id")
+    before = F.sum("chars").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))  # at most ``most`` rows
+    kept = sizes.withColumn("before", before).filter(F.coalesce("before", F.lit(0)) < MAX_LABELLED_CHARS).select("doc_id", "share", "cats").dropDuplicates(["doc_id"])
+    rows = texts.join(F.broadcast(kept), "doc_id").collect()
     return sorted(((r["doc_id"], r["text"], r["share"], frozenset(r["cats"])) for r in rows), key=lambda x: repr(x[0]))
 
 
