@@ -2,33 +2,44 @@
 
 A chain says how a field may have gone wrong: its true bytes in encoding A were read in encoding B (perhaps twice). For every
 token with characters beyond ASCII each chain is turned back, and the code length of the result under a small model of
-written text is held against the code length as it stands. The gains of a field's tokens are its evidence for each chain.
-Weak evidence is pooled: every (source, field) has its own mixture of chains, drawn to the mixture of all, and both are
-estimated by EM over the fields with any evidence (the others count as sound). Each record is then judged, and repaired where
-the chain can be turned back, by its posterior.
+written text is held against the code length as it stands. A token that stands in many fields of the corpus is an ordinary word
+of its language, however odd the model finds it, so what its count is worth is taken off. The gains of a field's different
+tokens are its evidence for each chain, weak as they may be.
+Weak evidence is pooled: every (source, field) has its own mixture of the chains and of sound text, drawn to the mixture of all,
+and both are estimated by EM over the fields with any evidence (the others count as sound). Each record is then judged, and
+repaired where the chain can be turned back, by its posterior.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import site_of
+from docspark.llm.common import HOT_ROWS, join_hot, site_of
 from docspark.llm.stage import written
 
 ROUNDS = 5
-#: A token's gain that counts, in nats.
-LEAST_GAIN = 4.5
+#: A token's gain that counts, in nats, and its least share of the token's best gain.
+LEAST_GAIN, OF_BEST = 1.5, 0.2
 #: A token whose code is at most this much longer than ordinary text of its kind is sound, and no chain is tried on it.
 SOUND = 2.0
+#: What a Chinese character costs more in a token without two of them side by side, in a field of other letters: at most this
+#: share of them is Chinese.
+LONE, LONE_SHARE = 6.0, 0.1
+#: A token in more than one field is the less odd: with n fields in all its gain is less by log(1 + its other fields / (1 + RARE n)).
+RARE = 1e-4
+#: A field is found if the chance that it is garbled is over this: a miss is worse than a field looked at in vain.
+CHANCE = 0.1
 #: The best chain of a field has at most this evidence in EM (the others are moved down with it): beyond it is certain anyway.
 MOST_EVIDENCE = 60.0
-#: Pseudo-counts that draw a source's mixture to that of all sources.
-PULL = 5.0
+#: Pseudo-counts that draw a source's mixture to that of all sources, and the shares to start from: of a chain, and of sound text.
+PULL, FIRST_CHAIN, FIRST_SOUND = 20.0, 0.002, 0.97
 
 # Relative frequencies of the Russian letters, in per mille.
 _RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (110, 84, 80, 73, 67, 62, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 16, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 3, 1, 4)))
@@ -48,7 +59,10 @@ CHAINS = tuple(f"{b}>utf8" for b in _WRONG_OF_UTF8) + ("latin>utf8>latin>utf8",
 LOST = "lost"
 
 _MULTI = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+")
-_TOKEN = re.compile(r"[^\s<>，。、；：！？]+")
+_TOKEN = re.compile(r"(?:[^\s<>，。、；：！？]|\xa0)+")
+_HAN = re.compile(r"[㐀-鿿]")
+_PAIR = re.compile(r"[㐀-鿿]{2}")
+_EDGES = "\xa0.,:;!?\"'()[]*_"
 _WIDE = re.compile(r"[㐀-鿿豈-﫿가-힣ㄅ-ㄯ一-龥-　-〿＀-￯‘-”…—°€]+[!-~]?")
 
 _cache: dict = {}
@@ -84,7 +98,6 @@ def _char(c: str) -> tuple[str, float]:
 
 def _measure(c: str) -> tuple[str, float]:
     import unicodedata
-    from math import log
 
     o = ord(c)
     low = c.lower()
@@ -93,7 +106,7 @@ def _measure(c: str) -> tuple[str, float]:
     if c == "�" or o < 0xA0 or 0xE000 <= o <= 0xF8FF:
         return "z", 12.0
     if low in _RUSSIAN:
-        return ("C" if c != low else "c"), -log(_RUSSIAN[low] / 1000) + (0.5 if c != low else 0.0)
+        return ("C" if c != low else "c"), -math.log(_RUSSIAN[low] / 1000) + (0.5 if c != low else 0.0)
     if c in _TYPO:
         return ("p" if c in _CJK_MARKS else "t"), (2.5 if c in "’‘“”–—…" else 3.5)
     if c in _CJK_MARKS:
@@ -110,27 +123,29 @@ def _measure(c: str) -> tuple[str, float]:
     if name.startswith("CJK UNIFIED"):
         try:
             raw = c.encode("gb2312")
-            return "h", 4.5 if raw[0] <= 0xD7 else 7.0
+            return "h", 6.0 if raw[0] <= 0xD7 else 9.0
         except UnicodeEncodeError:
-            return "h", 9.0
+            return "h", 11.0
     if name.startswith(("HIRAGANA", "KATAKANA")):
         return "k", 5.0
     if name.startswith("HANGUL SYLLABLE"):
         return "n", 6.0
     if kind[0] == "M":
-        return "m", 5.0 if 0x300 <= o < 0x370 else 9.0
+        return "m", 5.0 if 0x300 <= o < 0x370 else 13.0
+    if kind in ("Cn", "Co", "Cs"):
+        return "z", 14.0
     if kind == "So" and o >= 0x1F000 or o >= 0x1F300:
         return "e", 6.0
     if 0x2500 <= o < 0x25A0:
         return "b", 9.0
-    return "x", 7.0
+    return "x", 13.0 if kind[0] == "L" else 7.0
 
 
 _LOWER, _UPPER = frozenset("alcg"), frozenset("ALCG")
 _SCRIPT = {"a": 1, "A": 1, "l": 1, "L": 1, "c": 2, "C": 2, "g": 3, "G": 3}
 _EAST = frozenset("hkn")
 #: Ordinary code length of a character by its class; capitals count as small letters, so a run of them stands out.
-_ORDINARY = {"c": 3.3, "C": 3.8, "h": 4.6, "k": 5.0, "n": 6.0, "l": 3.0, "L": 3.0, "t": 3.5, "p": 3.5, "g": 5.5, "G": 5.5, "e": 6.0, "m": 5.0}
+_ORDINARY = {"c": 3.3, "C": 3.8, "h": 6.1, "k": 5.0, "n": 6.0, "l": 3.0, "L": 3.0, "t": 3.5, "p": 3.5, "g": 5.5, "G": 5.5, "e": 6.0, "m": 5.0}
 
 
 def cost(text: str) -> float:
@@ -138,13 +153,14 @@ def cost(text: str) -> float:
     return _costs(text)[0]
 
 
-def _costs(text: str) -> tuple[float, float]:
-    """The code length, and by how much it exceeds that of ordinary text of the same classes."""
+def _costs(text: str, lone: float = 0.0) -> tuple[float, float]:
+    """The code length, and by how much it exceeds that of ordinary text of the same classes; ``lone`` is added for Chinese characters."""
     total, usual, before = 0.0, 0.0, "s"
+    lone = 0.0 if lone and _PAIR.search(text) else lone
     for i, c in enumerate(text):
         k, own = _cache.get(c) or _char(c)
         if own or before not in "aAds":
-            total += own
+            total += own + (lone if k == "h" else 0.0)
             usual += _ORDINARY.get(k, 0.0) if own else 0.0
             if k in _UPPER and before in _LOWER and (k != "A" or before != "a"):
                 total += 5.0
@@ -161,6 +177,12 @@ def _costs(text: str) -> tuple[float, float]:
                 total += 3.0
             elif before == "t" and b and text[i - 1] in "£½¼¾™©®·§×ºª":
                 total += 3.0
+            elif before in "tp" and b and i > 1 and text[i - 1] in "—–“”„«»…" and text[i - 2].isalpha():
+                total += 6.0
+            if k in _EAST and before in "aA" and text[i + 1 : i + 2].isascii() and text[i + 1 : i + 2].isalpha():
+                total += 6.0  # a lone character inside a Latin word
+        elif before == "h" and "a" <= c <= "z":
+            total += 4.0  # names written in Latin letters begin with a capital, as a rule
         before = k
     return total, total - usual
 
@@ -237,16 +259,16 @@ def turn_back(text: str, chain: str) -> str | None:
     return text
 
 
-def gains(token: str) -> tuple[tuple[str, float], ...]:
+def gains(token: str, lone: float = 0.0) -> tuple[tuple[str, float], ...]:
     """The chains that shorten the token's code by enough."""
-    now, excess = _costs(token)
+    now, excess = _costs(token, lone)
     if excess <= SOUND:
         return ()
     out = []
     for chain in CHAINS:
         good = turn_back(token, chain)
         if good is not None:
-            saved = now - cost(good) - 3.0 * good.count("�")
+            saved = now - _costs(good, lone)[0] - 3.0 * good.count("�")
             if saved > LEAST_GAIN:
                 out.append((chain, saved))
     lost = token.count("�")
@@ -254,37 +276,42 @@ def gains(token: str) -> tuple[tuple[str, float], ...]:
         out.append((LOST, 9.0 * lost))
     if len(out) > 1:
         best = max(x for _, x in out)
-        out = [x for x in out if x[1] > 0.4 * best]
+        out = [x for x in out if x[1] > OF_BEST * best]
     return tuple(out)
 
 
-def evidence(text: str) -> dict[str, float]:
-    """Evidence (nats) for each chain over all tokens of a text."""
-    known = _cache.setdefault("tokens", {})
+def evidence(text: str) -> dict[str, tuple[tuple[str, float], ...]]:
+    """The different tokens of a text (without marks around them) that have gains, with their gains (nats) for each chain."""
+    han = len(_HAN.findall(text))
+    lone = LONE if han and han <= LONE_SHARE * sum(map(str.isalpha, text)) else 0.0
+    known = _cache.setdefault(("tokens", lone), {})
     if len(known) > 400_000:
         known.clear()
-    total: dict[str, float] = {}
-    for token in _TOKEN.findall(text):
+    found = {}
+    for token in set(_TOKEN.findall(text)):
         if token.isascii():
             continue
-        found = known.get(token)
-        if found is None:
-            found = known[token] = gains(token)
-        for chain, saved in found:
-            total[chain] = total.get(chain, 0.0) + saved
-    return total
+        token = token.strip(_EDGES) or token
+        hit = known.get(token)
+        if hit is None:
+            hit = known[token] = gains(token, lone)
+        if hit:
+            found[token] = hit
+    return found
 
 
 def repair(text: str, chain: str) -> str:
     """Turn back every token that the chain explains; other tokens stay."""
     if chain == LOST:
         return text
+    han = len(_HAN.findall(text))
+    lone = LONE if han and han <= LONE_SHARE * sum(map(str.isalpha, text)) else 0.0
 
     def fix(m: re.Match) -> str:
         if m.group().isascii():
             return m.group()
         good = turn_back(m.group(), chain)
-        return good if good is not None and cost(good) < cost(m.group()) else m.group()
+        return good if good is not None and _costs(good, lone)[0] < _costs(m.group(), lone)[0] else m.group()
 
     return _TOKEN.sub(fix, text)
 
@@ -292,14 +319,28 @@ def repair(text: str, chain: str) -> str:
 FIELDS = ("raw_text", "title")
 
 
-def _weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for seq, source, field, text in zip(frame["seq"], frame["source"], frame["field"], frame["text"]):
-            found = evidence(text)
-            over = max(0.0, max(found.values(), default=0.0) - MOST_EVIDENCE)
-            rows += [(seq, source, field, chain, x - over) for chain, x in found.items()]
-        yield pd.DataFrame(rows, columns=["seq", "source", "field", "chain", "evidence"])
+HITS = "source string, field string, token long, first boolean, chain string, gain double"
+
+
+def _weigh(id_type: pa.DataType):
+    """From ``seq, source, field, text``: a row for each chain that shortens a token of the field."""
+    names = ["seq", "source", "field", "token", "first", "chain", "gain"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for token, found in evidence(text).items():
+                    key = xxh64_intdigest(token) - 2**63
+                    rows += [(i, key, j == 0, chain, gain) for j, (chain, gain) in enumerate(found)]
+            at, token, first, chain, gain = zip(*rows) if rows else ((),) * 5
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in names[:3]), pa.array(token, pa.int64()), pa.array(first, pa.bool_()), pa.array(chain, pa.string()), pa.array(gain, pa.float64())], names=names)
+
+    return run
 
 
 def fields_of(df: DataFrame) -> DataFrame:
@@ -309,40 +350,58 @@ def fields_of(df: DataFrame) -> DataFrame:
     return df.select("seq", source.alias("source"), F.explode(pairs).alias("f")).select("seq", "source", "f.field", "f.text").filter("text <> ''")
 
 
+def weighed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(seq, source, field, chain, evidence)`` of the fields with any, and ``(source, field, n)``: how many fields have text."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    of = df.schema["seq"].dataType
+    fields = fields_of(df)
+    sizes = written(fields.groupBy("source", "field").agg(F.count(F.lit(1)).alias("n")))
+    n_all = sizes.agg(F.sum("n")).first()[0] or 1
+    hits = written(fields.filter(F.col("text").rlike(r"[^\x00-\x7f]")).mapInArrow(_weigh(to_arrow_type(of)), f"seq {of.simpleString()}, {HITS}"))
+    counts = written(hits.filter("first").groupBy("token").agg(F.count(F.lit(1)).alias("fields")))
+    counted = join_hot(hits, counts, ["token"], counts.filter(F.col("fields") > HOT_ROWS), "seq")
+    left = F.col("gain") - F.log1p((F.col("fields") - 1) / F.lit(1 + RARE * n_all))
+    sums = counted.withColumn("left", left).filter("left > 0").groupBy("seq", "source", "field", "chain").agg(F.sum("left").alias("evidence"))
+    best = F.max("evidence").over(Window.partitionBy("seq", "field"))  # a row per chain
+    over = F.greatest(best - MOST_EVIDENCE, F.lit(0.0))
+    return written(sums.withColumn("over", over).select("seq", "source", "field", "chain", (F.col("evidence") - F.col("over")).alias("evidence"))), sizes
+
+
 def posteriors(df: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``seq, field, chain, p``: for each field with evidence its likeliest chain and the chance that the field is garbled.
 
     ``df`` has ``seq`` (unique), ``raw_text, title, source_url, project_id``; other columns are not read. Null, empty and
-    ASCII-only fields have no row; an empty table gives no rows.
+    ASCII-only fields have no row; an empty table gives no rows. With one round the shares to start from decide alone. What a
+    field itself adds to its source's mixture is left out where the field is judged, so it does not bear itself out.
     """
-    kind = df.schema["seq"].dataType.simpleString()
-    fields = fields_of(df)
-    odd = fields.filter(F.col("text").rlike(r"[^\x00-\x7f]")).repartition("seq", "field")
-    weights = odd.mapInPandas(_weigh, f"seq {kind}, source string, field string, chain string, evidence double")
-    weights = written(weights)
-    sizes = fields.groupBy("source", "field").agg(F.count(F.lit(1)).alias("n"))
-    sizes = written(sizes)
+    weights, sizes = weighed(df)
     n_all = sizes.agg(F.sum("n")).first()[0] or 1
-    mixture = weights.select("source", "field", "chain").distinct().withColumn("share", F.lit(0.002))
+    joint = weights.withColumn("w", F.lit(math.log(FIRST_CHAIN / FIRST_SOUND)) + F.col("evidence"))
     for i in range(rounds):
-        joint = weights.join(mixture, ["source", "field", "chain"]).withColumn("w", F.log("share") + F.col("evidence"))
-        top = joint.groupBy("seq", "field").agg(F.max("w").alias("top"), F.first("source").alias("source"), F.collect_list(F.struct("chain", "w", "evidence")).alias("c"))
+        top = joint.groupBy("seq", "field").agg(F.max("w").alias("top"), F.first("source").alias("source"), F.collect_list(F.struct("chain", "evidence", "w")).alias("c"))  # a row per chain
         top = top.withColumn("top", F.greatest("top", F.lit(0.0)))
-        den = F.exp(-F.col("top")) * 0.97 + F.aggregate("c", F.lit(0.0), lambda a, x: a + F.exp(x["w"] - F.col("top")))
+        den = F.exp(-F.col("top")) + F.aggregate("c", F.lit(0.0), lambda a, x: a + F.exp(x["w"] - F.col("top")))
         shares = top.select("seq", "source", "field", F.explode(F.transform("c", lambda x: F.struct(
             x["chain"].alias("chain"), x["evidence"].alias("evidence"), (F.exp(x["w"] - F.col("top")) / den).alias("p")))).alias("x")).select("seq", "source", "field", "x.*")
         if i == rounds - 1:
             break
-        overall = shares.groupBy("chain").agg((F.sum("p") / F.lit(float(n_all))).alias("all"))
-        own = shares.groupBy("source", "field", "chain").agg(F.sum("p").alias("mass")).join(sizes, ["source", "field"]).join(F.broadcast(overall), "chain")  # one row per chain
-        mixture = own.select("source", "field", "chain", ((F.col("mass") + PULL * F.col("all") + 1e-4) / (F.col("n") + PULL)).alias("share"))
-        mixture = written(mixture)
+        shares = written(shares)
+        mass = shares.groupBy("source", "field", "chain").agg(F.sum("p").alias("mass"))
+        overall = mass.groupBy("chain").agg((F.sum("mass") / F.lit(float(n_all))).alias("all"))  # a row per chain
+        gone = mass.groupBy("source", "field").agg(F.sum("mass").alias("gone"))
+        lost = F.lit(overall.agg(F.sum("all")).first()[0] or 0.0)
+        mixture = mass.join(F.broadcast(overall), "chain").join(gone, ["source", "field"]).join(sizes, ["source", "field"])
+        of = F.col("n") - 1 + PULL
+        share = (F.greatest(F.col("mass") - F.col("p"), F.lit(0.0)) + PULL * F.col("all") + 1e-6) / of
+        sound = F.greatest((F.col("n") - 1 - F.greatest(F.col("gone") - F.col("p"), F.lit(0.0)) + PULL * (1 - lost)) / of, F.lit(1e-3))
+        joint = shares.join(mixture, ["source", "field", "chain"]).withColumn("w", F.log(share) - F.log(sound) + F.col("evidence"))
     return shares.groupBy("seq", "field").agg(F.max_by("chain", "p").alias("chain"), F.sum("p").alias("p"))
 
 
 def garbled(df: DataFrame) -> DataFrame:
-    """``seq, field, chain``: the fields that are likelier garbled than not."""
-    return posteriors(df).filter("p > 0.5").select("seq", "field", "chain")
+    """``seq, field, chain``: the fields that are garbled with a chance over ``CHANCE``."""
+    return posteriors(df).filter(F.col("p") > CHANCE).select("seq", "field", "chain")
 
 
 def _fix(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -354,5 +413,5 @@ def _fix(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repaired(df: DataFrame) -> DataFrame:
     """``seq, field, chain, repaired``: the text of every garbled field, turned back where the chain allows it."""
     kind = df.schema["seq"].dataType.simpleString()
-    texts = fields_of(df).join(garbled(df), ["seq", "field"]).select("seq", "field", "chain", "text")
+    texts = fields_of(df).join(written(garbled(df)), ["seq", "field"]).select("seq", "field", "chain", "text")
     return texts.mapInPandas(_fix, f"seq {kind}, field string, chain string, repaired string")
