@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.llm.common import HOT_ROWS, join_hot, site_of
-from docspark.llm.stage import written
+from docspark.llm.stage import slices, written
 
 ROUNDS = 5
 #: A token's gain that counts, in nats, and its least share of the token's best gain.
@@ -329,7 +329,7 @@ def _weigh(id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 for token, found in evidence(text).items():

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import HOT_ROWS, is_html, join_hot, site_of
-from docspark.llm.stage import written
+from docspark.llm.stage import slices, written
 
 # HTML elements by their part in the tree.
 INLINE = frozenset("a abbr b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small strike strong sub sup time tt u var wbr".split())
@@ -43,7 +43,7 @@ FEW_SHARE = 0.25
 #: A block recurs everywhere: sites that have it, at least.
 SITES = 4
 
-_TOKEN = re.compile(r"<!--.*?-->|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"(<!--.*?-->|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _PATH = re.compile(r"^[^.!?。！？]{1,60}( / [^.!?。！？]{1,80}){2,}$")
 _DIGITS = re.compile(r"\d+")
@@ -66,17 +66,19 @@ class Page:
         self.texts = [" ".join("".join(p).split()) for p in self.parts]
 
     def _read(self, raw: str) -> None:
-        stack, at, line, links, hidden = [0], 0, 1, 0, None
+        stack, line, links, hidden = [0], 1, 0, None
         has_text: set[int] = set()
-
         tags, parents, attrs_of = self.tags, self.parents, self.attrs
 
         def text(piece: str, line: int) -> None:
             node = stack[-1]
             while tags[node] in INLINE:
                 node = parents[node]
-            for row in piece.split("\n") if "\n" in piece else (piece,):
-                shown = html.unescape(row) if "&" in row else row
+            if "&" in piece:
+                rows = [html.unescape(row) for row in piece.split("\n")]
+            else:
+                rows = piece.split("\n") if "\n" in piece else (piece,)
+            for shown in rows:
                 if shown and not shown.isspace():
                     leaf = self.leaf_of.get(node)
                     if leaf is None:
@@ -95,19 +97,19 @@ class Page:
                         self.linked[leaf] += len(shown.strip())
                 line += 1
 
-        for m in _TOKEN.finditer(raw):
-            start, end = m.span()
-            if start > at:
-                between = raw[at:start]
+        # texts and tags in turn: text, tag, slash, name, attributes, text ...
+        parts = _TOKEN.split(raw)
+        for at in range(0, len(parts) - 1, 5):
+            between, whole, closing, name, attrs = parts[at : at + 5]
+            if between:
                 if hidden is None:
                     if not between.isspace():
                         text(between, line)
                 elif hidden == "title":
                     self.title += between
                 line += between.count("\n")
-            at = end
-            closing, name, attrs = m.groups()
-            line += raw.count("\n", start, end)
+            if "\n" in whole:
+                line += whole.count("\n")
             if not name:
                 continue
             name = name.lower()
@@ -143,8 +145,8 @@ class Page:
                     attrs_of[len(tags) - 1] = attrs
                 if attrs[-1:] != "/":
                     stack.append(len(tags) - 1)
-        if raw[at:] and hidden is None:
-            text(raw[at:], line)
+        if parts[-1] and hidden is None:
+            text(parts[-1], line)
 
     def packed(self) -> bytes:
         """The tree as bytes."""
@@ -347,7 +349,7 @@ def _parsed(id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for batch in batches:
+        for batch in slices(batches):
             sites, names, titles, trees, starts = [], [], [], [], [0]
             leaf, key, listed, long = [], [], [], []
             for host, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -379,7 +381,7 @@ def _decided(wanted: tuple[str, ...]):
     """From ``seq, name, tree, recurs, content_selector, remove_selectors``: the wanted ones of ``RESULTS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {c: [] for c in wanted}
             for name, raw, recurs, content, remove in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
                 page = Page.unpacked(raw)
@@ -432,18 +434,15 @@ def main_bodies(df: DataFrame, config: DataFrame, wanted: tuple[str, ...] = tupl
     pages = spread(pages_of(df))
     # a page is parsed here and nowhere else; the tables read below are columns of this one
     parsed = written(pages.select("seq", F.col("project_id").cast("long").alias("project_id"), "site", "raw_text").mapInArrow(_parsed(to_arrow_type(of)), f"seq {kind}, {PARSED}"))
+    parsed = parsed.withColumn("site", F.xxhash64("site"))
     blocks = parsed.select("seq", "site", "title", F.explode("blocks").alias("b")).select("seq", "site", "title", "b.*")
     seen = written(blocks.groupBy("site", "key").agg(F.countDistinct("title").alias("titles"), F.count(F.lit(1)).alias("n"), F.bool_or("long").alias("long"), F.bool_or(~F.col("listed")).alias("loose")))
-    sizes = parsed.groupBy("site").agg(F.countDistinct("title").alias("of"))
-    local = seen.filter("titles > 1").join(sizes, "site").filter(
-        F.when(F.col("long"), (F.col("titles") >= LONG_PAGES) & (F.col("titles") >= LONG_SHARE * F.col("of"))).otherwise(
-            (F.col("titles") >= SITE_PAGES) & (F.col("titles") >= SITE_SHARE * F.col("of"))
-            | (F.col("titles") >= 2) & (F.col("titles") >= FEW_SHARE * F.col("of")))
-    ).select("site", "key")
-    wide = seen.filter("loose and not long").groupBy("key").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= SITES).select("key")
-    # one join for both: a wide block stands in the rows of every site that has it
-    known = local.withColumn("local", F.lit(True)).join(
-        seen.select("site", "key").join(wide, "key"), ["site", "key"], "full").select("site", "key", F.coalesce("local", F.lit(False)).alias("local"))
+    sizes = written(parsed.groupBy("site").agg(F.countDistinct("title").alias("of")))
+    wide = written(seen.filter("loose and not long").groupBy("key").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= SITES).select("key", F.lit(True).alias("wide")))
+    local = F.when(F.col("long"), (F.col("titles") >= LONG_PAGES) & (F.col("titles") >= LONG_SHARE * F.col("of"))).otherwise(
+        (F.col("titles") >= SITE_PAGES) & (F.col("titles") >= SITE_SHARE * F.col("of")) | (F.col("titles") >= 2) & (F.col("titles") >= FEW_SHARE * F.col("of")))
+    # a wide block stands in the rows of every site that has it
+    known = written(seen.join(sizes, "site").join(wide, "key", "left").select("site", "key", local.alias("local"), "wide").filter("local or wide").select("site", "key", "local"))
     flags = join_hot(blocks, known, ["site", "key"], seen.filter(F.col("n") > HOT_ROWS), "seq").filter("local or not listed")
     flags = flags.groupBy("seq").agg(F.collect_set("leaf").alias("recurs"))
     full = parsed.select("seq", "project_id", "name", "tree").join(flags, "seq", "left").join(hints, "project_id", "left").select(

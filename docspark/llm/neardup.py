@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm import lines, mainbody
 from docspark.llm.common import HOT_PARTS, HOT_ROWS, join_hot
-from docspark.llm.stage import written
+from docspark.llm.stage import slices, written
 
 SLOTS, ROWS = 512, 4
 BANDS_AGREE = 2
@@ -37,6 +37,7 @@ COPIES = 1_000
 
 _HAN = "㐀-䶿一-鿿豈-﫿𠀀-𲎯々〇"
 _WORD = re.compile(f"[{_HAN}]|[^\\W_{_HAN}]+")
+_PLAIN = re.compile("[a-z0-9]+")
 
 #: Darts thrown for each coordinate, on average.
 DARTS = 4
@@ -56,7 +57,8 @@ _hashes: dict[str, int] = {}
 
 def words_of(body: str) -> list[str]:
     """Words in lower case: runs of letters and digits, a Chinese character being one."""
-    return _WORD.findall(body.lower())
+    low = body.lower()
+    return _PLAIN.findall(low) if low.isascii() else _WORD.findall(low)
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -158,7 +160,7 @@ def _hashed(id_type: pa.DataType, size: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches):
             keys, low, high, kept = [], [], [], []
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(body) if body else []
@@ -177,7 +179,7 @@ def _hashed(id_type: pa.DataType, size: int, least: int):
 
 def _grams(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(x.split(" "), size).view(np.int64) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "grams"])
 
@@ -299,6 +301,8 @@ def similar(bodies: DataFrame, id_col: str = "seq", body_col: str = "body", size
     common = F.size(F.array_intersect("ga", "gb"))
     exact = both.select("a", "b", common.alias("c"), (F.size("ga") + F.size("gb")).alias("s")).filter(
         F.col("c") >= threshold * (F.col("s") - F.col("c"))).select("a", "b")
+    if heavy.isEmpty():
+        return members, exact
     sizes = written(heavy.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     dealt = join_hot(heavy, sizes, ["key"], sizes.filter(F.col("n") > HOT_ROWS), "rep").withColumn("of", F.ceil(F.col("n") / BLOCK))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("of")))
@@ -311,9 +315,16 @@ def similar(bodies: DataFrame, id_col: str = "seq", body_col: str = "body", size
 def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Every pair of records ``seq_a < seq_b``, copies included. Groups of copies are paired part by part."""
     of = F.ceil(F.col("n") / COPIES)
-    parts = members.select("id", "rep", "n", of.alias("of"), F.pmod(F.xxhash64("id"), of).alias("part"))
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(c, F.lit(1).cast("long")) - 1))
     large = members.filter((F.col("n") > COPIES) & (F.col("id") == F.col("rep"))).select("rep", of.alias("of"))
+    left, right = members.withColumnsRenamed({"id": "x", "rep": "a"}), members.withColumnsRenamed({"id": "y", "rep": "b"})
+    if large.isEmpty():
+        between = pairs.join(left, "a").join(right, "b").select("x", "y")
+        copies = left.filter("n > 1").join(right.filter("n > 1"), F.col("a") == F.col("b")).filter("x < y").select("x", "y")
+        return between.unionByName(copies).select(F.least("x", "y").alias("seq_a"), F.greatest("x", "y").alias("seq_b"))
+    large = written(large)
+    part = F.pmod(F.xxhash64("id"), of)
+    parts = members.select("id", "rep", "n", of.alias("of"), part.alias("part"))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(c, F.lit(1).cast("long")) - 1))
     sized = pairs.join(large.withColumnsRenamed({"rep": "a", "of": "of_a"}), "a", "left").join(large.withColumnsRenamed({"rep": "b", "of": "of_b"}), "b", "left")
     sized = sized.select("a", "b", "of_b", every(F.col("of_a")).alias("i")).select("a", "b", "i", every(F.col("of_b")).alias("j"))
     between = sized.join(parts.select(F.col("id").alias("x"), F.col("rep").alias("a"), F.col("part").alias("i")), ["a", "i"]).join(

@@ -132,8 +132,10 @@ def pack_items(items: DataFrame, specs: DataFrame, id_col: str = "doc_id", size_
 
 def with_empty(packed: DataFrame, empty: DataFrame, specs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``packed`` with a row of size 0 for each row of ``empty`` and each spec, in one of the spec's containers (one of its own if it has none)."""
-    some = packed.groupBy("spec_id").agg(F.min("container").alias("container"))
-    kinds = specs.select(F.col("spec_id").cast("long"), F.col("capacity_tokens").cast("long")).filter("capacity_tokens > 0").join(some, "spec_id", "left")
-    rows = empty.select(F.col(id_col).cast("long").alias("item_id")).crossJoin(F.broadcast(kinds))  # a row per spec, a handful by definition
-    return packed.unionByName(rows.select(
-        "spec_id", F.coalesce("container", F.lit("empty")).alias("container"), "item_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("size"), "capacity_tokens"))
+    some = {r.spec_id: r.container for r in packed.groupBy("spec_id").agg(F.min("container").alias("container")).collect()}  # a row per spec
+    kinds = specs.select(F.col("spec_id").cast("long"), F.col("capacity_tokens").cast("long")).filter("capacity_tokens > 0").collect()
+    boxes = [F.struct(F.lit(k.spec_id).cast("long").alias("spec_id"), F.lit(some.get(k.spec_id, "empty")).alias("container"), F.lit(k.capacity_tokens).cast("long").alias("capacity_tokens")) for k in kinds]
+    if not boxes:
+        return packed
+    rows = empty.select(F.col(id_col).cast("long").alias("item_id"), F.explode(F.array(*boxes)).alias("k"))
+    return packed.unionByName(rows.select("k.spec_id", "k.container", "item_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("size"), "k.capacity_tokens"))

@@ -72,8 +72,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated blocks of several lines, per site."""
-    return lines.repeated(table(spark, sf_dir, "source_document")).filter("lines > 1")
+    """How many repeated blocks of several lines each site has, by their length and the number of records they span."""
+    found = lines.repeated(table(spark, sf_dir, "source_document")).filter("lines > 1")
+    return found.groupBy("site", "lines", "records", "site_records").agg(F.count(F.lit(1)).alias("blocks"))
 
 
 @query
@@ -98,6 +99,20 @@ f AS (
   HAVING count(DISTINCT seq) >= 5 AND count(DISTINCT seq) * 10 >= n.n
 ), found AS (SELECT seq, line_no FROM k JOIN f ON k.site = f.site AND k.key = f.key)
 """
+# the runs of kept lines of each record, every block of two and more lines in them, and what follows it
+SQL["p3_blocks"] = _P3_LINES + """
+, o AS (SELECT k.seq, k.site, k.key, f.key IS NOT NULL AS kept, row_number() OVER (PARTITION BY k.seq ORDER BY line_no) AS i FROM k LEFT JOIN f ON k.site = f.site AND k.key = f.key WHERE k.key <> ''),
+g AS (SELECT seq, site, key, i, i - row_number() OVER (PARTITION BY seq ORDER BY i) AS run FROM o WHERE kept),
+p AS (SELECT seq, site, list(key ORDER BY i) AS keys FROM g GROUP BY seq, site, run HAVING count(*) > 1),
+a AS (SELECT seq, site, keys, unnest(range(1, len(keys))) AS first FROM p),
+b AS (SELECT seq, site, keys, first, unnest(range(first + 1, len(keys) + 1)) AS last FROM a),
+c AS (SELECT seq, site, last - first + 1 AS lines, array_to_string(keys[first : last], chr(10)) AS block, keys[last + 1] AS next FROM b),
+t AS (
+  SELECT site, lines, block, count(DISTINCT seq) AS records FROM c GROUP BY site, lines, block
+  HAVING count(*) FILTER (WHERE next IS NULL) > 0 OR count(DISTINCT next) > 1
+)
+SELECT t.site, CAST(lines AS INT) AS lines, records, n.n AS site_records, count(*) AS blocks FROM t JOIN n ON t.site = n.site WHERE records >= 5 AND records * 10 >= n.n GROUP BY ALL
+"""
 SQL["p3_found"] = _P3_LINES + "SELECT seq, line_no FROM found"
 SQL["p3_cleaned"] = _P3_LINES + """
 , al AS (

@@ -2,8 +2,8 @@
 
 Every paragraph or sentence end of a text is a gap. The words of the sentences before and after a gap are compared (cosine of
 their counts); where the likeness falls into a valley between two higher values, the topic changes. A piece ends, within its
-window of allowed sizes, at the deepest valley among its paragraph ends, else among its sentence ends, else at a word end, and
-only in a run without any of these between two characters (never inside a combined character). The next piece starts the
+window of allowed sizes, at the deepest valley among its paragraph ends, else among its sentence ends (of equally deep ones at
+the one nearest to the aim), else at a word end, and only in a run without any of these between two characters (never inside a combined character). The next piece starts the
 stated number of characters before that end.
 """
 
@@ -79,7 +79,7 @@ def pieces(text: str, limit: int, overlap: int = 0, aim: int | None = None) -> l
     """``(start, end)`` of ordered pieces, each of at most ``limit`` characters, which cover the text.
 
     Consecutive pieces share ``overlap`` characters (at most ``limit - 1``, so that each piece brings something new). With
-    ``aim`` the pieces come near that size, otherwise they are as long as the deepest valley in the upper half of the window
+    ``aim`` the window is first a quarter of it to either side, so that the pieces come near that size, otherwise they are as long as the deepest valley in the upper half of the window
     lets them be. A text within the limit, and an empty one, is one piece.
     """
     n = len(text)
@@ -99,14 +99,15 @@ def pieces(text: str, limit: int, overlap: int = 0, aim: int | None = None) -> l
         new = top - cut
         low = cut + max(1, new // 2)
         goal = min(top, max(low, start + aim)) if aim else top
+        around = [(max(low, goal - aim // 4), min(top, goal + aim // 4))] if aim else []
         end = 0
-        for least in (low, cut + 1):
+        for least, most in (*around, (low, top), (cut + 1, top)):
             for ends in (paragraphs, sentences):
-                inside = ends[bisect_left(ends, least) : bisect_right(ends, top)]
+                inside = ends[bisect_left(ends, least) : bisect_right(ends, most)]
                 if inside:
-                    end = max(inside, key=lambda p: (deep[p] - abs(p - goal) / limit, p))
+                    end = max(inside, key=lambda p: (deep[p], -abs(p - goal), p))
                     break
-            if not end:
+            if not end and (least, most) not in around:
                 inside = words[bisect_left(words, least) : bisect_right(words, top)]
                 if inside:
                     end = min(inside, key=lambda p: (abs(p - goal), -p))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from docspark.sources.storage import checkpoint_folder
@@ -29,3 +31,13 @@ def written(df: DataFrame) -> DataFrame:
         atexit.register(lambda: [_remove(*x) for x in _made])
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a Python kernel holds at once, as Python objects.
+AT_ONCE = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)

@@ -20,6 +20,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -131,53 +132,96 @@ def features(tokens: list[str], sentence: str) -> set[str]:
     return out
 
 
+# Signs of a word beside its number (which takes the low bits): written in Chinese, masked, of which categories of the lexicon;
+# and for a run of characters: holds a quotation mark, has no word.
+_NUMBER, _IS_HAN, _IS_MASKED, _LEX, _QUOTED, _NO_WORD = (1 << 22) - 1, 1 << 22, 1 << 23, 24, 1 << 28, 1 << 29
+
+
 class Model:
     """Chain of linear models: ``index`` of the features, ``weights`` (features x models), ``bias``, ``link`` (earlier chances)."""
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, bias: np.ndarray, link: np.ndarray) -> None:
         self.index, self.weights, self.bias, self.link = index, weights, bias, link
-        self.heads = frozenset(f.split(" ", 1)[0] for f in index if " " in f)
-
-    def known(self, tokens: list[str], sentence: str) -> list[int]:
-        """The indices of ``features(tokens, sentence)``; a pair is only put together if one with its first word is known."""
-        index, heads, lexicon = self.index, self.heads, _lexicon()
-        kinds = set(tokens)
-        out = {index[t] for t in kinds if t in index}
-        plain = [t for t in tokens if not _HAN.match(t)] if not sentence.isascii() else tokens
-        out.update(index[f] for a, b in zip(plain, plain[1:]) if a in heads and (f := f"{a} {b}") in index)
-        for c in CATEGORIES:
-            hits = len(kinds & lexicon[c])
-            if hits:
-                out.add(index[f"#{c}"])
-            if hits > 1:
-                out.add(index[f"#{c}+"])
-        if _QUOTE.search(sentence):
-            out.add(index["#quote"])
-        if "*" in sentence and any(t[:1] == "*" for t in kinds):
-            out.add(index["#masked"])
-        return list(out)
+        pairs = [(f.split(" ", 1), i) for f, i in index.items() if " " in f]
+        words = dict.fromkeys([f for f in index if " " not in f and f[0] != "#"])
+        words.update(dict.fromkeys(w for (a, b), _ in pairs for w in (a, b)))
+        words.update(dict.fromkeys(w for seeds in _lexicon().values() for w in seeds))
+        self.numbers = {w: i for i, w in enumerate(words)}
+        self.single = np.array([index.get(w, -1) for w in words], dtype=np.int64)
+        keys = np.array([self.numbers[a] * len(words) + self.numbers[b] for (a, b), _ in pairs], dtype=np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pairs = keys[order], np.array([i for _, i in pairs], dtype=np.int64)[order]
+        self.seen: dict[str, tuple[int, ...]] = {}
+
+    def _codes(self, raw: str) -> tuple[int, ...]:
+        """The words of a run of characters without spaces, each as its number (from 1, 0 for one that no feature knows) with its signs."""
+        out = []
+        for w in canonical(raw):
+            code = self.numbers.get(w, -1) + 1
+            if _HAN.match(w):
+                code |= _IS_HAN
+            if w[:1] == "*":
+                code |= _IS_MASKED
+            for j, c in enumerate(CATEGORIES):
+                if w in _lexicon()[c]:
+                    code |= 1 << (_LEX + j)
+            out.append(code)
+        if _QUOTE.search(raw):
+            out = [out[0] | _QUOTED, *out[1:]] if out else [_QUOTED | _NO_WORD]
+        return tuple(out)
+
+    def known(self, cut: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``(sentence, feature)`` of sentences: what ``features`` gives for each, as far as it is in the index, in order."""
+        runs = [s.split() for s in cut]
+        flat = list(chain.from_iterable(runs))
+        if len(self.seen) > 500_000:
+            self.seen.clear()
+        self.seen.update((raw, self._codes(raw)) for raw in set(flat).difference(self.seen))
+        each = list(map(self.seen.__getitem__, flat))
+        codes = np.fromiter(chain.from_iterable(each), dtype=np.int64)
+        owner = np.repeat(np.repeat(np.arange(len(runs)), [len(r) for r in runs]), np.fromiter(map(len, each), dtype=np.int64, count=len(each)))
+        number = (codes & _NUMBER) - 1
+        got: list[tuple[np.ndarray, np.ndarray]] = []
+        at = np.flatnonzero(number >= 0)
+        feature = self.single[number[at]]
+        got.append((owner[at][feature >= 0], feature[feature >= 0]))
+        at = np.flatnonzero(codes & (_IS_HAN | _NO_WORD) == 0)
+        a, b, o = number[at][:-1], number[at][1:], owner[at]
+        near = np.flatnonzero((o[:-1] == o[1:]) & (a >= 0) & (b >= 0))
+        if len(near) and len(self.pairs):
+            key = a[near] * len(self.single) + b[near]
+            place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pairs) - 1)
+            hit = self.pair_keys[place] == key
+            got.append((o[near][hit], self.pairs[place[hit]]))
+        for j, c in enumerate(CATEGORIES):
+            at = np.flatnonzero(codes >> (_LEX + j) & 1)
+            if len(at):
+                which, times = np.unique(np.unique(owner[at] * (_NUMBER + 1) + number[at]) // (_NUMBER + 1), return_counts=True)
+                got += [(which, np.full(len(which), self.index[f"#{c}"])), (which[times > 1], np.full(int((times > 1).sum()), self.index[f"#{c}+"]))]
+        for sign, f in ((_QUOTED, "#quote"), (_IS_MASKED, "#masked")):
+            which = np.unique(owner[np.flatnonzero(codes & sign)])
+            got.append((which, np.full(len(which), self.index[f])))
+        size = len(self.index)
+        all_of = np.unique(np.concatenate([o * size + f for o, f in got]))
+        return all_of // size, all_of % size
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """For each text the chances of insult, hate, sexual and abusive: the greatest over all its sentences.
 
         A sentence without any feature of the index adds nothing: for it the chain knows only its bias.
         """
-        flat, sizes, owner = [], [], []
-        for i, text in enumerate(texts):
-            for s in sentences(text) if isinstance(text, str) else ():
-                rows = self.known(words(s), s)
-                if rows:
-                    flat += rows
-                    sizes.append(len(rows))
-                    owner.append(i)
+        cut = [sentences(t) if isinstance(t, str) else [] for t in texts]
         best = np.zeros((len(texts), len(CATEGORIES) + 1))
-        if not sizes:
+        which, feature = self.known(list(chain.from_iterable(cut)))
+        if not len(which):
             return best
-        z = self.bias + np.add.reduceat(self.weights[flat], np.cumsum([0, *sizes[:-1]]), axis=0)
+        starts = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
+        z = self.bias + np.add.reduceat(self.weights[feature], starts, axis=0)
         out = np.zeros_like(z)
         for j in range(z.shape[1]):
             out[:, j] = 1 / (1 + np.exp(-np.clip(z[:, j] + out[:, :j] @ self.link[j, :j], -500, 500)))
-        np.maximum.at(best, owner, out)
+        text = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
+        np.maximum.at(best, text[which[starts]], out)
         return best
 
 

@@ -90,6 +90,24 @@ def test_cuts_at_natural_boundaries():
     assert splitting.pieces(topics, at + 120)[0][1] == at
 
 
+def test_cuts_are_at_the_deepest_valley_of_their_window(monkeypatch):
+    checked = 0
+    for _ in range(20):
+        text = "\n\n".join(" ".join(sentence(rng.randrange(4, 12)) for _ in range(rng.randrange(2, 8))) for _ in range(12))
+        paragraphs, sentences, _ = splitting.boundaries(text)
+        deep = splitting.depths(text, sorted({*paragraphs, *sentences}))
+        cut = 0
+        for a, b in splitting.pieces(text, 700)[:-1]:
+            window = [p for p in paragraphs if cut + 350 <= p <= a + 700] or [p for p in sentences if cut + 350 <= p <= a + 700]
+            assert deep[b] == max(deep[p] for p in window)
+            checked, cut = checked + 1, b
+    assert checked > 50
+    text = " ".join(sentence() for _ in range(40))
+    plain = splitting.pieces(text, 400)
+    monkeypatch.setattr(splitting, "depths", lambda text, gaps: dict.fromkeys(gaps, 0.0))
+    assert splitting.pieces(text, 400) != plain  # the method decides the cuts
+
+
 def test_split_items(spark, config):
     clean = spark.createDataFrame([(1, 1, "x" * 950), (2, None, "y" * 2800), (3, None, "y" * 2801), (4, 9, None), (5, 1, ""), (6, 2, "z " * 1500)], "clean_id long, project_id long, clean_text string")
     seg = spark.createDataFrame([(1, 2, "w" * 121), (2, 2, "w" * 120), (3, None, None)], "segment_id long, project_id long, text string")
@@ -202,6 +220,20 @@ def test_encodings(spark):
     assert encoding.garbled(df.filter("false")).count() == 0
 
 
+def test_weak_evidence_is_pooled(spark):
+    """The same weak field is found beside fields with the same chain and not in a sound source; without EM both are judged alike."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "se" + letters[i % 26] + letters[i // 26 % 26]
+    gone = [{"raw": f"Une {word(i)}\u00c3\u00a9t\u00c3\u00a9 et la for\u00c3\u00aat", "url": "http://gone.com"} for i in range(40)]
+    sound = [{"raw": f"Une {word(i)}été et la forêt", "url": "http://sound.com"} for i in range(400)]
+    weak = [{"raw": "Prix \u00c2\u00b1", "url": u} for u in ("http://gone.com", "http://sound.com")]
+    df = docs(spark, gone + sound + weak)
+    at = {440: "gone", 441: "sound"}
+    last, first = ({at[r.seq]: r.p for r in encoding.posteriors(df, n).filter("seq >= 440").collect()} for n in (encoding.ROUNDS, 1))
+    assert 1 - last["gone"] < 0.1 * (1 - last["sound"]) and abs(first["gone"] - first["sound"]) < 1e-9
+    assert encoding.garbled(df).filter("seq < 40").count() == 40 and encoding.garbled(df).filter("seq between 40 and 439").count() == 0
+
+
 # --- residue -------------------------------------------------------------------------------------------------------------------
 def test_residue(spark, config):
     body = "\n".join(sentence(25) for _ in range(5))
@@ -218,6 +250,31 @@ def test_residue(spark, config):
     assert residue.residue(docs(spark, [cases[0][0]]).filter("false"), config).count() == 0
 
 
+def test_messages_without_a_known_phrase_are_found_by_their_recurrence(spark, config, monkeypatch):
+    rows = [{"raw": f"{sentence()}\n{sentence()}", "url": f"http://n{i}.com"} for i in range(5)]
+    rows += [{"raw": f"Sorry, that address leads nowhere ({i}).", "url": f"http://s{i}.com"} for i in range(5)]
+    rows += [{"raw": f"Our little ferry is called Anna. {sentence()}", "url": "http://own.com"}]
+    rows += [{"raw": "\n".join(["Names have been changed.", *(sentence(25) for _ in range(4))]), "url": f"http://s{i}.com"} for i in range(5)]
+    df = docs(spark, rows)
+    assert {r.seq: r.kind for r in residue.residue(df, config).collect()} == {i: "message" for i in range(5, 10)}
+    monkeypatch.setattr(residue, "SITES", 10**9)
+    assert residue.residue(df, config).count() == 0
+
+
+@pytest.mark.parametrize("text", ["521 Error", "520 Unknown", "431 Request Header Fields Too Large", "访问被拒", "503 Service Unavailable"])
+def test_messages_by_phrase(spark, config, text):
+    assert [r.kind for r in residue.residue(docs(spark, [{"raw": text}]), config).collect()] == ["message"]
+
+
+def test_literal_parts_of_the_fill_in_phrases():
+    import re
+
+    for key, pattern in residue._FILLS:
+        for part in pattern.split("|") if "(" not in pattern else [pattern]:
+            literal = "|".join(re.sub(r"\\b|\\|\[.*?\]|\(\?:.*?\)\??", "#", part).lower().split("#"))
+            assert key in literal or key.strip() in part.lower()
+
+
 def test_repeats_within_a_body_leave_its_signature_alone():
     import pyarrow as pa
 

@@ -65,6 +65,8 @@ def test_every_sentence_is_scored(spark):
 
 def test_indices_are_those_of_the_features():
     model = toxicity.fit([(i, t, float(c is not None), frozenset([c] if c else [])) for i, t, _, c in make(60)])
-    for s in CALM + ["S**t, \"you\" 蠢货 idiot", "你死了也没人会在乎。"] + [f(x) for f in DISGUISE for r in RUDE.values() for x in r]:
-        tokens = toxicity.words(s)
-        assert sorted(model.known(tokens, s)) == sorted(model.index[f] for f in toxicity.features(tokens, s) if f in model.index)
+    cut = CALM + ["S**t, \"you\" 蠢货 idiot", "你死了也没人会在乎。", "\"", "", "「你」 idiot idiot moron"] + [f(x) for f in DISGUISE for r in RUDE.values() for x in r]
+    which, feature = model.known(cut)
+    for i, s in enumerate(cut):
+        assert sorted(feature[which == i].tolist()) == sorted(model.index[f] for f in toxicity.features(toxicity.words(s), s) if f in model.index)
+    assert len(model.known([])[0]) == 0
