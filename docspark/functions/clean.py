@@ -7,7 +7,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,7 +45,7 @@ def normalize_newlines(x: Column) -> Column:
     return F.replace(F.replace(F.replace(x, F.lit(" "), F.lit(" ")), F.lit("–"), F.lit("-")), F.lit("—"), F.lit("--"))
 
 
-# The order of the rules can be observed in the results.
+# The rules of the cleaner, whose order can be observed in the results.
 _BEFORE_ENTITIES = (
     (r"(?s)```.*?```", "\n"), (r"(?md)^(?: {4}|\t).*$", ""), (r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"),
     (rf"https?://[^{WS}]+", ""), (r"<[^>]+>", " "),
@@ -67,10 +67,29 @@ def clean_source_text(x: Column) -> Column:
     return collapse_text(_chain(unescape(_chain(normalize_newlines(x), _BEFORE_ENTITIES)), _AFTER_ENTITIES))
 
 
+def with_clean_text(df: DataFrame, source: str, target: str = "clean_text") -> DataFrame:
+    """``df`` with ``clean_source_text`` of a column. Each stage is a column of its own, so that its chain of rules is evaluated once
+    although the next stage names it several times."""
+    staged = df.withColumn("__before", _chain(normalize_newlines(F.col(source)), _BEFORE_ENTITIES))
+    staged = staged.withColumn("__plain", unescape(F.col("__before")))
+    return staged.withColumn(target, collapse_text(_chain(F.col("__plain"), _AFTER_ENTITIES))).drop("__before", "__plain")
+
+
+def with_script(df: DataFrame, source: str, target: str = "script", language: str = "zh") -> DataFrame:
+    """``df`` with ``render_script`` of a column, in stages as in ``with_clean_text``."""
+    staged = with_clean_text(df, source, "__clean")
+    staged = staged.withColumn("__form", F.coalesce(_nfkc_unescape(F.when(F.col("__clean").rlike(r"[^\x00-\x7F]|&"), F.col("__clean"))), F.col("__clean")))
+    return staged.withColumn(target, _spoken(F.col("__form"), language)).drop("__clean", "__form")
+
+
 def render_script(x: Column, language: str = "zh") -> Column:
-    """Text for narration: symbols that would be read aloud are removed or turned into pauses."""
+    """Text for narration: symbols that would be read aloud are removed or turned into pauses. The rules and their order are fixed values."""
     x = clean_source_text(x)
     x = F.coalesce(_nfkc_unescape(F.when(x.rlike(r"[^\x00-\x7F]|&"), x)), x)
+    return _spoken(x, language)
+
+
+def _spoken(x: Column, language: str) -> Column:
     return strip(_chain(x, (
         (r"\[\^?[^\]]+\]", ""), (rf"[{WS}]*--+[{WS}]*", "，" if language.startswith("zh") else ", "), (rf"[{WS}]*[-=]{{3,}}[{WS}]*", "\n\n"),
         (r"[/\\]", " "), (r"[_#>*`|{}\[\]()<]", " "), (rf"[{WS}]+([,.;:!?，。！？；：])", "$1"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"),
@@ -82,18 +101,10 @@ def script_audit(source: Column, script: Column, language: str = "zh") -> Column
     return F.struct(F.lit(language).alias("language"), (script != source).alias("changed"), F.length(source).alias("source_chars"), F.length(script).alias("script_chars"))
 
 
-@F.pandas_udf(T.StringType())
-def _slug(value: pd.Series, fallback: pd.Series) -> pd.Series:
-    def one(v: str | None, other: str | None) -> str:
-        v = unicodedata.normalize("NFKC", v or "").strip().lower()
-        v = re.sub(r"[\s_]+", "-", re.sub(r"[^\w\s.-]", "", v))
-        return re.sub(r"-{2,}", "-", v).strip(".-") or (other or "")
-
-    return pd.Series([one(v, f) for v, f in zip(value, fallback)])
-
-
 def slugify(value: Column, fallback: Column) -> Column:
-    return _slug(value, fallback)
+    """Letters, digits and dots in small letters, parted by hyphens; the fallback where nothing is left."""
+    kept = _chain(F.lower(strip(nfkc(text_or_empty(value)))), ((rf"[^\p{{L}}\p{{N}}_.\-{WS}]+", ""), (rf"[_{WS}-]+", "-"), (r"\A[.-]+|[.-]+\z", "")))
+    return F.when(kept == "", text_or_empty(fallback)).otherwise(kept)
 
 
 def document_slug(title: Column, order: Column, fallback: Column) -> Column:

@@ -32,7 +32,8 @@ def collapse_inline(x: Column) -> Column:
 
 def collapse_text(x: Column) -> Column:
     """Lines stripped and joined by a space within a paragraph; blank lines part paragraphs, which are joined by one blank line."""
-    lines = F.transform(split_lines(text_or_empty(x)), lambda s: strip(F.regexp_replace(s, r"[ \t]+", " ")))
+    # an empty last line would be dropped by the trimming below, so the lines need not be bound for it
+    lines = F.transform(F.split(text_or_empty(x), EOL, -1), lambda s: strip(F.regexp_replace(s, r"[ \t]+", " ")))
     joined = F.regexp_replace(F.array_join(lines, "\n"), r"\A\n+|\n+\z", "")
     return F.regexp_replace(F.regexp_replace(joined, r"(?<!\n)\n(?!\n)", " "), r"\n{2,}", "\n\n")
 

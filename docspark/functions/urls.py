@@ -24,3 +24,17 @@ def url_allowed(url: Column, include: list[str] = (), exclude: list[str] = ()) -
 def same_domain(url: Column, starts: list[str]) -> Column:
     hosts = {s.split("://", 1)[1].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0] for s in starts if "://" in s}
     return F.coalesce(authority(url).isin(sorted(hosts)), F.lit(False))
+
+
+def resolved_path(path: Column) -> Column:
+    """A path without empty parts and ``.``; ``..`` takes back the part before it."""
+    kept = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    walked = F.aggregate(kept, F.array().cast("array<string>"), lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p))))
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(walked, "/"))
+
+
+def relative_path(path: Column, base: str) -> Column:
+    """The path from ``base`` on if it lies under it, else the whole path, both resolved."""
+    whole, root = resolved_path(path), resolved_path(F.lit(base))
+    below = F.when(root == "/", whole.startswith("/")).otherwise(whole.startswith(F.concat(root, F.lit("/"))))
+    return F.when(whole == root, ".").when(below, F.regexp_replace(F.substr(whole, F.length(root) + 1), "^/", "")).otherwise(whole)

@@ -42,6 +42,16 @@ def run_summary(manifest: DataFrame) -> DataFrame:
         F.coalesce(F.sum("tts_completed"), F.lit(0)).alias("tts_completed"), F.coalesce(F.sum("segment_count"), F.lit(0)).alias("segment_count"))
 
 
+def status_summary(documents: DataFrame) -> DataFrame:
+    """One row of seven counters over per-document reports (see ``status_issues``)."""
+    count = lambda when: F.count_if(F.coalesce(when, F.lit(False)))
+    total = lambda col: F.coalesce(F.sum(col), F.lit(0)).cast("long")
+    return documents.agg(
+        F.count(F.lit(1)).alias("documents"), total(F.size("missing_stage_files")).alias("stage_files_missing"),
+        count(F.col("audio_status") == "completed").alias("audio_completed"), count(F.col("audio_status") == "skipped").alias("audio_skipped"),
+        count(F.col("audio_missing")).alias("audio_missing"), total("failed").alias("segment_failed"), total("pending").alias("segment_pending"))
+
+
 def missing_stage_files(manifest: DataFrame, files: DataFrame, to_phase: str = "package", key: str = "doc_id") -> DataFrame:
     """``key, field, value``: stage fields of the phases reached that are empty (value is the field) or name no file."""
     reached = [(p, f) for p, f in STAGE_FIELDS if PHASES.index(p) <= PHASES.index(to_phase)]

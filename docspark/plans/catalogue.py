@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import clean, html, pytext, urls
 from docspark.operators import audio_plan, chunking, leaks, segments, summaries
-from docspark.plans import providers
+from docspark.plans import oracles, providers
 from docspark.sources import documents as sources
 
 QUERIES: dict = {}
@@ -35,12 +35,12 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-@query()
+@query(oracles.PAGE_SEGMENTS)
 def q00_page_segments_summary(spark, d):
     """Source, extraction, script and segments of every HTML record, in figures."""
     pages = table(spark, d, "source_document").filter(F.lower("media_type").contains("html")).select("seq", "title", "raw_text", "media_type")
     text = providers.extract(dealt(pages, "seq"))
-    script = text.select("seq", "title", clean.render_script(F.col("clean_text"), "en").alias("script"))
+    script = clean.with_script(text.select("seq", "clean_text"), "clean_text", "script", "en")
     rows = segments.explode_segments(script, "seq", "script")
     return rows.groupBy("seq").agg(
         F.count(F.lit(1)).alias("segments"), F.sum("chars").alias("chars"), F.sum("pause_after_ms").alias("pause_ms"), F.max("chars").alias("longest"))
@@ -101,14 +101,14 @@ def q06_same_domain(spark, d):
     return table(spark, d, "source_document").select("seq", urls.authority(u).alias("authority"), urls.same_domain(u, ["https://dorsagolty-courier.test/"]).alias("same"))
 
 
-@query()
+@query(oracles.PAGE_LINKS)
 def q07_page_links(spark, d):
     """Absolute links of every page, in order."""
     pages = table(spark, d, "source_document").filter(F.lower("media_type").contains("html") & (F.col("source_url") != "")).select("seq", "source_url", "raw_text")
     return dealt(pages, "seq").select("seq", F.posexplode(html.extract_links("source_url", "raw_text")).alias("pos", "link"))
 
 
-@query()
+@query(oracles.READABLE)
 def q08_readable_text(spark, d):
     """Title and readable text of every record."""
     docs = table(spark, d, "source_document").select("seq", "title", "raw_text", "media_type")
@@ -121,12 +121,12 @@ def q09_static_filter(spark, d):
     config = table(spark, d, "project_config").select("project_id", "content_selector", "title_selector", "remove_selectors")
     docs = table(spark, d, "source_document").filter(F.lower("media_type").contains("html")).select("seq", "project_id", "media_type", "raw_text")
     joined = dealt(docs, "seq").join(config, "project_id", "left")
-    return joined.select("seq", F.length(html.static_filter(F.col("raw_text"), F.col("media_type"), F.col("content_selector"), F.col("title_selector"), F.col("remove_selectors"))).alias("chars"))
+    return joined.select("seq", html.static_filter(F.col("raw_text"), F.col("media_type"), F.col("content_selector"), F.col("title_selector"), F.col("remove_selectors")).alias("markup"))
 
 
-@query()
+@query(oracles.CLEAN_TEXT)
 def q10_clean_text(spark, d):
-    return dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", clean.clean_source_text(F.col("text")).alias("clean_text"))
+    return clean.with_clean_text(dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "text").drop("text")
 
 
 _NL = "regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g')"
@@ -139,9 +139,9 @@ def q11_normalized_newlines(spark, d):
     return table(spark, d, "documents").select("doc_id", clean.normalize_newlines(F.col("text")).alias("text"))
 
 
-@query()
+@query(oracles.SCRIPT_AUDIT)
 def q12_script_audit(spark, d):
-    docs = dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "text", clean.render_script(F.col("text"), "en").alias("script"))
+    docs = clean.with_script(dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "text", "script", "en")
     return docs.select("doc_id", "script", clean.script_audit(F.col("text"), F.col("script"), "en").alias("a")).select("doc_id", "script", "a.*")
 
 
@@ -181,7 +181,7 @@ def q15_sentences(spark, d):
     return table(spark, d, "clean_document").filter("clean_text <> ''").select("clean_id", F.posexplode(segments.sentences(F.col("clean_text"))).alias("pos", "sentence"))
 
 
-@query()
+@query(oracles.SEGMENTS)
 def q16_segments(spark, d):
     """Segments of every clean document, with the sizes of its project."""
     config = table(spark, d, "project_config").select(
@@ -248,10 +248,10 @@ SELECT segment_id, count(*) AS matched_marker_count FROM t JOIN m ON contains(t.
 """)
 def q21_text_leak(spark, d):
     marks = leaks.marker_table(table(spark, d, "clean_document"), "title")
-    return leaks.text_leaks(table(spark, d, "segment"), marks, "segment_id", "text").select("segment_id", "matched_marker_count")
+    return leaks.text_leaks(table(spark, d, "segment"), marks, "segment_id", "text", transcript=False).select("segment_id", "matched_marker_count")
 
 
-@query()
+@query(oracles.SLUGS)
 def q22_slug_filename(spark, d):
     docs = table(spark, d, "source_document")
     return docs.select("seq", clean.document_slug(F.col("title"), F.col("doc_order"), F.col("doc_id")).alias("slug"), clean.numbered_title(F.col("title"), F.col("doc_order")).alias("file_title"))
@@ -260,25 +260,32 @@ def q22_slug_filename(spark, d):
 @query(f"""
 WITH {_LATEST}, b AS (SELECT doc_id, segment_index, min(segment_id) AS segment_id FROM segment GROUP BY doc_id, segment_index)
 SELECT b.segment_id, coalesce(l.status, 'pending') AS status, coalesce(l.audio_path, '') AS audio_path, coalesce(l.retry_count, 0) AS retry_count, coalesce(l.error, '') AS error
-FROM b LEFT JOIN (SELECT * FROM l WHERE segment_index % 3 <> 0) l ON b.doc_id = l.doc_id AND b.segment_index = l.segment_index
+FROM b LEFT JOIN l ON b.doc_id = l.doc_id AND b.segment_index = l.segment_index
 """)
 def q23_worker_merge(spark, d):
-    """Segments with the last result of each; those whose index is a multiple of three have no result here."""
+    """Segments with the last result of each."""
     s = table(spark, d, "segment")
     base = s.groupBy("doc_id", "segment_index").agg(F.min("segment_id").alias("segment_id")).withColumns({c: F.lit(None).cast("string") for c in ("status", "audio_path", "retry_count", "error")})
-    results = s.filter("segment_index % 3 <> 0").withColumn("ordinal", F.struct("updated_at", "segment_id"))
+    results = s.withColumn("ordinal", F.struct("updated_at", "segment_id"))
     return audio_plan.merge_results(base, results).select("segment_id", "status", "audio_path", "retry_count", "error")
 
 
 _STATUS = """
 SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'failed') AS failed,
-  count(*) FILTER (WHERE coalesce(status, 'pending') NOT IN ('completed', 'skipped', 'failed')) AS pending, CAST(0 AS BIGINT) AS missing_audio FROM l GROUP BY doc_id
+  count(*) FILTER (WHERE coalesce(status, 'pending') NOT IN ('completed', 'skipped', 'failed')) AS pending, 
+  count(*) FILTER (WHERE status = 'completed' AND coalesce(audio_path, '') <> '' AND audio_path NOT IN (SELECT audio_path FROM segment WHERE retry_count = 0 AND audio_path IS NOT NULL)) AS missing_audio
+FROM l GROUP BY doc_id
 """
 
 
+def _status(spark, d) -> DataFrame:
+    """The counts of each document's segments; the files that are there are those of a first attempt."""
+    return summaries.segment_status(_latest(spark, d), "doc_id", table(spark, d, "segment").filter("retry_count = 0").select(F.col("audio_path").alias("path")))
+
+
 @query(f"WITH {_LATEST} {_STATUS}")
 def q24_segment_status(spark, d):
-    return summaries.segment_status(_latest(spark, d), "doc_id")
+    return _status(spark, d)
 
 
 _MANIFEST = f"""
@@ -289,7 +296,7 @@ m AS (SELECT c.clean_id, c.doc_id, c.title, s.total AS segment_count, s.complete
 
 
 def _manifest(spark, d) -> DataFrame:
-    counts = summaries.segment_status(_latest(spark, d), "doc_id")
+    counts = _status(spark, d)
     docs = table(spark, d, "clean_document").select("clean_id", "doc_id", "title").join(counts, "doc_id", "left")
     return docs.withColumnsRenamed({"total": "segment_count", "completed": "tts_completed"}).withColumn(
         "audio_status", F.when(F.col("segment_count") == F.col("tts_completed"), "completed").otherwise("skipped"))
@@ -300,25 +307,63 @@ def q25_run_summary(spark, d):
     return summaries.run_summary(_manifest(spark, d))
 
 
+_GONE = """
+gone AS (
+  SELECT clean_id AS doc_id, 'raw_path' AS field, 'raw/' || doc_id AS value FROM clean_document WHERE doc_id NOT IN (SELECT doc_id FROM source_document WHERE raw_text <> '')
+  UNION ALL SELECT clean_id, 'clean_text_path', 'clean_text_path' FROM clean_document WHERE clean_text IS NULL
+  UNION ALL SELECT clean_id, 'segment_manifest_path', 'segments/' || doc_id FROM clean_document WHERE doc_id NOT IN (SELECT doc_id FROM segment WHERE retry_count > 0 AND doc_id IS NOT NULL)
+)
+"""
+_GONE_SQL = f"WITH {_GONE}"
+
+
+def _gone(spark, d) -> DataFrame:
+    docs = table(spark, d, "clean_document")
+    manifest = docs.select(
+        F.col("clean_id").alias("doc_id"), F.concat(F.lit("raw/"), "doc_id").alias("raw_path"), F.when(F.col("clean_text").isNotNull(), F.concat(F.lit("clean/"), "doc_id")).otherwise("").alias("clean_text_path"),
+        F.concat(F.lit("clean/"), "doc_id").alias("translated_path"), F.concat(F.lit("clean/"), "doc_id").alias("script_path"), F.concat(F.lit("segments/"), "doc_id").alias("segment_manifest_path"))
+    named = lambda df, folder: df.select(F.concat(F.lit(folder), "doc_id").alias("path"))
+    files = named(table(spark, d, "source_document").filter("raw_text <> ''"), "raw/").unionByName(named(docs, "clean/")).unionByName(named(table(spark, d, "segment").filter("retry_count > 0"), "segments/"))
+    return summaries.missing_stage_files(manifest, files, "segment")
+
+
 @query(f"""
-WITH {_MANIFEST}, i AS (
+WITH {_MANIFEST}, {_GONE}, i AS (
   SELECT clean_id AS doc_seq, title AS document, 2 AS rule_no, 'segment manifest is missing' AS message FROM m WHERE segment_count IS NULL
   UNION ALL SELECT clean_id, title, 3, format('{{}} failed TTS segments', failed) FROM m WHERE failed > 0
   UNION ALL SELECT clean_id, title, 4, format('{{}} pending TTS segments', pending) FROM m WHERE pending > 0
+  UNION ALL SELECT clean_id, title, 1, 'missing stage file: ' || value FROM m JOIN gone ON m.clean_id = gone.doc_id
+  UNION ALL SELECT clean_id, title, 5, format('{{}} completed segment audio files are missing', missing_audio) FROM m WHERE missing_audio > 0
   UNION ALL SELECT clean_id, title, 6, 'audio file is missing' FROM m WHERE audio_status <> 'completed'
   UNION ALL SELECT clean_id, title, 7, 'audio status is ' || audio_status FROM m WHERE audio_status <> 'completed')
 SELECT * FROM i
 """)
 def q26_status_issues(spark, d):
-    m = _manifest(spark, d).select(
-        F.col("clean_id").alias("doc_seq"), "title", F.array().cast("array<string>").alias("missing_stage_files"), F.col("segment_count").isNull().alias("segment_manifest_missing"),
+    return summaries.status_issues(_report(spark, d), "package", True)
+
+
+def _report(spark, d) -> DataFrame:
+    """The manifest's documents in the form of the status rules."""
+    lost = _gone(spark, d).groupBy(F.col("doc_id").alias("clean_id")).agg(F.sort_array(F.collect_list("value")).alias("missing_stage_files"))
+    return _manifest(spark, d).join(lost, "clean_id", "left").select(
+        F.col("clean_id").alias("doc_seq"), "title", F.coalesce("missing_stage_files", F.array().cast("array<string>")).alias("missing_stage_files"), F.col("segment_count").isNull().alias("segment_manifest_missing"),
         "failed", "pending", "missing_audio", (F.col("audio_status") != "completed").alias("audio_missing"), "audio_status")
-    return summaries.status_issues(m, "package", True)
 
 
-@query("SELECT doc_id, title FROM clean_document WHERE doc_id NOT IN (SELECT doc_id FROM segment WHERE doc_id IS NOT NULL AND status = 'completed')")
+@query(f"""
+WITH {_MANIFEST}, {_GONE}
+SELECT count(*) AS documents, (SELECT count(*) FROM gone) AS stage_files_missing, count(*) FILTER (WHERE audio_status = 'completed') AS audio_completed, count(*) FILTER (WHERE audio_status = 'skipped') AS audio_skipped,
+  count(*) FILTER (WHERE audio_status <> 'completed') AS audio_missing, CAST(coalesce(sum(failed), 0) AS BIGINT) AS segment_failed, CAST(coalesce(sum(pending), 0) AS BIGINT) AS segment_pending FROM m
+""")
+def q36_status_summary(spark, d):
+    """The seven counters of a run's status."""
+    return summaries.status_summary(_report(spark, d))
+
+
+@query("SELECT doc_id, title FROM clean_document WHERE doc_id NOT IN (SELECT doc_id FROM segment WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING bool_and(coalesce(status, 'pending') = 'completed'))")
 def q27_resume_pending(spark, d):
-    done = table(spark, d, "segment").filter("status = 'completed'")
+    """Documents of which some segment still has to be spoken."""
+    done = table(spark, d, "segment").groupBy("doc_id").agg(F.every(F.coalesce("status", F.lit("pending")) == "completed").alias("all")).filter("all")
     return summaries.pending(table(spark, d, "clean_document").select("doc_id", "title"), done, ["doc_id"])
 
 
@@ -334,23 +379,13 @@ def q28_phase_max(spark, d):
     return table(spark, d, "segment").select("segment_id", summaries.phase_max(left, right).alias("phase"))
 
 
-@query("""
-WITH r AS (SELECT clean_id, doc_id, 'segment_manifest_path' AS field FROM clean_document WHERE doc_id NOT IN (SELECT doc_id FROM segment WHERE doc_id IS NOT NULL)),
-f AS (SELECT doc_id FROM source_document WHERE raw_text <> '')
-SELECT clean_id AS doc_id, 'clean_text_path' AS field, 'clean_text_path' AS value FROM clean_document WHERE clean_text IS NULL
-UNION ALL SELECT clean_id, 'raw_path', 'raw/' || doc_id FROM clean_document WHERE doc_id NOT IN (SELECT doc_id FROM f)
-""")
+@query(_GONE_SQL + "SELECT * FROM gone")
 def q29_missing_stage_files(spark, d):
-    """Stage files that a manifest names, against an inventory: raw texts that are there, and clean texts by their path."""
-    docs = table(spark, d, "clean_document")
-    manifest = docs.select(
-        F.col("clean_id").alias("doc_id"), F.concat(F.lit("raw/"), "doc_id").alias("raw_path"), F.when(F.col("clean_text").isNotNull(), F.concat(F.lit("clean/"), "doc_id")).otherwise("").alias("clean_text_path"),
-        F.lit("").alias("translated_path"), F.lit("").alias("script_path"), F.lit("").alias("segment_manifest_path"))
-    files = table(spark, d, "source_document").filter("raw_text <> ''").select(F.concat(F.lit("raw/"), "doc_id").alias("path")).unionByName(docs.select(F.concat(F.lit("clean/"), "doc_id").alias("path")))
-    return summaries.missing_stage_files(manifest, files, "extract")
+    """Stage files that a manifest names, against an inventory: raw texts that are there, clean texts by their path, and segments."""
+    return _gone(spark, d)
 
 
-@query()
+@query(oracles.BEST_MATCH)
 def q30_best_match(spark, d):
     """Place and score of a fixed template in each embedding taken as a signal, and where the sample would lie."""
     signals = table(spark, d, "embeddings")
@@ -390,13 +425,52 @@ def q32_manifest_documents(spark, d):
     return sources.from_manifest(manifest, raw.select("path", F.col("raw_text").alias("text")), clean_rows).select("seq", "doc_id", "media_type", "title")
 
 
-@query("""
-SELECT segment_id, '06_podcast/' || format('{}. ', segment_index) || s.doc_id || '.m4a' AS path, CAST(greatest(1, floor(24000 * greatest(pause_after_ms, 0) / 1000)) AS INT) AS frames FROM segment s
+_PARTS = r"""list_transform(list_filter(list_transform(string_split(coalesce(section, ''), '/'), lambda p: trim(p)), lambda p: p <> ''), lambda p: regexp_replace(regexp_replace(p, '[\\:*?"<>|]+', ' ', 'g'), '\s+', ' ', 'g'))"""
+
+
+@query(f"""
+WITH s AS (SELECT seq, {_PARTS} AS parts, {oracles.file_name('title')} AS name, doc_order FROM source_document)
+SELECT seq, array_to_string(list_concat(['06_podcast'], parts, [CASE WHEN doc_order IS NULL THEN name ELSE doc_order || '. ' || name END]), '/') || '.m4a' AS path FROM s
 """)
 def q33_audio_paths(spark, d):
+    path = audio_plan.final_audio_path(F.col("section"), F.col("title"), F.col("doc_order"), F.col("doc_id"))
+    return table(spark, d, "source_document").select("seq", path.alias("path"))
+
+
+@query("SELECT segment_id, CAST(greatest(1, floor(24000 * greatest(pause_after_ms, 0) / 1000)) AS INT) AS frames FROM segment")
+def q37_silence_frames(spark, d):
+    return table(spark, d, "segment").select("segment_id", audio_plan.silence_frames(24_000, F.col("pause_after_ms")).alias("frames"))
+
+
+@query("SELECT seq, CASE WHEN starts_with(source_path, 'inbox/') THEN substr(source_path, 7) ELSE source_path END AS below, '/data/' || source_path AS whole FROM source_document WHERE source_path <> ''")
+def q38_relative_paths(spark, d):
+    """Paths from a folder on where they lie under it; the others whole, without detours."""
+    rows = table(spark, d, "source_document").filter("source_path <> ''")
+    return rows.select("seq", urls.relative_path(F.col("source_path"), "./inbox/").alias("below"), urls.relative_path(F.concat(F.lit("/data/x/.././"), "source_path"), "/other").alias("whole"))
+
+
+@query(oracles.PARAGRAPHS)
+def q39_paragraphs(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(segments.paragraphs(F.col("text"))).alias("pos", "paragraph"))
+
+
+@query(oracles.COLLAPSED)
+def q40_collapsed_text(spark, d):
+    x = F.col("text")
+    return table(spark, d, "documents").select("doc_id", pytext.collapse_text(x).alias("collapsed"), pytext.collapse_inline(x).alias("inline"))
+
+
+@query("""
+SELECT segment_id, format('index {} of 9', segment_index) AS label, nullif(CAST(chars AS VARCHAR), '') IS NOT NULL AS counted, CAST(coalesce(TRY_CAST(substr(text, 1, 2) AS INT), -1) AS INT) AS number,
+  CASE WHEN text IS NULL THEN NULL ELSE 'Translate the text below into German. Keep paragraphs, names and figures; answer with the translation only.' || chr(10) || 'Title: ' || coalesce(status, 'null') || chr(10) || 'Part: ' || segment_index || ' of 9' || chr(10) || chr(10) || text END AS prompt
+FROM segment
+""")
+def q41_prompts(spark, d):
+    """Instructions for a translator, and numbers read from texts."""
     s = table(spark, d, "segment")
-    path = audio_plan.final_audio_path(F.lit(""), F.col("doc_id"), F.col("segment_index"), F.col("doc_id"))
-    return s.select("segment_id", path.alias("path"), audio_plan.silence_frames(24_000, F.col("pause_after_ms")).alias("frames"))
+    return s.select(
+        "segment_id", F.format_string("index %d of 9", "segment_index").alias("label"), pytext.optional_int(F.col("chars")).isNotNull().alias("counted"), pytext.int_or(F.substring("text", 1, 2), -1).alias("number"),
+        F.when(F.col("text").isNotNull(), clean.translation_prompt(F.col("text"), F.col("status"), F.col("segment_index"), F.lit(9), "German")).alias("prompt"))
 
 
 @query("SELECT strftime(fetched_at, '%Y-%m-%d') AS day, count(*) AS documents, CAST(sum(coalesce(length(raw_text), 0)) AS BIGINT) AS chars FROM source_document GROUP BY 1")

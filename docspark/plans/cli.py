@@ -55,12 +55,14 @@ def main(argv: list[str] | None = None) -> int:
         name = "-".join(args.name.lower().split()) or "my-resource"
         path.write_text(STARTER.format(name=quote(args.name), out=quote(f"output/{name}"), url=quote(args.url), title=quote(args.title)), encoding="utf-8")
         return 0
-    from docspark.plans.pipeline import inspect_run, run_pipeline
-
     if args.verb == "status":
+        from docspark.plans.status import inspect_run
+
         report = inspect_run(_session(), args.output_dir, args.expect_audio)
         say(report)
         return 0 if report["ok"] else 1
+    from docspark.plans.pipeline import run_pipeline
+
     settings = load_config(args.config)
     if args.output_dir:
         settings.project.output_dir = args.output_dir

@@ -133,14 +133,15 @@ def crawl(
     empty = spark.createDataFrame([], "doc_order int, url string")
     if not starts or max_pages <= 0:
         return empty
+    pages = pages.dropDuplicates(["url"]).checkpoint() if fetch is None else pages
     front = spark.createDataFrame([(i, u) for i, u in enumerate(dict.fromkeys(starts))], "place long, url string")
     visited, out, found = front.select("url"), empty, 0
     while True:
         ok = front.filter(url_allowed(F.col("url"), list(include), list(exclude)))
         ok = ok.filter(same_domain(F.col("url"), starts)) if same_host else ok
         if fetch is not None:
-            pages = fetch([r.url for r in ok.orderBy("place").select("url").collect()], max_pages - found)
-        got = ok.join(pages.dropDuplicates(["url"]), "url").orderBy("place").limit(max_pages - found)
+            pages = fetch([r.url for r in ok.orderBy("place").select("url").collect()], max_pages - found).dropDuplicates(["url"])
+        got = ok.join(pages, "url").orderBy("place").limit(max_pages - found)
         ranked = got.withColumn("doc_order", F.row_number().over(Window.orderBy("place")) + found).checkpoint()  # at most max_pages rows
         n = ranked.count()
         if not n:
@@ -152,7 +153,8 @@ def crawl(
         open_pages = ranked.filter(F.coalesce(F.lower("content_type").contains("html"), F.lit(False)) | F.col("html").contains("<a "))
         links = open_pages.select("doc_order", F.posexplode(extract_links("url", "html")).alias("pos", "link"))
         first = links.groupBy(F.col("link").alias("url")).agg(F.min(F.struct("doc_order", "pos")).alias("at")).join(visited, "url", "left_anti")
-        front = first.withColumn("place", F.row_number().over(Window.orderBy("at")).cast("long")).select("place", "url").checkpoint()
+        # in the order of a sort the ids grow; they need not be dense
+        front = first.orderBy("at").withColumn("place", F.monotonically_increasing_id()).select("place", "url").checkpoint()
         visited = visited.unionByName(front.select("url")).checkpoint()
 
 

@@ -49,6 +49,27 @@ def export_files(df: DataFrame, root: str, text_col: str, name_col: str = "slug"
     return rows.mapInPandas(run, "name string, path string, written boolean")
 
 
+def export_metadata(df: DataFrame, root: str, name_col: str = "slug", force: bool = False) -> DataFrame:
+    """Write what is known of each document as ``01_sources/metadata/<name>.json``: ``name, path, written``. A file that is there is kept unless ``force``."""
+    folder = Path(root) / "01_sources/metadata"
+    known = F.struct(F.col("doc_id").alias("id"), "title", "section", F.col("doc_order").alias("order"), "source_url", "source_path", "media_type", "metadata")
+    rows = df.select(F.col(name_col).alias("name"), F.to_json(known, {"ignoreNullFields": "false"}).alias("text"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        folder.mkdir(parents=True, exist_ok=True)
+        for f in frames:
+            out = []
+            for name, text in zip(f["name"], f["text"]):
+                path = folder / f"{name}.json"
+                fresh = force or not path.exists()
+                if fresh:
+                    path.write_text(json.dumps(json.loads(text), ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+                out.append((name, str(path), fresh))
+            yield pd.DataFrame(out, columns=["name", "path", "written"])
+
+    return rows.mapInPandas(run, "name string, path string, written boolean")
+
+
 def export_manifests(manifests: DataFrame, root: str, key: str = "doc_id") -> int:
     """Write each document's segment manifest as ``05_segments/<key>/segments.json``; the number of files."""
     folder = Path(root) / "05_segments"

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docspark.plans import cli, doctor, pipeline, providers, settings
+from docspark.plans import cli, doctor, pipeline, providers, settings, status
 from docspark.sources import documents as sources
 from docspark.sources import web
 from docspark.streaming import arrivals
@@ -108,23 +108,68 @@ def project(tmp_path):
 def test_run_resume_status(spark, project, capsys):
     s = settings.load_config(project)
     first = pipeline.run_pipeline(spark, s, to_phase="script")
-    assert first["summary"] == {"documents": 1, "audio_completed": 0, "tts_completed": 0, "segment_count": 0}
+    assert first["summary"] == {"documents": 1, "audio_completed": 0, "tts_completed_segments": 0, "segments": 0}
     out = s.project.output_dir
-    assert pipeline.inspect_run(spark, out)["ok"]
+    assert status.inspect_run(spark, out)["ok"]
     tables = pipeline.StageTables(spark, pipeline.Path(out).resolve().as_uri())
     assert not tables.exists("segment")
     late = pipeline.run_pipeline(spark, s, from_phase="segment")
-    assert late["resumed_from_manifest"] and late["summary"]["segment_count"] == 2
+    assert late["resumed_from_manifest"] and late["summary"]["segments"] == 2
     before = tables.read("segment").count()
     pipeline.run_pipeline(spark, s, from_phase="extract")
     assert tables.read("segment").count() == before  # nothing is done twice
     assert cli.main(["status", "--output-dir", out]) == 0 and cli.main(["status", "--output-dir", out, "--expect-audio"]) == 1
-    assert not pipeline.inspect_run(spark, out + "/nowhere")["ok"]
+    assert not status.inspect_run(spark, out + "/nowhere")["ok"]
     with pytest.raises(ValueError):
         pipeline.phase_window("tts", "source")
     capsys.readouterr()
 
 
+def test_changed_input_leaves_no_stale_rows(spark, project):
+    s = settings.load_config(project)
+    pipeline.run_pipeline(spark, s, to_phase="tts")
+    (project.parent / "article.md").write_text("# Demo\n\nAnother text. It has three sentences. They are short.")
+    again = pipeline.run_pipeline(spark, s, to_phase="tts")
+    tables = pipeline.StageTables(spark, pipeline.Path(s.project.output_dir).resolve().as_uri())
+    stages = pipeline.current(tables, pipeline.stage_settings(s), "tts")
+    texts = [r.text for r in stages["tts"].orderBy("segment_index").collect()]
+    assert "".join(texts).count("Another") == 1 and "short local article" not in "".join(texts)
+    assert again["summary"]["segments"] == len(texts) < tables.read("tts").count()  # the earlier rows are kept and not used
+    s.tts.target_chars = s.tts.max_chars = 12
+    finer = pipeline.run_pipeline(spark, s, from_phase="segment", to_phase="segment")
+    assert finer["summary"]["segments"] > len(texts)
+    forced = pipeline.run_pipeline(spark, s, force=True, to_phase="segment")
+    assert forced["summary"]["segments"] == finer["summary"]["segments"] == tables.read("segment").count()
+
+
+def test_packaged_audio(spark, project):
+    import wave
+
+    def speak(text, path):
+        if "fails" in text:
+            raise OSError("no voice")
+        with wave.open(path, "wb") as out:
+            out.setnchannels(1)
+            out.setsampwidth(2)
+            out.setframerate(8000)
+            out.writeframes(b"\1\0" * 80 * len(text))
+
+    s = settings.load_config(project)
+    s.tts.enabled, s.tts.provider, s.output.audio_format = True, "own", "wav"
+    made = pipeline.run_pipeline(spark, s, speak=speak)
+    entry = made["documents"][0]
+    assert entry["audio_status"] == "completed" and made["summary"]["audio_completed"] == 1
+    with wave.open(entry["audio_path"]) as got:
+        segments = pipeline.StageTables(spark, pipeline.Path(s.project.output_dir).resolve().as_uri()).read("tts").orderBy("segment_index").collect()
+        assert got.getnframes() == sum(80 * len(r.text) for r in segments) + sum(8 * r.pause_after_ms for r in segments[:-1])
+    good = status.inspect_run(spark, s.project.output_dir, expect_audio=True)
+    assert good["ok"] and good["summary"]["audio_completed"] == 1 and good["summary"]["documents"] == 1
+    (project.parent / "article.md").write_text("# Demo\n\nThis one fails to be spoken.")
+    pipeline.run_pipeline(spark, s, speak=speak)
+    bad = status.inspect_run(spark, s.project.output_dir, expect_audio=True)
+    assert not bad["ok"] and bad["summary"]["segment_failed"] == 1 and "1 failed TTS segments" in {i["message"] for i in bad["issues"]}
+
+
 def test_init_config_and_doctor(tmp_path, capsys):
     path = tmp_path / "x" / "c.yaml"
     assert cli.main(["init-config", "--output", str(path), "--name", "My Site", "--url", "https://example.com/a"]) == 0
@@ -179,7 +224,7 @@ def test_run_fetches_filters_and_keeps_failures(spark, tmp_path):
     assert {u for u, e in errors.items() if e and "404" in e} == {"/missing", "/nomap", "/gone"}
     texts = [r.clean_text for r in pipeline.StageTables(spark, (tmp_path / "out").as_uri()).read("extract").collect()]
     assert len(texts) == 4 and all("Page" in t and "MENU" not in t for t in texts)
-    assert len(pipeline.inspect_run(spark, s.project.output_dir)["issues"]) == 3
+    assert len(status.inspect_run(spark, s.project.output_dir)["issues"]) == 3
     some = spark.createDataFrame([(f"{at}/a", "<html><article><p>x</p></article></html>", "text/html")], "url string, raw_text string, content_type string")
     kept = {r.source_url.removeprefix(at): r.error for r in pipeline.collect_sources(spark, s, some).collect()}
     assert kept == {"/a": None, "/missing": "no page was given", "/nomap": "no page was given", "/map": "no page was given", "/c": "no page was given"}
