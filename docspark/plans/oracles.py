@@ -51,7 +51,8 @@ def cleaned(x: str) -> str:
 
 
 #: Compatibility forms of the characters that the test tables hold.
-FORMS = (("：", ":"), ("，", ","), ("？", "?"), ("！", "!"), ("；", ";"), ("（", "("), ("）", ")"), ("％", "%"), ("½", "1⁄2"), ("¼", "1⁄4"), ("¾", "3⁄4"), ("™", "TM"), ("µ", "μ"), ("º", "o"), ("ª", "a"), ("…", "..."), ("²", "2"), ("³", "3"), ("　", " "), (" ", " "), ("×", "×"))
+FORMS = (("：", ":"), ("，", ","), ("？", "?"), ("！", "!"), ("；", ";"), ("（", "("), ("）", ")"), ("％", "%"), ("½", "1⁄2"), ("¼", "1⁄4"), ("¾", "3⁄4"), ("™", "TM"), ("µ", "μ"), ("º", "o"), ("ª", "a"), ("…", "..."), ("²", "2"), ("³", "3"), ("　", " "), (" ", " "), ("\u00b9", "1"), ("\u00b8", " \u0327"), ("\u00a8", " \u0308"), ("\u00b4", " \u0301"), ("\u02dc", " \u0303"), ("\u00af", " \u0304"), ("℃", "°C"), ("″", "′′"), ("ⁿ", "n"), ("㈠", "(一)"), ("㈡", "(二)"), ("㈢", "(三)"), ("㈣", "(四)"),
+         ("ｃ", "c"), ("ｅ", "e"), ("ｏ", "o"), ("︺", "〕"), ("︾", "》"), ("﹂", "」"))
 
 
 def compatible(x: str) -> str:
