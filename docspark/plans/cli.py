@@ -70,6 +70,10 @@ def main(argv: list[str] | None = None) -> int:
         settings.tts.voice_sample = args.voice_sample
     if args.dry_run:
         settings.translation.enabled = settings.tts.enabled = False
+    if settings.tts.enabled and settings.tts.provider == "vibevoice":
+        from docspark.plans.models import voice_sample
+
+        settings.tts.voice_sample = voice_sample(settings.tts.voice_sample, settings.project.output_dir)
     manifest = run_pipeline(_session(), settings, force=args.force, from_phase=args.from_phase, to_phase=args.to_phase)
     say({"manifest": str(Path(settings.project.output_dir) / "manifest.json"), "summary": manifest["summary"]})
     return 0

@@ -12,6 +12,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspark.functions.clean import translation_prompt, with_clean_text
 from docspark.functions.html import html_basic, looks_like_html, resolve_title
@@ -116,7 +117,7 @@ def translate_chunks(chunks: DataFrame, provider: str = "none", enabled: bool =
         raise ValueError(f"no translation provider: {provider}")
     prompt: Column = translation_prompt(F.col("chunk_text"), F.col("title"), F.col("chunk_index"), F.col("chunk_total"), language)
     rows = chunks.withColumn("prompt", prompt)
-    schema = rows.schema.add("translated_text", "string").add("error", "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("translated_text", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = with_retries(call, retries)
