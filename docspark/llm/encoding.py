@@ -35,7 +35,7 @@ LONE, LONE_SHARE = 6.0, 0.1
 #: A token in more than one field is the less odd: with n fields in all its gain is less by log(1 + its other fields / (1 + RARE n)).
 RARE = 1e-4
 #: A field is found if the chance that it is garbled is over this: a miss is worse than a field looked at in vain.
-CHANCE = 0.1
+CHANCE = 0.01
 #: The best chain of a field has at most this evidence in EM (the others are moved down with it): beyond it is certain anyway.
 MOST_EVIDENCE = 60.0
 #: Pseudo-counts that draw a source's mixture to that of all sources, and the shares to start from: of a chain, and of sound text.

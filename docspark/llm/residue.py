@@ -112,9 +112,9 @@ def is_filler(line: str, low: str | None = None) -> bool:
     return bool(sentences) and sum(weight(x) for x in sentences if _FILL.search(x)) >= 0.5 * sum(map(weight, sentences))
 
 
-def _form(title: str, heads: str, prose: str) -> tuple[int, int, int, int, bool, dict[int, tuple[int, bool]]]:
-    """``strong, weak, total, filler, headed, units`` of a record: fields, weights, a message in the headings alone, and for the
-    key of each of its lines the weight and whether a phrase knows it."""
+def _form(title: str, heads: str, prose: str) -> tuple[int, int, int, int, dict[int, tuple[int, bool]]]:
+    """``strong, weak, total, filler, units`` of a record: fields, weights, and for the key of each of its lines the weight and
+    whether a phrase knows it. A record of headings alone has these as its lines."""
     from xxhash import xxh64_intdigest
 
     plain = _CODE.sub(" ", prose) if "`" in prose else prose
@@ -143,30 +143,33 @@ def _form(title: str, heads: str, prose: str) -> tuple[int, int, int, int, bool,
             if whole or flow and len(_NAME.findall(small)) < 5 and any(x in _LATIN for x in _NAME.findall(small)):
                 filler += w
             flow = whole
+    if not lines:
+        lines = [(h.strip(), weight(h.strip())) for h in heads.split("\n") if h.strip()]
+        total = sum(w for _, w in lines)
     bare = all(w <= BRIEF for _, w in lines)  # otherwise the record has text, and no phrase alone makes it a message
     units: dict[int, tuple[int, bool]] = {}
     for line, w in lines:
         key = xxh64_intdigest(masked(line)) - 2**63
         before, said = units.get(key, (0, False))
         units[key] = before + w, said or bare and bool(_MESSAGE.search(line))
-    return strong, weak, total, filler, bool(not lines and heads and _MESSAGE.search(heads)), units
+    return strong, weak, total, filler, units
 
 
 _UNIT = pa.struct([("key", pa.int64()), ("weight", pa.int32()), ("said", pa.bool_())])
-FEATURES = "site string, strong int, weak int, total int, filler int, headed boolean, units array<struct<key:long,weight:int,said:boolean>>"
+FEATURES = "site string, strong int, weak int, total int, filler int, units array<struct<key:long,weight:int,said:boolean>>"
 
 
 def _features(id_type: pa.DataType):
-    names = ["seq", "site", "strong", "weak", "total", "filler", "headed", "units"]
+    names = ["seq", "site", "strong", "weak", "total", "filler", "units"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             forms = [_form(t or "", h or "", p or "") for t, h, p in zip(*(batch.column(c).to_pylist() for c in ("title", "heads", "prose")))]
-            first = [pa.array([f[i] for f in forms], pa.bool_() if i == 4 else pa.int32()) for i in range(5)]
-            keys, weights, said = [k for f in forms for k in f[5]], [w for f in forms for w, _ in f[5].values()], [x for f in forms for _, x in f[5].values()]
+            first = [pa.array([f[i] for f in forms], pa.int32()) for i in range(4)]
+            keys, weights, said = [k for f in forms for k in f[4]], [w for f in forms for w, _ in f[4].values()], [x for f in forms for _, x in f[4].values()]
             starts = [0]
             for f in forms:
-                starts.append(starts[-1] + len(f[5]))
+                starts.append(starts[-1] + len(f[4]))
             units = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(weights, pa.int32()), pa.array(said, pa.bool_())], fields=list(_UNIT))
             yield pa.RecordBatch.from_arrays([batch.column("seq").cast(id_type), batch.column("site"), *first, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), units)], names=names)
 
@@ -199,4 +202,4 @@ def residue(df: DataFrame, config: DataFrame) -> DataFrame:
     return found.join(judged.filter(message).select("seq", F.lit(True).alias("stands")), "seq", "left").select("seq", F.when(
         (F.col("strong") > 0) | (F.col("weak") >= 2), "template").when(
         (F.col("filler") >= 0.4 * F.col("total")) & (F.col("filler") > 0) | (F.col("filler") >= 150) & (F.col("filler") >= 0.2 * F.col("total")), "filler").when(
-        F.col("stands") | F.col("headed"), "message").alias("kind")).filter("kind is not null")
+        F.col("stands"), "message").alias("kind")).filter("kind is not null")
