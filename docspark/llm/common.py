@@ -33,9 +33,9 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame,
     ``left`` at most, so it is small). Rows of ``left`` with a hot key are dealt by the column ``by``, and the key's row in
     ``right`` is repeated for each part; other keys are joined as they are.
     """
-    mark = written(hot.select(*keys, F.lit(True).alias("__hot")))
-    if not mark.count():
+    if not hot.count():
         return left.join(right, keys, how)
+    mark = written(hot.select(*keys, F.lit(True).alias("__hot")))
     parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
     dealt = left.join(mark, keys, "left").withColumn("__part", F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(HOT_PARTS)).cast("int")).otherwise(0)).drop("__hot")
     repeated = right.join(mark, keys, "left").withColumn("__part", F.explode(parts)).drop("__hot")

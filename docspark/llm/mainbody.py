@@ -16,7 +16,7 @@ import functools
 import html
 import marshal
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -417,13 +417,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores, "seq") if df.rdd.getNumPartitions() < cores else df
 
 
-def main_bodies(df: DataFrame, config: DataFrame, wanted: tuple[str, ...] = tuple(RESULTS)) -> DataFrame:
+def main_bodies(df: DataFrame, config: DataFrame, wanted: tuple[str, ...] = tuple(RESULTS), after: tuple[Callable, str] | None = None) -> DataFrame:
     """``seq`` and the wanted ones of ``lines array<int>, body, heads, prose``: per HTML record the numbers of the lines that are
     not main body, the main body, its headings, and the rest of it without code.
 
     ``df`` has ``seq`` (unique), ``raw_text, source_url, media_type, project_id``; ``config`` has ``project_id,
     content_selector, remove_selectors``. Other columns are not read. Null and empty texts and records that are not HTML give
-    no row; a page without visible text gives an empty body; a null project or null selectors mean no hints.
+    no row; a page without visible text gives an empty body; a null project or null selectors mean no hints. With ``after``, a
+    kernel over the batches of the result and its schema, those rows go on into it without leaving Python.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -447,7 +448,11 @@ def main_bodies(df: DataFrame, config: DataFrame, wanted: tuple[str, ...] = tupl
     flags = flags.groupBy("seq").agg(F.collect_set("leaf").alias("recurs"))
     full = parsed.select("seq", "project_id", "name", "tree").join(flags, "seq", "left").join(hints, "project_id", "left").select(
         "seq", "name", "tree", "recurs", "content_selector", "remove_selectors")
-    return full.mapInArrow(_decided(wanted), f"seq {kind}, " + ", ".join(f"{c} {RESULTS[c]}" for c in wanted))
+    decided = _decided(wanted)
+    if after:
+        kernel, schema = after
+        return full.mapInArrow(lambda batches: kernel(decided(batches)), schema)
+    return full.mapInArrow(decided, f"seq {kind}, " + ", ".join(f"{c} {RESULTS[c]}" for c in wanted))
 
 
 def boilerplate_lines(df: DataFrame, config: DataFrame) -> DataFrame:

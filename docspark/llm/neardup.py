@@ -280,12 +280,24 @@ def similar(bodies: DataFrame, id_col: str = "seq", body_col: str = "body", size
     bodies and bodies under ``least`` words give no row; ids should be unique (a repeated row repeats its member); an empty table
     gives empty results; other columns are not read.
     """
+    kernel, schema = hashing(bodies.schema[id_col].dataType, size, least)
+    return similar_sets(bodies.select(F.col(id_col), F.col(body_col)).mapInArrow(kernel, schema), size, threshold)
+
+
+def hashing(kind, size: int, least: int):
+    """The kernel that gives ``id, h1, h2, body`` of records ``(id, body)``, and its schema."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return _hashed(to_arrow_type(kind), size, least), f"id {kind.simpleString()}, h1 long, h2 long, body string"
+
+
+def similar_sets(sets: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``similar`` from the rows of ``hashing``."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kind = bodies.schema[id_col].dataType
+    kind = sets.schema["id"].dataType
     name, arrow = kind.simpleString(), to_arrow_type(kind)
-    sets = written(bodies.select(F.col(id_col), F.col(body_col)).mapInArrow(
-        _hashed(arrow, size, least), f"id {name}, h1 long, h2 long, body string"))
+    sets = written(sets)
     several = written(sets.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = written(join_hot(sets.select("id", "h1", "h2"), several, ["h1", "h2"], several.filter(F.col("n") > HOT_ROWS), "id", "left").select(
         "id", F.coalesce("rep", "id").alias("rep"), F.coalesce("n", F.lit(1).cast("long")).alias("n")))
@@ -369,10 +381,21 @@ def record_bodies(df: DataFrame, config: DataFrame, wanted: tuple[str, ...] = ("
     ``heads`` are the headings, ``prose`` is the body without headings and code.
     """
     pages = mainbody.main_bodies(df, config, wanted)
-    body = F.regexp_replace("clean_text", r"!?\[([^\]\n]*)\]\([^)\n]*\)", "$1")
+    body = plain_bodies(df)
     prose = F.regexp_replace("body", r"(?s)```.*?(?:```|\z)", "")
     prose = F.regexp_replace(prose, r"(?m)^(?: {4}|\t| {0,3}#{1,6}\s).*$", "")
     heads = F.array_join(F.regexp_extract_all("body", F.lit(r"(?m)^ {0,3}#{1,6}\s+(.*)$"), F.lit(1)), "\n")
-    kept = lines.cleaned_records(df).select("seq", body.alias("body"))
     parts = {"body": F.col("body"), "heads": heads.alias("heads"), "prose": prose.alias("prose")}
-    return pages.unionByName(kept.select("seq", *[parts[c] for c in wanted]))
+    return pages.unionByName(body.select("seq", *[parts[c] for c in wanted]))
+
+
+def plain_bodies(df: DataFrame) -> DataFrame:
+    """``seq, body`` of the records that are not pages: without the lines of problem 3, links as their text."""
+    return lines.cleaned_records(df).select("seq", F.regexp_replace("clean_text", r"!?\[([^\]\n]*)\]\([^)\n]*\)", "$1").alias("body"))
+
+
+def similar_records(df: DataFrame, config: DataFrame, size: int, threshold: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """``similar`` of the bodies of source records; those of pages are hashed where they are decided."""
+    kernel, schema = hashing(df.schema["seq"].dataType, size, least)
+    pages = mainbody.main_bodies(df, config, ("body",), (kernel, schema))
+    return similar_sets(pages.unionByName(plain_bodies(df).mapInArrow(kernel, schema)), size, threshold)

