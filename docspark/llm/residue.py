@@ -4,7 +4,7 @@ Every line of every record's main body (without code) is masked -- numbers, addr
 are grouped across sources, counting sites, records, and records of which the line is the main part. A line that recurs over
 several sites and mostly is the main part of its record stands in place of content: it is a message if the phrase rules know
 any of its forms, or if it is brief and recurs over many sites, whatever it says. A record whose content is made of such lines
-is one. Lines that no group knows are judged by the phrases alone; placeholders and filler are told by rules of form.
+is one. Lines that no group knows are judged by phrases that are messages by themselves; placeholders and filler are told by rules of form.
 
 The project's renderer is not needed: a demand for scripts in place of content is one whichever renderer fetched it.
 """
@@ -74,6 +74,12 @@ _MESSAGE = re.compile(
     r"server error|time-?out|maintenance|temporarily|try again later|\bloading\b|please wait|bitte warten|lädt|chargement|cargando|carregando|загрузка|подождите|wczytywanie|"
     r"ładowanie|aktivieren sie|activez|active javascript|habilit[ae]|ative o|включите|włącz|mantenimiento|manutenção|wartung|obsługi"
 )
+# What is a message by itself, wherever it makes up the body; the other phrases are only votes on a line that recurs.
+_SURE = re.compile(
+    r"(?i)(?:enable|turn on|activez|aktivieren sie|habilit[ae]|ative|включите|włącz)\b.{0,12}java ?script|java ?script (?:is|must be) |启用.{0,6}脚本|^\W*(?:http |error )?[45]\d\d\b.{0,40}$|"
+    r"\b(?:page|site) not found\b|(?:can.t|cannot) find the page|(?:moved|removed) or never existed|introuvable|no se encuentra|nicht gefunden|页面不存在|access denied|accès refusé|acceso denegado|访问被拒|拒绝访问|not a robot|captcha|too many requests|"
+    r"fatal error|uncaught|unhandled|stack trace|database connection|service unavailable|session (?:has )?expired|^\W*(?:loading|please wait|bitte warten|加载中)\b.{0,20}$"
+)
 # What is masked, each with signs without which it cannot stand in a line.
 _MASKS = (
     (("://", "www."), re.compile(r"https?://\S+|www\.\S+"), "\x00u"), (("@",), re.compile(r"[^\s@]+@[^\s@]+\.\w+"), "\x00e"), (("/",), re.compile(r"(?:/[\w.-]+){2,}"), "\x00p"),
@@ -112,9 +118,9 @@ def is_filler(line: str, low: str | None = None) -> bool:
     return bool(sentences) and sum(weight(x) for x in sentences if _FILL.search(x)) >= 0.5 * sum(map(weight, sentences))
 
 
-def _form(title: str, heads: str, prose: str) -> tuple[int, int, int, int, dict[int, tuple[int, bool]]]:
+def _form(title: str, heads: str, prose: str) -> tuple[int, int, int, int, dict[int, tuple[int, int]]]:
     """``strong, weak, total, filler, units`` of a record: fields, weights, and for the key of each of its lines the weight and
-    whether a phrase knows it. A record of headings alone has these as its lines."""
+    how far a phrase knows it: 2 surely, 1 as a vote. A record of headings alone has these as its lines."""
     from xxhash import xxh64_intdigest
 
     plain = _CODE.sub(" ", prose) if "`" in prose else prose
@@ -147,16 +153,18 @@ def _form(title: str, heads: str, prose: str) -> tuple[int, int, int, int, dict[
         lines = [(h.strip(), weight(h.strip())) for h in heads.split("\n") if h.strip()]
         total = sum(w for _, w in lines)
     bare = all(w <= BRIEF for _, w in lines)  # otherwise the record has text, and no phrase alone makes it a message
-    units: dict[int, tuple[int, bool]] = {}
+    units: dict[int, tuple[int, int]] = {}
     for line, w in lines:
         key = xxh64_intdigest(masked(line)) - 2**63
-        before, said = units.get(key, (0, False))
-        units[key] = before + w, said or bare and bool(_MESSAGE.search(line))
+        before, said = units.get(key, (0, 0))
+        if bare and not said:
+            said = 2 if _SURE.search(line) else 1 if _MESSAGE.search(line) else 0
+        units[key] = before + w, said
     return strong, weak, total, filler, units
 
 
-_UNIT = pa.struct([("key", pa.int64()), ("weight", pa.int32()), ("said", pa.bool_())])
-FEATURES = "site string, strong int, weak int, total int, filler int, units array<struct<key:long,weight:int,said:boolean>>"
+_UNIT = pa.struct([("key", pa.int64()), ("weight", pa.int32()), ("said", pa.int8())])
+FEATURES = "site string, strong int, weak int, total int, filler int, units array<struct<key:long,weight:int,said:tinyint>>"
 
 
 def _features(id_type: pa.DataType):
@@ -170,7 +178,7 @@ def _features(id_type: pa.DataType):
             starts = [0]
             for f in forms:
                 starts.append(starts[-1] + len(f[4]))
-            units = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(weights, pa.int32()), pa.array(said, pa.bool_())], fields=list(_UNIT))
+            units = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(weights, pa.int32()), pa.array(said, pa.int8())], fields=list(_UNIT))
             yield pa.RecordBatch.from_arrays([batch.column("seq").cast(id_type), batch.column("site"), *first, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), units)], names=names)
 
     return run
@@ -191,11 +199,11 @@ def residue(df: DataFrame, config: DataFrame) -> DataFrame:
     found = written(bodies.mapInArrow(_features(to_arrow_type(of)), f"seq {of.simpleString()}, {FEATURES}"))
     lines = found.select("seq", F.xxhash64("site").alias("site"), "total", F.explode("units").alias("u")).select("seq", "site", "total", "u.key", "u.weight", "u.said")
     main = F.col("weight") >= MAIN_PART * F.col("total")
-    groups = lines.groupBy("key", "site").agg(F.count(F.lit(1)).alias("n"), F.count_if(main).alias("main"), F.max("weight").alias("weight"), F.bool_or("said").alias("known"))
-    groups = groups.groupBy("key").agg(F.count(F.lit(1)).alias("sites"), F.sum("n").alias("n"), F.sum("main").alias("main"), F.max("weight").alias("weight"), F.bool_or("known").alias("known"))
+    groups = lines.groupBy("key", "site").agg(F.count(F.lit(1)).alias("n"), F.count_if(main).alias("main"), F.max("weight").alias("weight"), F.max("said").alias("known"))
+    groups = groups.groupBy("key").agg(F.count(F.lit(1)).alias("sites"), F.sum("n").alias("n"), F.sum("main").alias("main"), F.max("weight").alias("weight"), F.max("known").alias("known"))
     messages = written(groups.filter((F.col("sites") >= SITES) & (F.col("main") >= MAIN_SHARE * F.col("n")) & (
-        F.col("known") | (F.col("sites") >= SURE_SITES) & (F.col("weight") <= BRIEF))).select("key", "n", F.lit(True).alias("wide")))
-    judged = join_hot(lines, messages.drop("n"), ["key"], messages.filter(F.col("n") > HOT_ROWS), "seq", "left").withColumn("message", F.col("said") | F.coalesce("wide", F.lit(False)))
+        (F.col("known") > 0) | (F.col("sites") >= SURE_SITES) & (F.col("weight") <= BRIEF))).select("key", "n", F.lit(True).alias("wide")))
+    judged = join_hot(lines, messages.drop("n"), ["key"], messages.filter(F.col("n") > HOT_ROWS), "seq", "left").withColumn("message", (F.col("said") == 2) | F.coalesce("wide", F.lit(False)))
     judged = judged.groupBy("seq").agg(
         F.count_if("message").alias("messages"), F.max(F.when(~F.col("message"), F.col("weight"))).alias("largest"), F.sum(F.when(~F.col("message"), F.col("weight"))).alias("own"))
     message = (F.col("messages") > 0) & (F.coalesce("largest", F.lit(0)) < SMALL) & (F.coalesce("own", F.lit(0)) <= OWN_MOST)
