@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,9 +12,18 @@ WS = r"\t-\r\x1C-\x20\x85\xA0  -     　"
 EOL = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85  ]"
 
 
+#: The same characters one by one.
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def strip(x: Column) -> Column:
     """``str.strip()``."""
-    return F.regexp_replace(x, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(x, F.lit(WS_CHARS))
+
+
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` evaluated once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def text_or_empty(x: Column) -> Column:

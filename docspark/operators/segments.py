@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.functions.pytext import WS, hard_split, strip, text_or_empty
+from docspark.functions.pytext import WS, bound, hard_split, strip, text_or_empty
 
 # Pauses in milliseconds by the reason for a segment's end; marks that end a sentence; marks of a soft split.
 PAUSES = {"heading": 900, "paragraph": 800, "sentence": 450, "soft": 180}
@@ -25,7 +25,7 @@ def sentences(paragraph: Column) -> Column:
     """Runs up to one end mark, stripped; further marks after it are lost. Without any run the paragraph itself."""
     runs = F.regexp_extract_all(paragraph, F.lit(f"[^{ENDS}]+[{ENDS}]?"), F.lit(0))
     runs = F.filter(F.transform(runs, strip), lambda s: s != "")
-    return F.when(F.size(runs) == 0, F.array(paragraph)).otherwise(runs)
+    return bound(runs, lambda r: F.when(F.size(r) == 0, F.array(paragraph)).otherwise(r))
 
 
 def heading_like(paragraph: Column) -> Column:
@@ -38,9 +38,8 @@ def soft_split(piece: Column, most: Column | int) -> Column:
     tokens = F.filter(F.split(piece, f"(?<=[{SOFT}])|(?=[{SOFT}])", -1), lambda t: t != "")
 
     def step(s: Column, t: Column) -> Column:
-        both = F.concat(s["buf"], t)
-        return F.when((s["buf"] != "") & (F.length(both) > most), F.struct(F.array_append(s["out"], s["buf"]).alias("out"), strip(t).alias("buf"))).otherwise(
-            F.struct(s["out"].alias("out"), strip(both).alias("buf")))
+        return F.when((s["buf"] != "") & (F.length(s["buf"]) + F.length(t) > most), F.struct(F.array_append(s["out"], s["buf"]).alias("out"), strip(t).alias("buf"))).otherwise(
+            F.struct(s["out"].alias("out"), strip(F.concat(s["buf"], t)).alias("buf")))
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf"))
     buffers = F.aggregate(tokens, start, step, lambda s: F.when(s["buf"] != "", F.array_append(s["out"], s["buf"])).otherwise(s["out"]))
@@ -58,8 +57,8 @@ def _pack(paragraph: Column, target: Column, most: Column) -> Column:
         text, why = part["text"], part["reason"]
         joined = F.when(s["cur"] == "", strip(text)).when(text == "", strip(s["cur"])).otherwise(strip(F.concat(strip(s["cur"]), F.lit(" "), strip(text))))
         full = F.array_append(s["out"], F.struct(s["cur"].alias("text"), s["why"].alias("reason")))
-        return F.when((s["cur"] != "") & (F.length(joined) > target), F.struct(full.alias("out"), text.alias("cur"), why.alias("why"))).otherwise(
-            F.struct(s["out"].alias("out"), joined.alias("cur"), why.alias("why")))
+        return bound(joined, lambda j: F.when((s["cur"] != "") & (F.length(j) > target), F.struct(full.alias("out"), text.alias("cur"), why.alias("why"))).otherwise(
+            F.struct(s["out"].alias("out"), j.alias("cur"), why.alias("why"))))
 
     start = F.struct(F.array().cast("array<struct<text:string,reason:string>>").alias("out"), F.lit("").alias("cur"), F.lit("sentence").alias("why"))
     last = F.when(heading, F.lit("heading")).otherwise(F.lit("paragraph"))
