@@ -222,7 +222,10 @@ def decide(page: Page, recurs: set[int], content: str | None = None, remove: lis
     nodes = len(tags)
     weights = [_weight(t) for t in texts]
     kinds = [tags[x] for x in leaf_node]
-    removed = {x for x in range(1, nodes) for s in remove or [] if matches(page, x, s)}
+    removed = set()
+    for s in remove or []:
+        # only a selector that is no more than a tag fits a node without attributes
+        removed.update(x for x in (page.attrs if any((_step(s) or ())[1:]) else range(1, nodes)) if matches(page, x, s))
     lists: dict[int, list[int]] = {}
     part = [page.article_part(i) for i in range(n)]
     for i in range(n):

@@ -7,10 +7,11 @@ signature, and the earliest of a coordinate is kept. Two signatures agree on a c
 compared exactly.
 
 Skew: exact copies are collapsed before anything is joined, so a hot group of copies is one row; where its records are put back,
-they are dealt to parts of about ``COPIES`` records, and a task pairs two parts. The rows of a bucket (16 bytes each) stream
-through their task and are not held. A bucket of more than ``BUCKET`` different bodies is not joined with itself; its members are
-dealt to blocks, and each pair of blocks is one small group that is compared exactly in place and gives out only the pairs that
-reach the threshold. Nothing is capped.
+they are dealt to parts of about ``COPIES`` records, and a task pairs two parts. The band keys (16 bytes with the record) are
+shuffled in lists, a list for each part of their range. A task holds the keys of a part; the members of its large buckets stream
+through. A bucket of more than ``BUCKET`` different bodies is not joined with itself; its members are dealt to blocks, and each
+pair of blocks is one small group that is compared exactly in place and gives out only the pairs that reach the threshold.
+Nothing is capped.
 
 Chance to miss a pair of similarity s: with ``p = (0.98 s)^4``, ``(1 - p)^128 (1 + 128 p / (1 - p))``: 0.4 % at 0.5, 0.02 % at 0.56.
 """
@@ -37,7 +38,14 @@ COPIES = 1_000
 
 _HAN = "㐀-䶿一-鿿豈-﫿𠀀-𲎯々〇"
 _WORD = re.compile(f"[{_HAN}]|[^\\W_{_HAN}]+")
-_PLAIN = re.compile("[a-z0-9]+")
+_PLAIN = {c: " " for c in range(128) if not chr(c).isalnum()}
+#: Signs of a text, apart from letters and digits, that are replaced one by one; with more of them it is read by the expression.
+_SIGNS = 48
+
+#: Band keys are shuffled as lists, a list for each part of the keys' range; a task deals out so many keys at once.
+PARTS, DEALT = 1 << 13, 1 << 19
+#: Band keys that are sorted together, at least; of more, the keys of large buckets are given out and no longer held.
+SORTED, HELD = 1 << 16, 1 << 22
 
 #: Darts thrown for each coordinate, on average.
 DARTS = 4
@@ -58,7 +66,15 @@ _hashes: dict[str, int] = {}
 def words_of(body: str) -> list[str]:
     """Words in lower case: runs of letters and digits, a Chinese character being one."""
     low = body.lower()
-    return _PLAIN.findall(low) if low.isascii() else _WORD.findall(low)
+    if low.isascii():
+        return low.translate(_PLAIN).split()
+    chars = set(low)
+    signs = [c for c in chars if not c.isalnum()]
+    if max(chars) >= "々" or len(signs) > _SIGNS:  # the first of _HAN
+        return _WORD.findall(low)
+    for c in signs:
+        low = low.replace(c, " ")
+    return low.split()
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -114,34 +130,36 @@ def signatures(cells: np.ndarray, sizes: np.ndarray, weights: np.ndarray | None
     that ``DARTS`` darts fall on each coordinate on average. A coordinate that no dart hits (about 2 %) gets a value of its own,
     so it agrees with no other set.
     """
-    owner, given = np.repeat(np.arange(len(sizes)), sizes), cells
-    share = None
-    area = sizes.astype(float)
-    if weights is not None:
-        times = np.ceil(weights).astype(np.int64)
-        which = np.repeat(np.arange(len(cells)), times)
-        column = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-        with np.errstate(over="ignore"):
-            cells = cells[which] + column.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        owner, share = owner[which], np.minimum(weights[which] - column, 1.0)
-        area = np.bincount(owner, weights=share, minlength=len(sizes))
     none = np.uint64(2**64 - 1)
-    out = np.full(len(sizes) * slots, none, np.uint64)
-    depth = np.ceil(slots * DARTS / np.maximum(area, 1e-9)).astype(np.int64)[owner] if len(cells) else np.zeros(0, np.int64)
-    at = np.repeat(np.arange(len(cells)), depth)
-    level = (np.arange(len(at)) - np.repeat(np.cumsum(depth) - depth, depth)).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        dart = _mix(cells[at] + level * np.uint64(0xA24BAED4963EE407))
-        rank, where = (level << np.uint64(44)) | (dart >> np.uint64(20)), owner[at] * slots + (dart & np.uint64(0xFFFFF)).astype(np.int64) % slots
+    out = np.full((len(sizes), slots), none, np.uint64)
+    ends = np.cumsum(sizes)
+    for i, (end, n) in enumerate(zip(ends.tolist(), sizes.tolist())):
+        own, share, area = cells[end - n : end], None, float(n)
+        if weights is not None and n:
+            times = np.ceil(weights[end - n : end]).astype(np.int64)
+            which = np.repeat(np.arange(n), times)
+            column = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+            with np.errstate(over="ignore"):
+                own = own[which] + column.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            share = np.minimum(weights[end - n : end][which] - column, 1.0)
+            area = share.sum()
+        if not len(own):
+            continue
+        # a row of darts for each level, all of a set at once
+        level = np.arange(int(np.ceil(slots * DARTS / max(area, 1e-9))), dtype=np.uint64)[:, None]
+        with np.errstate(over="ignore"):
+            dart = _mix(own[None, :] + level * np.uint64(0xA24BAED4963EE407))
+        rank, where = (level << np.uint64(44)) | (dart >> np.uint64(20)), dart & np.uint64(0xFFFFF)
+        where = (where & np.uint64(slots - 1) if slots & (slots - 1) == 0 else where % np.uint64(slots)).astype(np.int64)
         if share is not None:
-            inside = (_mix(~dart) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < share[at]
+            inside = (_mix(~dart) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < share[None, :]
             rank, where = rank[inside], where[inside]
-        np.minimum.at(out, where, rank)
-        empty = np.flatnonzero(out == none)
-        if len(empty):
-            ends = np.cumsum(sizes)
-            own = np.array([int(given[e - n : e].sum()) if n else i for i, (e, n) in enumerate(zip(ends, sizes))], dtype=np.uint64)
-            out[empty] = _mix(own[empty // slots] + empty.astype(np.uint64)) | np.uint64(1 << 63)
+        np.minimum.at(out[i], where.reshape(-1), rank.reshape(-1))
+    out = out.reshape(-1)
+    empty = np.flatnonzero(out == none)
+    if len(empty):
+        own = np.array([int(cells[e - n : e].sum()) if n else i for i, (e, n) in enumerate(zip(ends, sizes))], dtype=np.uint64)
+        out[empty] = _mix(own[empty // slots] + empty.astype(np.uint64)) | np.uint64(1 << 63)
     return out.reshape(len(sizes), slots)
 
 
@@ -198,47 +216,90 @@ def _banded(size: int):
     return run
 
 
-def _runs(id_type: pa.DataType):
-    """From rows sorted by key: the pairs of each bucket, or its members with a null partner where it is large."""
+def _dealt(size: int):
+    """The rows of ``_banded`` as lists: the keys of a part of their range, and the records they belong to."""
+
+    def lists(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        keys = table.column("key").to_numpy()
+        part = _part(keys)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        cuts, reps = pa.array(np.append(starts, len(part)), pa.int32()), table.column("rep").combine_chunks().take(pa.array(order))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[starts].astype(np.int32)), pa.ListArray.from_arrays(cuts, pa.array(keys[order])), pa.ListArray.from_arrays(cuts, reps)], names=["part", "keys", "reps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held, large = None, [], False
+        rows, n = [], 0
+        for batch in _banded(size)(batches):
+            rows.append(batch)
+            n += batch.num_rows
+            if n >= DEALT:
+                yield lists(rows)
+                rows, n = [], 0
+        if n:
+            yield lists(rows)
 
-        def close(out: list) -> None:
-            if not large and len(held) > 1:
-                reps = sorted(held)
-                out += [(held_key, a, b) for i, a in enumerate(reps) for b in reps[i + 1 :]]
+    return run
 
-        def batch_of(out: list) -> pa.RecordBatch:
-            cols = list(zip(*out)) if out else [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], id_type), pa.array(cols[2], id_type)], names=["key", "a", "b"])
+
+def _part(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.uint16)
+
+
+def _runs(id_type: pa.DataType):
+    """From lists sorted by their part: the pairs of each bucket, or its members with a null partner where it is large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, limit, large, last = [], 0, HELD, np.zeros(0, np.int64), None
+
+        def given(end: bool) -> pa.RecordBatch:
+            """What is held in order: the members of large buckets, and at the end of a part the pairs of the others, which are held on otherwise."""
+            nonlocal held, n, limit, large
+            keys, reps = np.concatenate([k for k, _ in held]), pa.chunked_array([r for _, r in held], id_type).combine_chunks()
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            sizes = np.diff(np.append(starts, len(keys)))
+            full = (sizes > BUCKET) | np.isin(keys[starts], large)
+            out = np.repeat(full, sizes)
+            names, first, second = [keys[out]], [reps.take(pa.array(order[out]))], [pa.nulls(int(out.sum()), id_type)]
+            if end:
+                some = ~full & (sizes > 1)
+                inside = np.repeat(some, sizes)
+                members, at, pairs = reps.take(pa.array(order[inside])).to_pylist(), 0, []
+                for key, size in zip(keys[starts[some]].tolist(), sizes[some].tolist()):
+                    bucket = sorted(members[at : at + size])
+                    at += size
+                    pairs += [(key, a, b) for i, a in enumerate(bucket) for b in bucket[i + 1 :]]
+                cols = list(zip(*pairs)) if pairs else [[], [], []]
+                names.append(np.array(cols[0], dtype=np.int64))
+                first.append(pa.array(cols[1], id_type))
+                second.append(pa.array(cols[2], id_type))
+                held, n, limit, large = [], 0, HELD, np.zeros(0, np.int64)
+            else:
+                large = np.union1d(large, keys[starts[full]])
+                held = [(keys[~out], reps.take(pa.array(order[~out])))]
+                n = len(held[0][0])
+                limit = max(HELD, 2 * n)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.concat_arrays(first), pa.concat_arrays(second)], names=["key", "a", "b"])
 
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            if not len(keys):
+            parts = batch.column(0).to_numpy()
+            if not len(parts):
                 continue
-            reps, out = batch.column(1), []
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
-            # runs of one row inside the batch have no partner; only the others, and the first and last run, are looked at
-            wanted = np.flatnonzero(np.diff(cuts) > 1)
-            wanted = np.unique(np.concatenate((wanted, [0, len(cuts) - 2])))
-            for w in wanted.tolist():
-                key, members = int(keys[cuts[w]]), reps.slice(cuts[w], cuts[w + 1] - cuts[w]).to_pylist()
-                if key != held_key:
-                    close(out)
-                    held_key, held, large = key, [], False
-                if not large and len(held) + len(members) > BUCKET:
-                    large = True
-                    out += [(key, x, None) for x in held]
-                    held = []
-                if large:
-                    out += [(key, x, None) for x in members]
-                else:
-                    held += members
-            yield batch_of(out)
-        out = []
-        close(out)
-        yield batch_of(out)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(parts)) + 1, [len(parts)])).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                if parts[a] != last and n >= SORTED:
+                    yield given(True)
+                last = parts[a]
+                held.append((batch.column(1).slice(a, b - a).flatten().to_numpy(), batch.column(2).slice(a, b - a).flatten()))
+                n += len(held[-1][0])
+                if n > limit:
+                    yield given(False)
+        if n:
+            yield given(True)
 
     return run
 
@@ -302,9 +363,9 @@ def similar_sets(sets: DataFrame, size: int, threshold: float) -> tuple[DataFram
     members = written(join_hot(sets.select("id", "h1", "h2"), several, ["h1", "h2"], several.filter(F.col("n") > HOT_ROWS), "id", "left").select(
         "id", F.coalesce("rep", "id").alias("rep"), F.coalesce("n", F.lit(1).cast("long")).alias("n")))
     texts = sets.select(F.col("id").alias("rep"), "body").join(members.filter("id <> rep").select(F.col("id").alias("rep")), "rep", "left_anti")
-    banded = texts.mapInArrow(_banded(size), f"key long, rep {name}")
-    # one shuffle of 16 bytes a band; the rows of a large bucket stream through their task and are not held
-    found = written(banded.repartition("key").sortWithinPartitions("key").mapInArrow(_runs(arrow), f"key long, a {name}, b {name}"))
+    banded = texts.mapInArrow(_dealt(size), f"part int, keys array<long>, reps array<{name}>")
+    # one shuffle of 16 bytes a band; the members of a large bucket stream through their task and are not held
+    found = written(banded.repartition("part").sortWithinPartitions("part").mapInArrow(_runs(arrow), f"key long, a {name}, b {name}"))
     near = written(found.filter("b is not null").groupBy("a", "b").count().filter(F.col("count") >= BANDS_AGREE).select("a", "b"))
     heavy = found.filter("b is null").select("key", F.col("a").alias("rep"))
     wanted = written(near.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(heavy.select("rep")).distinct())

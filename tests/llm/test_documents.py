@@ -288,6 +288,51 @@ def test_repeats_within_a_body_leave_its_signature_alone():
     assert sizes.tolist() == [40, 40, 40, 0] and len(cells) == 120
 
 
+def test_band_keys_are_shuffled_in_lists(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(neardup, "PARTS", 16)
+    bodies = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([" ".join(f"w{i}x{j}" for j in range(70)) for i in range(200)])], names=["rep", "body"])
+    rows = [(k, r) for b in neardup._banded(3)(iter([bodies])) for k, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    lists = list(neardup._dealt(3)(iter([bodies])))
+    assert len(rows) == 200 * 128 and sum(b.num_rows for b in lists) <= 16
+    got = [(p, k, r) for b in lists for p, keys, reps in zip(*(c.to_pylist() for c in b.columns)) for k, r in zip(keys, reps)]
+    assert sorted((k, r) for _, k, r in got) == sorted(rows) and all(p == (k % 2**64) >> 60 for p, k, _ in got)
+
+
+@pytest.mark.parametrize("held, at_least", [(1 << 22, 1 << 16), (1 << 22, 1), (50, 1), (1, 400)])
+@pytest.mark.parametrize("text", [False, True])
+def test_buckets_of_lists(monkeypatch, held, at_least, text):
+    import pyarrow as pa
+
+    monkeypatch.setattr(neardup, "HELD", held)
+    monkeypatch.setattr(neardup, "SORTED", at_least)
+    monkeypatch.setattr(neardup, "BUCKET", 4)
+    kind = pa.string() if text else pa.int64()
+    gen, members, rows = random.Random(3), {}, []
+    for rep in range(900):
+        key = gen.choice([gen.randrange(-(2**63), 2**63), gen.randrange(-9, 9), gen.randrange(2**62, 2**62 + 200), 7])
+        members.setdefault(key, []).append(f"r{rep}" if text else rep)
+        rows.append((int(neardup._part(np.array([key]))[0]), key, members[key][-1]))
+    rows.sort(key=lambda x: x[0])
+    batches = []
+    for at in range(0, 900, 100):
+        cut = [rows[at + i : at + i + 5] for i in range(0, 100, 5)]
+        cut = [[r for r in c if r[0] == p] for c in cut for p in sorted({r[0] for r in c})]
+        batches.append(pa.RecordBatch.from_arrays(
+            [pa.array([c[0][0] for c in cut], pa.int32()), pa.array([[r[1] for r in c] for c in cut], pa.list_(pa.int64())), pa.array([[r[2] for r in c] for c in cut], pa.list_(kind))], names=["part", "keys", "reps"]))
+    got = sorted((row for b in neardup._runs(kind)(iter(batches)) for row in zip(*(c.to_pylist() for c in b.columns))), key=repr)
+    pairs = [(k, a, b) for k, m in members.items() if len(m) <= 4 for i, a in enumerate(sorted(m)) for b in sorted(m)[i + 1 :]]
+    assert pairs and got == sorted(pairs + [(k, a, None) for k, m in members.items() if len(m) > 4 for a in m], key=repr)
+    assert list(neardup._runs(kind)(iter([]))) == []
+
+
+def test_words_are_runs_of_letters_and_digits():
+    signs = "".join(map(chr, [*range(1, 0x3005), *range(0xFE00, 0xFFFE), *range(0x1F000, 0x1FA00)]))
+    for body in ("A_b c-d1\x1ce", "Éa_b·c½ ² x…y", "İSTANBUL é\u2003z", "中a々〇b é", "é" + signs, *("é" + signs[i : i + 30] for i in range(0, len(signs), 30))):
+        assert neardup.words_of(body) == neardup._WORD.findall(body.lower())
+
+
 def test_long_blocks_do_not_depend_on_the_chunks(spark, monkeypatch):
     letters = "abcdefghijklmnopqrstuvwxyz"
     word = lambda i: "own" + letters[i // 26] + letters[i % 26]
